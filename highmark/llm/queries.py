@@ -1,8 +1,9 @@
 """The queries of this subpackage over a folder of tables, and SQL that gives the same rows."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from highmark.llm import mixing
+from highmark.llm import chat, lines, mixing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +42,64 @@ SELECT doc_id, size, source_size, target,
        least(floor(each * nth + shift) - floor(each * (nth - 1) + shift), 3)::BIGINT * size AS taken FROM n
 """
 
-QUERIES = {"op5_mix_sources": op5_mix_sources}
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL}
+def op8_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = lines.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+v AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM v) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(lines) AS line FROM d),
+j AS (
+  SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM l
+  WHERE NOT (regexp_matches(line, '{lines.NAVIGATION}')
+    OR (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {lines.SHORT_NOTICE} AND regexp_matches(line, '{lines.BOILERPLATE}'))
+    OR 5 * len(regexp_extract_all(line, '{lines.SYMBOLS}')) >= length(line)
+    OR (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {lines.SHORT_LINE} AND NOT regexp_matches(line, '[.!?…:;,"''”’»)\]]\s*$')))
+  GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '{lines.SYMBOLS}'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(p.n, 0)::BIGINT AS n_repeat_words, coalesce(j.n, 0) AS n_kept FROM d LEFT JOIN p USING (doc_id) LEFT JOIN j USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_kept >= {lines.LEAST_KEPT} * n_words AS kept FROM c
+"""
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rendered = chat.render(chat.fold(chat.events_of_rows(rows.unionByName(extra))))
+    read = rendered.withColumn("turns", chat.turns(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("formatted"), F.col("loss")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP10_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (
+  SELECT *, replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'), chr(10), '&#10;') AS role_out,
+         replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;') AS text_out FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role_out) + 1 + length(text_out) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+QUERIES = {"op5_mix_sources": op5_mix_sources, "op8_clean_lines": op8_clean_lines, "op10_chat_format": op10_chat_format}
+ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
