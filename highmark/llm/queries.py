@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, lines, mixing
+from highmark.llm import chat, huffman, lines, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,22 @@ SELECT doc_id, size, source_size, target,
        least(floor(each * nth + shift) - floor(each * (nth - 1) + shift), 3)::BIGINT * size AS taken FROM n
 """
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = huffman.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op8_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = lines.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -101,5 +117,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op5_mix_sources": op5_mix_sources, "op8_clean_lines": op8_clean_lines, "op10_chat_format": op10_chat_format}
+QUERIES = {"op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
