@@ -3,13 +3,42 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, lines, mixing, packing
+from highmark.llm import chat, huffman, lines, mixing, packing, warc
+from highmark.llm._shared import shared_dir, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/archives"
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    read = warc.read(spark, folder).select(
+        "record_id", "page_id", "type", "refers_to", "problem", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
+    )
+    read = stored(read, "read")
+    first = read.filter("type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest")
+    )
+    return read.join(first, "refers_to", "left").select(
+        "page_id",
+        F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
+        F.coalesce("payload_digest", "first_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.col("first_id").alias("refers_to"),
+    )
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to FROM f
+"""
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -117,5 +146,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
-ORACLE_SQL = {"op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {"op1_warc_segments": op1_warc_segments, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
+ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
