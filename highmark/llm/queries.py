@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, lines, mixing, packing, warc
+from highmark.llm import chat, huffman, lines, mixing, neardup, packing, warc
 from highmark.llm._shared import shared_dir, stored
 
 
@@ -39,6 +39,26 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS gram FROM w),
+s AS (SELECT DISTINCT doc_id, md5(gram) AS gram FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -146,5 +166,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc_segments": op1_warc_segments, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
-ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {"op1_warc_segments": op1_warc_segments, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
+ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
