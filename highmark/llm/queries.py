@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, lines, mixing, neardup, packing, warc
+from highmark.llm import chat, huffman, lines, mixing, neardup, packing, spans, warc
 from highmark.llm._shared import shared_dir, stored
 
 
@@ -102,6 +102,11 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = spans.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "n_words_removed")
+
+
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = huffman.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -166,5 +171,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc_segments": op1_warc_segments, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_warc_segments": op1_warc_segments, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
