@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, lines, mixing, neardup, packing, spans, warc
+from highmark.llm import chat, huffman, lines, mixing, neardup, packing, spans, topk, warc
 from highmark.llm._shared import shared_dir, stored
 
 
@@ -39,6 +39,23 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_inner_product(q.v, c.v), 0)::BIGINT AS score FROM v q JOIN v c
+  ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -171,5 +188,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc_segments": op1_warc_segments, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
-ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
+QUERIES = {"op1_warc_segments": op1_warc_segments, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
+ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
