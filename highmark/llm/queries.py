@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, lines, mixing, neardup, packing, spans, topk, warc
+from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing, spans, topk, warc
 from highmark.llm._shared import shared_dir, stored
 
 
@@ -39,6 +39,12 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    labelled = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
+    return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -188,5 +194,5 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc_segments": op1_warc_segments, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
+QUERIES = {"op1_warc_segments": op1_warc_segments, "op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
 ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
