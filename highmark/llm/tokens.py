@@ -2,6 +2,7 @@
 
 import gc
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,22 @@ from pyspark.sql import functions as F
 
 from highmark.llm._shared import stored
 
-#: Texts that are encoded together, and chunks that a worker remembers; it starts anew beyond that.
-TEXTS, REMEMBERED = 128, 600_000
+#: Texts that are encoded together; chunks and pieces that a worker remembers, anew beyond that.
+TEXTS, CHUNKS, PIECES = 128, 500_000, 400_000
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space to a tokenizer beyond ASCII's: texts that have any are encoded as a whole.
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Chunks of ASCII and of letters for Western Europe, whose classes are beyond doubt, are cut into pieces here.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[ \n\r\t!-~{_LETTERS}]+").fullmatch
+#: How the two tokenizers cut such chunks into pieces (fixed by their files).
+_CUTS = {
+    True: re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+").findall,
+    False: re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+").findall,
+}
+#: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
+_OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = {b: chr(b) for b in _OWN} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -24,8 +36,9 @@ class Encoder:
     """Ids as little-endian 32-bit integers, the same as of tokenizers' encode() of the whole text.
 
     Neither kind of tokenizer joins anything across the start of a run of white space, so texts are cut
-    there, and each different chunk is encoded once. spaced: chunks keep the white space before them,
-    as byte-level vocabularies need it; otherwise white space is dropped, as by tokenizers that end words.
+    there, and each different chunk is encoded once: plain ones by the tokenizer's model, piece by piece,
+    others by all of it. spaced: chunks keep the white space before them, as byte-level vocabularies
+    need it; otherwise white space is dropped and letters are lower-cased, as by tokenizers that end words.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -33,40 +46,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        self.model, self.spaced = self.tokenizer.model, spaced
         self.cut = _SPACED.findall if spaced else bytes.split
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        out = self.tokenizer.encode([c.decode() for c in chunks], is_pretokenized=True, add_special_tokens=False)
-        words = np.array(out.word_ids, dtype=np.int64)
-        ends = (np.searchsorted(words, np.arange(1, len(chunks) + 1)) * 4).tolist()
-        raw, start = np.array(out.ids, dtype="<u4").tobytes(), 0
-        for c, end in zip(chunks, ends, strict=True):
-            self.known[c] = raw[start:end]
-            start = end
+    def piece(self, piece: str) -> bytes:
+        raw = piece if piece.isascii() and piece.isalpha() else "".join(map(_BYTES.__getitem__, piece.encode()))
+        self.pieces[piece] = ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        return ids
+
+    def chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if not _PLAIN(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        cuts = _CUTS[self.spaced](text if self.spaced else text.lower())
+        return b"".join([self.pieces.get(x) or self.piece(x) for x in cuts])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        later = []
-        for i, t in enumerate(texts):
-            if self.cut is not bytes.split and _WIDE.search(t):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self.known) > CHUNKS:
+            self.known.clear()
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        out = []
+        for t in texts:
+            if self.spaced and _WIDE.search(t):
+                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
                 continue
             chunks = self.cut(t.encode())
             found = [*map(self.known.get, chunks)]
             if None in found:
-                later.append((i, chunks, found))
-            else:
-                out[i] = b"".join(found)
-        new = {c for _, chunks, found in later for c, x in zip(chunks, found, strict=True) if x is None}
-        if new:
-            kept = {c: x for _, chunks, found in later for c, x in zip(chunks, found, strict=True) if x is not None} if len(self.known) > REMEMBERED else {}
-            self.learn([*new])
-            self.known |= kept
-        for i, chunks, _ in later:
-            out[i] = b"".join(map(self.known.__getitem__, chunks))
+                for k, x in enumerate(found):
+                    if x is None:
+                        c = chunks[k]
+                        if (x := self.known.get(c)) is None:
+                            self.known[c] = x = self.chunk(c)
+                        found[k] = x
+            out.append(b"".join(found))
         return out
 
 
@@ -77,11 +93,11 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int = 4) -> DataFrame:
     """docs(doc_id, text) as a stored table: part int, ahead long, doc_id, n long, ids binary.
 
-    ids: the text's ids and end_id, as little-endian 32-bit integers; a null text has end_id alone. ahead:
-    the ids that stand before a row in its partition. Null doc_ids and repeated rows are rows like others.
+    ids: the text's ids and end_id, as little-endian integers of `width` bytes (2 where all ids are below
+    65,536, or 4); a null text has end_id alone. ahead: the ids that stand before a row in its partition. Null doc_ids and repeated rows are rows like others.
     """
     schema = "part int, ahead long, doc_id long, n long, ids binary"
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -96,6 +112,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool) -> DataFram
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 before = ahead + np.cumsum(n) - n
                 ahead += int(n.sum())
+                if width == 2:
+                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(before), b.column(0).cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "ahead", "doc_id", "n", "ids"]
                 )
