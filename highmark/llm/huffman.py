@@ -94,14 +94,14 @@ class Codes:
         return np.split(flat, np.cumsum(counts)[:-1])
 
 
-def id_counts(ids: DataFrame) -> DataFrame:
+def id_counts(ids: DataFrame, width: int) -> DataFrame:
     """id long, n long over all rows' ids: partitions count for themselves, then the counts are summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
             for x in b.column(0):
-                own = np.bincount(np.frombuffer(x.as_buffer(), dtype="<u4"))
+                own = np.bincount(np.frombuffer(x.as_buffer(), dtype=f"<u{width}"))
                 if len(own) > len(total):
                     own[: len(total)] += total
                     total = own
@@ -113,15 +113,16 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool = True) -> None:
+def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool = True, width: int = 2) -> None:
     """Encodes docs(doc_id, text) into folder, documents in ascending order of doc_id, null first.
 
     Null texts are empty: their end id alone. Rows of one doc_id stand together. A document isn't cut
     between blocks, so a block holds BLOCK ids and at most one document more. The code lengths, one per
-    id of the vocabulary, are made on the driver.
+    id of the vocabulary, are made on the driver. width: bytes of an id between the passes, 2 for
+    vocabularies of up to 65,536 ids, else 4.
     """
-    spark, ids = docs.sparkSession, tokenised(docs, path, end_id, spaced)
-    counts = sorted(map(tuple, id_counts(ids).collect()))
+    spark, ids = docs.sparkSession, tokenised(docs, path, end_id, spaced, width)
+    counts = sorted(map(tuple, id_counts(ids, width).collect()))
     used, n = (np.array(x, dtype=np.int64) for x in zip(*counts, strict=True)) if counts else (np.zeros(0, dtype=np.int64),) * 2
     lengths = code_lengths(n)
     spark.createDataFrame([*zip(used.tolist(), lengths.tolist(), strict=True)], "id long, length int").coalesce(1).write.parquet(f"{folder}/codes")
@@ -138,7 +139,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool
 
         for b in batches:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = np.frombuffer(raw.as_buffer(), dtype="<u4")
+                own = np.frombuffer(raw.as_buffer(), dtype=f"<u{width}")
                 docs_in.append(doc)
                 ns.append(len(own))
                 held.append(own.copy())
