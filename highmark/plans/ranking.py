@@ -11,6 +11,7 @@ from highmark.operators.intervals import chapter_score, drop_sponsored, excerpt,
 from highmark.operators.sequence import peak_windows, top_n
 from highmark.operators.suppress import by_text, by_time
 from highmark.params import DEFAULTS, Params
+from highmark.storage import stored
 
 
 def rank_clips(
@@ -21,17 +22,19 @@ def rank_clips(
     candidates(video, cand, start, end, score, title): suppressed by time, moved to sentence edges, scored by
     all signals, widened around peaks, moved to edges again (which widens them further), suppressed
     by text (of the clip before widening), freed of sponsored ones, filtered by score and cut to p.clips a video.
+    Each operator joins clips to what it has found about them, so the clips are stored a few times on the way.
     """
-    clips = snap(by_time(candidates, p.overlap_share), segments, p.pad, p.snap_tolerance)
-    clips = excerpt(clips, segments, width, "said_before")
-    clips = overlap_mean(clips, points, width)
+    clips = stored(snap(by_time(candidates, p.overlap_share), segments, p.pad, p.snap_tolerance), "snapped")
+    clips = stored(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
     any_ = points.select("video").distinct().withColumn("__any", F.lit(True))
     clips = clips.join(any_, "video", "left").withColumn("replay_raw", F.when(F.col("__any"), F.col("replay_raw"))).drop("__any")
-    clips = fuse(chapter_score(window_score(clips, energy, width), chapters), p.weights).drop("cand").withColumnRenamed("nth", "cand")
+    clips = stored(chapter_score(window_score(clips, energy, width), chapters), "signals")
+    clips = stored(fuse(clips, p.weights).drop("cand").withColumnRenamed("nth", "cand"), "fused")
     peaks = peak_windows(points, 10, p.peak_threshold, p.merge_gap)
-    clips = overlapping_peak(clips, peaks, energy.filter("is_spike"), width)
-    clips = snap(expand(clips, segments, energy, width, p), segments, p.pad, p.snap_tolerance)
-    clips = drop_sponsored(by_text(clips, "said_before", p.text_similarity), sponsors, width, p.overlap_share)
+    clips = stored(overlapping_peak(clips, peaks, energy.filter("is_spike"), width), "peaks")
+    clips = stored(expand(clips, segments, energy, width, p), "expanded")
+    clips = stored(by_text(snap(clips, segments, p.pad, p.snap_tolerance), "said_before", p.text_similarity), "unlike")
+    clips = stored(drop_sponsored(clips, sponsors, width, p.overlap_share), "unsponsored")
     clips = at_least(excerpt(clips, segments, width), least)
     return top_n(clips, ["video"], [F.col("score").desc(), "cand"], p.clips)
 
