@@ -1,31 +1,8 @@
-"""What several operators need: the folder that all executors share, and tables written there."""
+"""What several operators need."""
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from highmark.storage import shared_dir, stored
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir.
-
-    Where that setting is missing, only a local session gets a temporary folder: the executors of a
-    cluster wouldn't see each other's files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = os.path.join(tempfile.gettempdir(), "highmark-shared")
-    return f"{root.rstrip('/')}/highmark-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """The rows of df, written once to the shared folder; later stages and lost tasks read the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "shared_dir", "stored"]
