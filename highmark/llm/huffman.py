@@ -61,21 +61,33 @@ class Codes:
         self.longest = int(self.lengths.max(initial=1))
         width = 1 << (self.longest - self.lengths)  # entries of the table that begin with the code
         first = np.cumsum(width) - width
-        self.bytes = 2 if self.longest <= 16 else 4
         self.table = np.repeat(np.arange(len(self.ids), dtype=np.int32), width)
         self.table = np.concatenate([self.table, np.zeros((1 << self.longest) - len(self.table), dtype=np.int32)])
         size = int(self.ids.max(initial=0)) + 1
-        left = np.zeros(size, dtype=f">u{self.bytes}")
-        left[self.ids] = first << (8 * self.bytes - self.longest)
-        self.left, self.len_of = left.view(np.uint8).reshape(size, self.bytes), np.zeros(size, dtype=np.int64)
+        self.code_of, self.len_of = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int64)
+        self.code_of[self.ids] = first >> (self.longest - self.lengths)
         self.len_of[self.ids] = self.lengths
         self.sym, self.sym_len = self.ids[self.table], self.lengths[self.table]
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        n = self.len_of[ids]
-        bits = np.unpackbits(self.left[ids], axis=1)
+        """The bits of ids and the offset of every STEP-th: neighbouring codes are joined to up to 64 bits, then put in place."""
+        code, n = self.code_of[ids], self.len_of[ids]
         ends = np.cumsum(n)
-        return np.packbits(bits[np.arange(bits.shape[1]) < n[:, None]]).tobytes(), (ends - n)[::STEP]
+        offsets, total = (ends - n)[::STEP], int(ends[-1]) if len(ends) else 0
+        for _ in range(2 if self.longest <= 16 else 1):
+            if len(code) % 2:
+                code, n = np.append(code, np.uint64(0)), np.append(n, 0)
+            code, n = (code[::2] << n[1::2].astype(np.uint64)) | code[1::2], n[::2] + n[1::2]
+        code, n = code[n > 0], n[n > 0]
+        at = np.cumsum(n) - n
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        code = code << (64 - n).astype(np.uint64)
+        out = np.zeros(total // 64 + 2, dtype=np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        if len(first):
+            out[word[first]] = np.bitwise_or.reduceat(code >> shift, first)
+            out[word[first] + 1] |= np.bitwise_or.reduceat(np.where(shift > 0, code << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0)), first)
+        return out.astype(">u8").tobytes()[: (total + 7) // 8], offsets
 
     def decode(self, bits: list[bytes], offsets: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
         """The ids of several blocks: all stretches take a step at a time."""

@@ -9,7 +9,7 @@
    probability of 3 in a million; more similar pairs, less.)
 3. What is asked for are connected groups, so pairs are compared as far as they can still join two:
    first the nodes of a key with its head, in a second round with another head where groups meet in a key,
-   at last every remaining pair of a key whose groups differ. No cap, no all-pairs list of a group.
+   at last, in blocks, every pair of a key whose groups still differ. No cap, no list of a group's pairs.
 4. A candidate that isn't ruled out by set sizes or by signature distance is confirmed on full sets.
 """
 
@@ -27,6 +27,8 @@ CHUNKS, SIZE = 12, 8
 SYMBOLS = CHUNKS * SIZE
 #: Signatures further apart aren't compared; a pair with similarity 0.85 is with a probability under 1e-9.
 FARTHEST = 40
+#: Nodes of a block in the last comparison.
+BLOCK = 128
 _rng = np.random.default_rng(20240502)
 _FACTORS = _rng.integers(1 << 31, size=SYMBOLS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _ADDED = _rng.integers(1 << 32, size=SYMBOLS, dtype=np.uint32)[:, None]
@@ -110,10 +112,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
-                at = np.searchsorted(p, q)
-                both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                keep.append(_alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8"), percent))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
 
     return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(share, "a long, b long")
@@ -142,22 +141,13 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     sets = stored(_hashes(texts, length), "sets")
     links = stored(_confirmed(tried, sets, percent), "links1")
 
-    for again in (True, False):
-        found = components(links)
-        marked = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        roots = marked.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("other"))
-        mixed = roots.groupBy("key").agg(F.max_by(F.struct("root", "other"), F.struct("n", "root")).alias("large"), F.count("*").alias("n")).filter("n > 1")
-        marked = stored(marked.join(mixed.select("key", F.col("large.root").alias("large"), F.col("large.other").alias("other")), "key"), "mixed")
-        outside = marked.filter("root <> large").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        if again:
-            pairs = marked.filter("root <> large").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        else:
-            inside = marked.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"), "large")
-            pairs = outside.join(inside, "key").filter("root_a <> root_b and (root_b = large or a < b)").select("a", "b")
-        pairs = ordered(pairs).join(tried, ["a", "b"], "left_anti")
-        close = stored(_close(pairs, nodes, percent), "tried")
-        tried = tried.unionByName(close)
-        links = stored(links.unionByName(_confirmed(close, sets, percent)), "links")
+    # a second head where groups meet in a key
+    marked = stored(_mixed(shared, components(links)), "mixed")
+    pairs = ordered(marked.filter("root <> large").select(F.col("node").alias("a"), F.col("other").alias("b"))).join(tried, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(_confirmed(_close(pairs, nodes, percent), sets, percent)), "links2")
+    # all that can still join two groups
+    found = components(links)
+    links = stored(links.unionByName(_fields(_mixed(marked.select("key", "node"), found), found, nodes, sets, percent)), "links3")
 
     found = nodes.select("set_id", "node").join(components(links), "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     rows = rows.join(found, "set_id", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("first_row"))
@@ -165,6 +155,60 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     return rows.join(least, "first_row").select("row", "doc_id", "n_shingles", "component_id", "first_row")
 
 
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """key, node, root, large, other: the entries of keys in which groups meet, the key's largest group and a node of it."""
+    marked = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    roots = marked.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("other"))
+    keys_ = roots.groupBy("key").agg(F.max_by(F.struct("root", "other"), F.struct("n", "root")).alias("large"), F.count("*").alias("n")).filter("n > 1")
+    return marked.join(keys_.select("key", F.col("large.root").alias("large"), F.col("large.other").alias("other")), "key")
+
+
+def _fields(mixed: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) between groups that meet in a key.
+
+    Nodes outside a key's largest group are compared with all of that group, and with all others that
+    stand outside of it. That covers each pair of the key whose groups differ. Both sides go in blocks of about
+    BLOCK nodes, and pairs exist only within the comparison of two blocks.
+    """
+    outside = mixed.filter("root <> large").select(F.col("large").alias("field"), "node").distinct().withColumn("side", F.lit(1))
+    groups_ = outside.select("field").distinct()
+    inside = found.select(F.col("root").alias("field"), "node").unionByName(groups_.select("field", F.col("field").alias("node"))).distinct()
+    both = outside.unionByName(inside.join(groups_, "field").withColumn("side", F.lit(0)))
+    sizes = both.groupBy("field", "side").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    both = both.join(sizes, ["field", "side"]).select("field", "side", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    both = both.join(nodes.select("node", "signature"), "node").join(sets, "node")
+    blocks = both.groupBy("field", "side", "block").agg(F.collect_list(F.struct("node", "signature", "hashes")).alias("rows"))
+    blocks = stored(blocks, "blocks")
+    left = blocks.filter("side = 1").select("field", F.col("block").alias("l_block"), F.col("rows").alias("l_rows"))
+    met = left.join(blocks, "field").filter("side = 0 or block >= l_block").select("l_rows", "rows")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts(rows: pa.StructArray) -> tuple:
+            node, sign, hashes = (rows.field(k) for k in range(3))
+            return node.to_numpy(), np.frombuffer(b"".join(sign.to_pylist()), dtype="<u2").reshape(-1, SYMBOLS), [np.frombuffer(h.as_buffer(), dtype="<u8") for h in hashes]
+
+        for b in batches:
+            for at in range(b.num_rows):
+                (left, l_sign, l_sets), (right, r_sign, r_sets) = (parts(c[at].values) for c in b.columns)
+                r_n = np.array([len(x) for x in r_sets])
+                out: list[tuple[int, int]] = []
+                for x, own, p in zip(left.tolist(), l_sign, l_sets, strict=True):
+                    fits = np.minimum(r_n, len(p)) * 100 >= np.maximum(r_n, len(p)) * percent
+                    for k in np.flatnonzero(fits & ((r_sign != own).sum(axis=1) <= FARTHEST) & (right != x)):
+                        if _alike(p, r_sets[k], percent):
+                            out.append((x, int(right[k])))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return met.mapInArrow(compare, "a long, b long")
+
+
+def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least percent of their union."""
+    at = np.searchsorted(p, q)
+    both = int((p[np.minimum(at, len(p) - 1)] == q).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
 def _hashes(docs: DataFrame, length: int) -> DataFrame:
     """node (the row), hashes: the sorted set of docs(row, doc_id, text)."""
 
