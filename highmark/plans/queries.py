@@ -131,7 +131,7 @@ def q08_overlapping_peak(spark: SparkSession, d: str) -> DataFrame:
 
 _CHAPTER = f"""
 held AS (SELECT c.video, c.cand, arg_min(h.title, h.ch) AS title FROM clips c JOIN chapters h ON h.video = c.video AND h.s <= (c.s + c.f) / 2 AND ((c.s + c.f) / 2 < h.f OR h.f IS NULL) GROUP BY 1, 2),
-chapter_scores AS (SELECT c.video, c.cand, CASE WHEN c.video IN (SELECT video FROM chapters) THEN CASE WHEN regexp_matches(coalesce(held.title, ''), '(?i){INTEREST}') THEN 1.0 ELSE 0.5 END END AS chapter_raw FROM clips c LEFT JOIN held USING (video, cand))"""
+chapter_scores AS (SELECT c.video, c.cand, CASE WHEN c.video IN (SELECT video FROM chapters) THEN CASE WHEN regexp_matches(coalesce(held.title, ''), '(?i){INTEREST}') THEN 1.0 ELSE 0.5 END END::DOUBLE AS chapter_raw FROM clips c LEFT JOIN held USING (video, cand))"""
 
 
 @query(f"WITH {POINTS}, {CLIPS}, {CHAPTERS}, {_CHAPTER} SELECT * FROM chapter_scores")
@@ -363,10 +363,11 @@ c AS (SELECT video, cue, list(word ORDER BY w) AS ws, list(s ORDER BY w) AS ss,
 e AS (SELECT *, unnest(range(0, len(ws)))::INTEGER AS pos FROM c),
 g AS (SELECT video, cue::INTEGER AS cue, pos, greatest(ss[pos + 1], ss[1]) AS s, least(CASE WHEN pos < len(ws) - 1 THEN fs[pos + 1] ELSE fs[-1] END, fs[-1]) AS f,
   array_to_string(list_transform(ws, lambda x, j: CASE WHEN j = pos + 1 THEN '{{\\c{captions.HIGHLIGHT}}}' || x || '{{\\c{captions.PLAIN}}}' ELSE x END), ' ') AS text FROM e)
-SELECT video, cue, pos, round(s, 6) AS start, round(f, 6) AS "end", text FROM g WHERE f > s"""
+SELECT video, cue, pos, round(round(s, 9), 6) AS start, round(round(f, 9), 6) AS "end", text FROM g WHERE f > s"""
 )
 def q29_karaoke(spark: SparkSession, d: str) -> DataFrame:
-    return _round(captions.karaoke(roles.words(roles.turns(spark, d))), "start", "end")
+    # twice, so that a last bit doesn't decide which way a half goes
+    return _round(_round(captions.karaoke(roles.words(roles.turns(spark, d))), "start", "end", places=9), "start", "end")
 
 
 @query(
