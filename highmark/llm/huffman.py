@@ -53,9 +53,11 @@ def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
 
 
 class Codes:
-    """Canonical codes: shorter first, then smaller ids."""
+    """Canonical codes: shorter first, then smaller ids. Without any id, 0 has a code that nothing uses."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        if not len(ids):
+            ids, lengths = np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)
         order = np.lexsort((ids, lengths))
         self.ids, self.lengths = ids[order].astype(np.uint32), lengths[order].astype(np.int64)
         self.longest = int(self.lengths.max(initial=1))
