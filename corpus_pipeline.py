@@ -15,10 +15,21 @@ from highmark.llm._shared import WORD, stored
 LEAST_SCORE = 0.4
 
 
+def _apart(docs: DataFrame, *named: str) -> DataFrame:
+    """docs with other names for all columns but those named: none clashes with what an operator adds."""
+    return docs.toDF(*[c if c in named else f"own_{k}" for k, c in enumerate(docs.columns)])
+
+
+def _named(rows: DataFrame, apart: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of apart with the columns of docs again."""
+    return rows.select(*apart.columns).toDF(*docs.columns)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages; those without a letter or with mixed-up words go."""
-    labelled = langid.identify(docs, langid.learn(docs))
-    return labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    rows = _apart(docs, "text")
+    labelled = langid.identify(rows, langid.learn(docs))
+    return _named(labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), rows, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +39,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand in an earlier one; those of which no word is left go."""
-    cleaned = spans.clean(docs)
+    rows = _apart(docs, "doc_id", "text", "n_chars")
+    cleaned = spans.clean(rows)
     kept = cleaned.filter((F.col("n_words_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return _named(kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), rows, docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
