@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ from highmark.llm.words import _P, _up_to, mix
 SAMPLE, WINDOW, LANGUAGES = 500, 2_000, 64
 #: Bits of the feature table's index, words of a chain, and how often a word is seen at least to be in the lexicon.
 BITS, CHAIN, SEEN = 17, 64, 3
+#: Bytes of texts that are labelled together.
+TOGETHER = 300_000
 UNKNOWN = "und"
 _LEXICON_BITS = 16
 _tables: list[np.ndarray] = []
@@ -148,6 +151,18 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, f
     return out, moved, out[begins].sum(axis=0) if steps else np.zeros(k)
 
 
+def _features(w: Words, first_text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its text and hash and how many features it has, and the slots of all words' features in order."""
+    n = len(w.starts)
+    words, slots = [np.arange(n)] * len(w.affixes), [_slot(a) for a in w.affixes]
+    for hashed, inside in w.grams:
+        at = np.flatnonzero(inside)
+        words.append(np.searchsorted(w.ends, at, side="right"))
+        slots.append(_slot(hashed[at]))
+    of = np.concatenate(words)
+    return w.text + first_text, w.whole, np.bincount(of, minlength=n), np.concatenate(slots)[np.argsort(of, kind="stable")].astype(np.int32)
+
+
 def fit(samples: list[tuple[str, str]], rounds: int = 6, seed: int = 1) -> Model:
     """A model of (language, text) samples.
 
@@ -157,29 +172,23 @@ def fit(samples: list[tuple[str, str]], rounds: int = 6, seed: int = 1) -> Model
     """
     languages = sorted({lang for lang, _ in samples})
     rng = np.random.default_rng(seed)
-    w = find_words([t for _, t in samples])
-    labels = np.array([languages.index(lang) for lang, _ in samples], dtype=np.int64)[w.text] if samples else np.zeros(0, dtype=np.int64)
-    k, n = max(1, len(languages)), len(labels)
+    k = max(1, len(languages))
     model = Model(languages or [UNKNOWN], np.zeros((1 << BITS, k), dtype=np.float32), np.zeros(1 << _LEXICON_BITS, dtype=np.uint64), np.zeros((1 << _LEXICON_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
+    parts = [_features(find_words([t for _, t in samples[at : at + 64]]), at) for at in range(0, len(samples), 64)]
+    text, whole, sizes, slots = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 4
+    n = len(text)
     if n == 0:
         return model
-    known, counts = np.unique(w.whole, return_counts=True)
+    labels = np.array([languages.index(lang) for lang, _ in samples], dtype=np.int64)[text]
+    bounds = np.append(0, np.cumsum(sizes))
+    known, counts = np.unique(whole, return_counts=True)
     known, counts = known[counts >= SEEN], counts[counts >= SEEN]
     known = known[np.argsort(counts, kind="stable")]
     model.lexicon[_slot(known, _LEXICON_BITS)] = known  # the more frequent one has a shared slot
-    word_slot = _slot(w.whole, _LEXICON_BITS)
-    in_lexicon = model.lexicon[word_slot] == w.whole
-    words, slots = [np.arange(n)] * len(w.affixes), [_slot(a) for a in w.affixes]
-    for hashed, inside in w.grams:
-        at = np.flatnonzero(inside)
-        words.append(np.searchsorted(w.ends, at, side="right"))
-        slots.append(_slot(hashed[at]))
-    words, slots = np.concatenate(words), np.concatenate(slots)
-    by_word = np.argsort(words, kind="stable")
-    words, slots = words[by_word], slots[by_word]
-    bounds = np.searchsorted(words, np.arange(n + 1))
+    word_slot = _slot(whole, _LEXICON_BITS)
+    in_lexicon = model.lexicon[word_slot] == whole
     # stretches of up to 16 words of one sample, shuffled; chains take a few each
-    stretch = np.flatnonzero(np.diff(w.text, prepend=-1) | (np.arange(n) % 16 == 0))
+    stretch = np.flatnonzero(np.diff(text, prepend=-1) | (np.arange(n) % 16 == 0))
     past, past_lexicon, past_moves, past_first = (np.full(x.shape, 1e-2) for x in (model.weights, model.lexicon_weights, model.moves, model.first))
     ends = np.append(stretch[1:], n)
     for turn in range(rounds):
@@ -285,12 +294,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            texts = whole.column(at).to_pylist()
-            sizes = np.cumsum([len(t) if t else 0 for t in texts])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(at)), 0).to_numpy())
             start = 0
-            while start < len(texts):  # about a million characters at a time
-                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + 1_000_000, side="right")))
-                langs, scores = predict(model, [t or "" for t in texts[start:end]])
+            while start < whole.num_rows:  # some hundred thousand characters at a time
+                end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TOGETHER, side="right")))
+                langs, scores = predict(model, [t or "" for t in whole.column(at).slice(start, end - start).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*whole.slice(start, end - start).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*own, "lang_pred", "score"])
                 start = end
 
