@@ -74,7 +74,8 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the longest path; each round's links are stored.
     """
     links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    before = None
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    before = total(links)
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -83,13 +84,18 @@ def components(links: DataFrame) -> DataFrame:
         narrow = wide.join(least, "b")
         links = narrow.select(F.col("m").alias("a"), "b").unionByName(narrow.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         links = stored(links, "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = total(links)
         if now == before:
             break
         before = now
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what components() found connected."""
+    return found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), those that set sizes and signatures don't rule out."""
     own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}"))
@@ -142,12 +148,13 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     links = stored(_confirmed(tried, sets, percent), "links1")
 
     # a second head where groups meet in a key
-    marked = stored(_mixed(shared, components(links)), "mixed")
+    found = components(links)
+    marked = stored(_mixed(shared, found), "mixed")
     pairs = ordered(marked.filter("root <> large").select(F.col("node").alias("a"), F.col("other").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(_confirmed(_close(pairs, nodes, percent), sets, percent)), "links2")
+    links = stored(_stars(found).unionByName(_confirmed(_close(pairs, nodes, percent), sets, percent)), "links2")
     # all that can still join two groups
     found = components(links)
-    links = stored(links.unionByName(_fields(_mixed(marked.select("key", "node"), found), found, nodes, sets, percent)), "links3")
+    links = stored(_stars(found).unionByName(_fields(_mixed(marked.select("key", "node"), found), found, nodes, sets, percent)), "links3")
 
     found = nodes.select("set_id", "node").join(components(links), "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
     rows = rows.join(found, "set_id", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("first_row"))
