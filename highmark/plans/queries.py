@@ -363,11 +363,12 @@ c AS (SELECT video, cue, list(word ORDER BY w) AS ws, list(s ORDER BY w) AS ss,
 e AS (SELECT *, unnest(range(0, len(ws)))::INTEGER AS pos FROM c),
 g AS (SELECT video, cue::INTEGER AS cue, pos, greatest(ss[pos + 1], ss[1]) AS s, least(CASE WHEN pos < len(ws) - 1 THEN fs[pos + 1] ELSE fs[-1] END, fs[-1]) AS f,
   array_to_string(list_transform(ws, lambda x, j: CASE WHEN j = pos + 1 THEN '{{\\c{captions.HIGHLIGHT}}}' || x || '{{\\c{captions.PLAIN}}}' ELSE x END), ' ') AS text FROM e)
-SELECT video, cue, pos, round(round(s, 9), 6) AS start, round(round(f, 9), 6) AS "end", text FROM g WHERE f > s"""
+SELECT video, cue, pos, round(s + 1e-9, 6) AS start, round(f + 1e-9, 6) AS "end", text FROM g WHERE f > s"""
 )
 def q29_karaoke(spark: SparkSession, d: str) -> DataFrame:
-    # twice, so that a last bit doesn't decide which way a half goes
-    return _round(_round(captions.karaoke(roles.words(roles.turns(spark, d))), "start", "end", places=9), "start", "end")
+    events = captions.karaoke(roles.words(roles.turns(spark, d)))
+    # the engines round halves differently, as one multiplies first: none is left
+    return _round(events.withColumns({c: F.col(c) + 1e-9 for c in ("start", "end")}), "start", "end")
 
 
 @query(
