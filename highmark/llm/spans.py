@@ -1,30 +1,55 @@
 """Repeated passages: runs of consecutive sentences that stand in more than one place.
 
-A sentence ends at . ! or ? before white space, or at a line feed; long ones are cut into pieces of
-PIECE words, counted from their start. From each sentence the shortest run of at least RUN sentences
-with at least WORDS words is hashed (words only, A-Z lower-cased). All documents' hashes meet in one
-aggregation, which keeps the first document of each; the others lose the sentences of the run.
+A sentence ends at . ! or ? before white space, or at a line feed. Long ones are cut in two ways: into
+pieces of PIECE words, counted from their start, and before the word with the least hash of each NEAR
+words in a row, which doesn't depend on where the sentence starts. From each cut of either way the
+shortest run of at least RUN pieces with at least WORDS words is hashed (words only, A-Z lower-cased). All
+documents' hashes meet by hash, which finds the first document of each; the others lose the words of the run.
+
+The second way leaves at most NEAR words between cuts, and its cuts differ only near the ends of a passage
+that stands between other words. So any passage of 4 * NEAR + WORDS - 2 words (50) shares a run wherever it stands.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from highmark.llm.words import _P, LOWER, _up_to, mix, range_hashes, word_spans
 
 RUN, WORDS, PIECE = 3, 24, 12
+#: Words in a row of which one is a cut.
+NEAR = 7
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[*b".!?"]] = True
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[*b"\"')]"]] = True
 
 
+def _near_cuts(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Numbers of the words at sentences' starts, and of the last least one of each NEAR words within a sentence, by hashes with the next word."""
+    n, cuts = len(words), begins.copy()
+    if n >= NEAR:
+        score = words.copy()
+        score[:-1] = mix(words[:-1] * _P + words[1:])
+        least = np.lib.stride_tricks.sliding_window_view(score[::-1], NEAR).argmin(axis=1)[::-1]
+        sentence = np.cumsum(begins)
+        cuts[(np.arange(NEAR - 1, n) - least)[sentence[: n - NEAR + 1] == sentence[NEAR - 1 :]]] = True
+    return np.flatnonzero(cuts)
+
+
+def _runs_of(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of the shortest run from each of the pieces between edges."""
+    at = np.arange(len(edges) - 1)
+    to = np.maximum(at + RUN, np.searchsorted(edges, edges[:-1] + WORDS))
+    return edges[at[to < len(edges)]], edges[to[to < len(edges)]]
+
+
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text: byte and word offsets of its sentences (and its end), and first sentence, end sentence and hash of each run."""
+    """For a text: byte offsets of its words (and its end), word offsets of its sentences (and its end), and first word, end word and hash of each run."""
     raw = np.frombuffer(text.encode().translate(LOWER), dtype=np.uint8)
     starts, ends = word_spans(raw)
     n = len(starts)
@@ -38,15 +63,16 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.
     begins[1:] = closed[:-1] | (feeds[starts[1:]] > feeds[ends[:-1]])
     index = np.arange(n)
     first = np.flatnonzero((index - np.maximum.accumulate(np.where(begins, index, 0))) % PIECE == 0)
-    words = np.append(first, n)
+    sentences = np.append(first, n)
+    words = mix(range_hashes(raw, starts, ends))
     powers, inverse = _up_to(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(range_hashes(raw, starts, ends)) * powers[:n], out=total[1:])
-    at = np.arange(len(first))
-    to = np.maximum(at + RUN, np.searchsorted(words, words[:-1] + WORDS))
-    at, to = at[to <= len(first)], to[to <= len(first)]
-    hashes = mix((total[words[to]] - total[words[at]]) * inverse[words[at]] + (words[to] - words[at]).astype(np.uint64) * _P)
-    return np.append(starts[first], len(raw)), words, at, to, hashes
+    np.cumsum(words * powers[:n], out=total[1:])
+    found = [_runs_of(sentences), _runs_of(np.append(_near_cuts(words, begins), n))]
+    both = np.unique(np.concatenate([a * (n + 1) + b for a, b in found]))
+    at, to = both // (n + 1), both % (n + 1)
+    hashes = mix((total[to] - total[at]) * inverse[at] + (to - at).astype(np.uint64) * _P)
+    return np.append(starts, len(raw)), sentences, at, to, hashes
 
 
 def _repeats(hashes: np.ndarray) -> np.ndarray:
@@ -59,8 +85,8 @@ def _repeats(hashes: np.ndarray) -> np.ndarray:
 def clean(docs: DataFrame) -> DataFrame:
     """docs with its columns, text without repeated passages, and n_sentences, n_removed, n_words_removed (long).
 
-    A sentence goes if a run that covers it also stands earlier: earlier in the same text, or in a
-    document with a smaller doc_id. Rows of one doc_id count as one document and don't take each other's
+    A word goes if a run that covers it also stands earlier: earlier in the same text, or in a document
+    with a smaller doc_id. n_sentences counts sentences and pieces of PIECE words, n_removed those of them that lost words. Rows of one doc_id count as one document and don't take each other's
     passages; rows without a doc_id come last, in the order of the scan. Null texts stay null, texts
     without a run (fewer than RUN sentences or WORDS words) stay as they are; a text that is nothing
     but repeats becomes empty. Columns of docs named like the new ones are replaced.
@@ -80,8 +106,7 @@ def clean(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(keys)], ["hash", "key"])
 
     seen = rows.select("__hm_key", F.col("text").cast("string")).mapInArrow(hashed, "hash long, key long")
-    firsts = seen.groupBy("hash").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first <> last").select("hash", "first")
-    later = seen.join(firsts, "hash").filter("key <> first").groupBy("key").agg(F.collect_set("hash").alias("__hm_runs"))
+    later = seen.withColumn("first", F.min("key").over(Window.partitionBy("hash"))).filter("key <> first").groupBy("key").agg(F.collect_set("hash").alias("__hm_runs"))
     both = rows.join(later.withColumnRenamed("key", "__hm_key"), "__hm_key", "left").select(*[F.col(f"`{c}`") for c in own], "__hm_runs")
     text_at = own.index("text")
     schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields] + [T.StructField(c, T.LongType()) for c in counts])
@@ -105,14 +130,15 @@ def clean(docs: DataFrame) -> DataFrame:
 def _without(text: str | None, gone: np.ndarray | None) -> tuple[str | None, tuple[int, int, int]]:
     if text is None:
         return None, (0, 0, 0)
-    starts, words, at, to, hashes = runs(text)
-    n = len(words) - 1
+    starts, sentences, at, to, hashes = runs(text)
+    n = len(starts) - 1
     out = _repeats(hashes)
     if gone is not None:
         out |= np.isin(hashes.view(np.int64), gone)
     if not out.any():
-        return text, (n, 0, 0)
+        return text, (len(sentences) - 1, 0, 0)
     covered = np.cumsum(np.bincount(at[out], minlength=n + 1) - np.bincount(to[out], minlength=n + 1))[:n] > 0
     raw = text.encode()
-    kept = raw[: starts[0]] + b"".join(raw[starts[k] : starts[k + 1]] for k in np.flatnonzero(~covered))
-    return kept.decode(), (n, int(covered.sum()), int(np.diff(words)[covered].sum()))
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))  # kept stretches start and end
+    kept = raw[: starts[0]] + b"".join(raw[starts[a] : starts[b]] for a, b in edges.reshape(-1, 2))
+    return kept.decode(), (len(sentences) - 1, int(np.add.reduceat(covered, sentences[:-1], dtype=np.int64).astype(bool).sum()), int(covered.sum()))

@@ -328,6 +328,23 @@ def test_passages(spark, tmp_path):
     assert got == {(1, rows[1][1], 0), (2, "Second begins. Second ends.", 3), (3, "Between. ", 6), (None, "", 3), (4, None, 0), (4, "", 0)}
 
 
+def test_passages_without_a_full_stop_go_wherever_they_stand(spark, tmp_path):
+    rng = random.Random(3)
+    said = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    rows, kept = [], {}
+    for k in range(30):
+        p, before, after = said(51 + k), said(k), said(k % 13)
+        rows += [(2 * k, f"{said(k % 7)} {p} {said(5)}"), (2 * k + 1, f"{before} {p} {after}")]
+        kept[2 * k + 1] = (before.split(), p.split(), after.split())
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    got = {r.doc_id: r for r in spans.clean(docs).collect()}
+    for k, (before, p, after) in kept.items():
+        left = got[k].text.split()
+        assert left[: len(before)] == before and left[len(left) - len(after) :] == after
+        assert len(before) + len(p) + len(after) - len(left) == got[k].n_words_removed >= spans.WORDS and got[k].n_removed
+        assert got[k - 1].text == dict(rows)[k - 1]
+
+
 # lines
 
 
