@@ -2,9 +2,9 @@
 
 A sentence ends at . ! or ? before white space, or at a line feed. Long ones are cut in two ways: into
 pieces of PIECE words, counted from their start, and before the word with the least hash of each NEAR
-words in a row, which doesn't depend on where the sentence starts. From each cut of either way the
-shortest run of at least RUN pieces with at least WORDS words is hashed (words only, A-Z lower-cased). All
-documents' hashes meet by hash, which finds the first document of each; the others lose the words of the run.
+words in a row, which doesn't depend on where the sentence starts. From each cut of either way, and
+back from each, the shortest run of at least RUN pieces with at least WORDS words is hashed (words only,
+A-Z lower-cased), so the runs within a passage cover it from its first cut to its last. All documents' hashes meet by hash, which finds the first document of each; the others lose the words of the run.
 
 The second way leaves at most NEAR words between cuts, and its cuts differ only near the ends of a passage
 that stands between other words. So any passage of 4 * NEAR + WORDS - 2 words (50) shares a run wherever it stands.
@@ -42,10 +42,12 @@ def _near_cuts(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _runs_of(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and end word of the shortest run from each of the pieces between edges."""
-    at = np.arange(len(edges) - 1)
-    to = np.maximum(at + RUN, np.searchsorted(edges, edges[:-1] + WORDS))
-    return edges[at[to < len(edges)]], edges[to[to < len(edges)]]
+    """First and end word of the shortest run from each of edges on, and of the shortest up to each."""
+    index = np.arange(len(edges))
+    to = np.maximum(index + RUN, np.searchsorted(edges, edges + WORDS))
+    at = np.minimum(index - RUN, np.searchsorted(edges, edges - WORDS, side="right") - 1)
+    on, back = to < len(edges), at >= 0
+    return np.append(edges[on], edges[at[back]]), np.append(edges[to[on]], edges[back])
 
 
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -345,6 +345,14 @@ def test_passages_without_a_full_stop_go_wherever_they_stand(spark, tmp_path):
         assert got[k - 1].text == dict(rows)[k - 1]
 
 
+def test_short_sentences_at_the_end_of_a_passage_go(spark, tmp_path):
+    p = " ".join(" ".join(f"s{k}x{j}" for j in range(n)) + "." for k, n in enumerate([6, 6, 6, 6, 1, 1, 1])) + " "
+    rows = [(1, f"First it begins. {p}Then the first one ends."), (2, f"So the second begins. {p}Now it ends in another way.")]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    got = {(r.doc_id, r.text, r.n_removed, r.n_words_removed) for r in spans.clean(docs).collect()}
+    assert got == {(1, rows[0][1], 0, 0), (2, "So the second begins. Now it ends in another way.", 7, 27)}
+
+
 # lines
 
 
