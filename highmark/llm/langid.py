@@ -6,7 +6,7 @@ weights link neighbours, and forward-backward gives each word's chances in its c
 switches between languages. A document's language is the one with the highest mean chance.
 
 The model is fitted on the driver on a bounded sample (SAMPLE windows of WINDOW letters per language);
-prediction goes over whole texts, in numpy operations over all words of a batch at once.
+prediction goes over whole texts, a chain each, in numpy operations over all words of a batch at once.
 """
 
 from collections import Counter
@@ -24,7 +24,7 @@ from highmark.llm.words import _P, _up_to, mix
 
 #: Labelled documents per language for fitting, characters of each, and languages at most (the most frequent).
 SAMPLE, WINDOW, LANGUAGES = 500, 2_000, 64
-#: Bits of the feature table's index, words of a chain, and how often a word is seen at least to be in the lexicon.
+#: Bits of the feature table's index, words of a piece that the tests score by itself, and how often a word is seen at least to be in the lexicon.
 BITS, CHAIN, SEEN = 17, 64, 3
 #: Bytes of texts that are labelled together.
 TOGETHER = 300_000
@@ -116,11 +116,11 @@ class Model:
 
     def chances(self, scores: np.ndarray, chain: np.ndarray) -> np.ndarray:
         """Of each word by forward-backward. chain: numbers of words, in order."""
-        return forward_backward(scores, chain, self.moves, self.first)[0]
+        return forward_backward(scores, chain, self.moves, self.first, learning=False)[0]
 
 
-def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's chances, the expected moves and the expected first labels, over all chains a step at a time."""
+def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, first: np.ndarray, learning: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's chances, the expected moves and the expected first labels, over all chains a step at a time. The moves stay 0 unless learning."""
     order = np.argsort(-chain, kind="stable")
     begins = (np.cumsum(chain) - chain)[order]
     sizes = chain[order]
@@ -135,19 +135,20 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, f
         now = e[at] * (f if t == 0 else now[: live[t]] @ a)
         now /= now.sum(axis=1, keepdims=True)
         forward[at] = now
-    out, moved = np.empty_like(e), np.zeros((k, k))
+    behind, moved = np.empty_like(e), np.zeros((k, k))
     back = np.ones((live[0] if steps else 0, k))
     for t in range(steps - 1, -1, -1):
         at = begins[: live[t]] + t
         if t + 1 < steps and live[t + 1]:
             m = live[t + 1]
             ahead = e[begins[:m] + t + 1] * back[:m]
-            both = forward[at[:m]].T @ (ahead / ((forward[at[:m]] @ a) * ahead).sum(axis=1, keepdims=True)) * a
-            moved += both
+            if learning:
+                moved += forward[at[:m]].T @ (ahead / ((forward[at[:m]] @ a) * ahead).sum(axis=1, keepdims=True)) * a
             b = ahead @ a.T
             back[:m] = b / b.sum(axis=1, keepdims=True)
-        own = forward[at] * back[: live[t]]
-        out[at] = own / own.sum(axis=1, keepdims=True)
+        behind[at] = back[: live[t]]
+    out = forward * behind
+    out /= out.sum(axis=1, keepdims=True)
     return out, moved, out[begins].sum(axis=0) if steps else np.zeros(k)
 
 
@@ -248,11 +249,8 @@ def learn(docs: DataFrame) -> Model:
 
 
 def _chains(text: np.ndarray) -> np.ndarray:
-    """Numbers of words of chains: CHAIN of a text at most, in order."""
-    n = len(text)
-    begins = np.diff(text, prepend=-1) != 0
-    place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))
-    return np.diff(np.append(np.flatnonzero(place % CHAIN == 0), n))
+    """Numbers of words of chains, in order: one chain for each text that has words."""
+    return np.diff(np.append(np.flatnonzero(np.diff(text, prepend=-1)), len(text)))
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:

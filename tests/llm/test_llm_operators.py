@@ -103,6 +103,30 @@ def test_switches_are_found():
     assert langid.predict(langid.fit([]), ["words"])[0] == ["und"]
 
 
+def test_a_text_is_one_chain():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["aaa", "bbb", "ccc"], n)) for n in (200, 3, 0, 65)]
+    model = langid.fit([("x", "aaa ccc " * 50), ("y", "bbb ccc " * 50)] * 5)
+    model.moves, model.first = np.log([[0.95, 0.05], [0.2, 0.8]]), np.log([0.1, 0.9])
+    langs, got = langid.predict(model, texts)
+    for lang, score, t in zip(langs, got, texts, strict=True):
+        if not t:
+            assert (lang, score) == ("und", 0)
+            continue
+        e = model.scores(langid.find_words([t])).astype(float)
+        e = np.exp(e - e.max(axis=1, keepdims=True))
+        n, a = len(e), np.exp(model.moves)
+        f, b = [np.exp(model.first) * e[0]], [np.ones(2)]
+        for k in range(1, n):
+            f.append((f[-1] @ a) * e[k])
+            f[-1] /= f[-1].sum()
+            b.append(a @ (e[n - k] * b[-1]))
+            b[-1] /= b[-1].sum()
+        p = np.array(f) * np.array(b[::-1])
+        mean = (p / p.sum(axis=1, keepdims=True)).mean(axis=0)
+        assert (lang, score) == (model.languages[mean.argmax()], pytest.approx(mean.max(), abs=1e-6))
+
+
 # top-k
 
 
