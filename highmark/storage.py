@@ -5,6 +5,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +22,36 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/highmark-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd", folder: str | None = None) -> DataFrame:
     """The rows of df, written once to the shared folder; later steps and lost tasks read the files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
+    path = f"{folder or shared_dir(df.sparkSession)}/{name}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, column: str, name: str = "numbered") -> DataFrame:
+    """df, stored, with a number of its own for each row in `column`, the same however often it is read.
+
+    A row's place in a scan isn't such a number: scans are split by the cores known at the time.
+    """
+    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
+class Scratch:
+    """Tables that a plan needs only while it is made, in one shared folder, which drop() removes."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n = spark, shared_dir(spark), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        return stored(df, f"{self.n}-{name}", folder=self.folder)
+
+    def drop(self) -> None:
+        remove(self.spark, self.folder)
