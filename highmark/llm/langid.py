@@ -5,10 +5,11 @@ lexicon, its prefixes and suffixes of 2 and 3 letters, and its 2- and 3-letter n
 weights link neighbours, and forward-backward gives each word's chances in its context, also where a text
 switches between languages. A document's language is the one with the highest mean chance.
 
-The model is fitted on the driver on a bounded sample (SAMPLE windows of WINDOW letters per language);
-prediction goes over whole texts, a chain each, in numpy operations over all words of a batch at once.
+The model is fitted in one task on a bounded sample of all labelled windows of text (SAMPLE of each
+language, less where TOTAL would be passed). Prediction goes over whole texts, a chain each, in numpy operations over all words of a batch at once.
 """
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,10 +23,10 @@ from pyspark.sql import types as T
 
 from highmark.llm.words import _P, _up_to, mix
 
-#: Labelled documents per language for fitting, characters of each, and languages at most (the most frequent).
-SAMPLE, WINDOW, LANGUAGES = 500, 2_000, 64
-#: Bits of the feature table's index, words of a piece that the tests score by itself, and how often a word is seen at least to be in the lexicon.
-BITS, CHAIN, SEEN = 17, 64, 3
+#: Windows for fitting per language, of all languages together (but LEAST of each), and characters of a window.
+SAMPLE, TOTAL, LEAST, WINDOW = 500, 32_000, 20, 2_000
+#: Bits of the feature table's index, and how often a word is seen at least to be in the lexicon.
+BITS, SEEN = 17, 3
 #: Bytes of texts that are labelled together.
 TOGETHER = 300_000
 UNKNOWN = "und"
@@ -102,12 +103,13 @@ class Model:
 
     def scores(self, w: Words) -> np.ndarray:
         out = np.zeros((len(w.starts), len(self.languages)), dtype=np.float32)
+        bits = len(self.weights).bit_length() - 1
         for a in w.affixes:
-            out += self.weights[_slot(a)]
+            out += self.weights[_slot(a, bits)]
         for hashed, inside in w.grams:
             at = np.flatnonzero(inside)
             word = np.searchsorted(w.ends, at, side="right")
-            slots = _slot(hashed[at])
+            slots = _slot(hashed[at], bits)
             for k in range(out.shape[1]):
                 out[:, k] += np.bincount(word, weights=self.weights[slots, k], minlength=len(out))
         slots = _slot(w.whole, _LEXICON_BITS)
@@ -116,11 +118,76 @@ class Model:
 
     def chances(self, scores: np.ndarray, chain: np.ndarray) -> np.ndarray:
         """Of each word by forward-backward. chain: numbers of words, in order."""
-        return forward_backward(scores, chain, self.moves, self.first, learning=False)[0]
+        return chances_in_pieces(scores, chain, self.moves, self.first)
 
 
-def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, first: np.ndarray, learning: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each word's chances, the expected moves and the expected first labels, over all chains a step at a time. The moves stay 0 unless learning."""
+def chances_in_pieces(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each word's chances by forward-backward over whole chains, the same as forward_backward() gives.
+
+    Chains are cut in pieces, and all pieces take a step at a time. What a piece does to a forward or
+    backward message is a matrix, the product of its words'; with these, messages pass from piece to piece.
+    """
+    k, longest = scores.shape[1], int(chain.max(initial=0))
+    if longest == 0:
+        return np.zeros((0, k))
+    size = max(16, int(np.ceil(np.sqrt(longest))))
+    pieces = -(-chain // size)  # of each chain
+    n, top = int(pieces.sum()), int(pieces.max())
+    of = np.repeat(np.arange(len(chain)), pieces)
+    nth = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = np.repeat(np.cumsum(chain) - chain, pieces) + nth * size
+    length = np.minimum(size, chain[of] - nth * size)
+    order = np.argsort(-length, kind="stable")  # whole pieces first, so that a step takes the first of them
+    start, live = start[order], [int(np.searchsorted(-length[order], -t, side="left")) for t in range(size)]
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-12
+    a = np.exp(moves)
+    through = np.broadcast_to(np.eye(k), (n, k, k)) * e[start][:, None, :]
+    for t in range(1, size):
+        m = live[t]
+        if not m:
+            break
+        now = (through[:m].reshape(-1, k) @ a).reshape(m, k, k) * e[start[:m] + t][:, None, :]
+        through[:m] = now / now.max(axis=(1, 2), keepdims=True)
+    # messages into each piece: from the left before its first word, from the right behind its last
+    come, back = np.empty((n, k)), np.ones((n, k))
+    begin = np.cumsum(pieces) - pieces
+    by_pieces = np.argsort(-pieces, kind="stable")
+    chains = [int(np.searchsorted(-pieces[by_pieces], -j, side="left")) for j in range(top)]
+    message = np.broadcast_to(np.exp(first), (len(chain), k))
+    for j in range(top):
+        at = place[begin[by_pieces[: chains[j]]] + j]
+        come[at] = message[: chains[j]]
+        if j + 1 < top:
+            message = np.einsum("ni,nij->nj", come[at[: chains[j + 1]]], through[at[: chains[j + 1]]]) @ a
+            message /= message.sum(axis=1, keepdims=True)
+    for j in range(top - 1, 0, -1):
+        at = place[begin[by_pieces[: chains[j]]] + j]
+        message = np.einsum("nij,nj->ni", through[at], back[at]) @ a.T
+        back[place[begin[by_pieces[: chains[j]]] + j - 1]] = message / message.sum(axis=1, keepdims=True)
+    forward = np.empty_like(e)
+    now = come * e[start]
+    forward[start] = now / now.sum(axis=1, keepdims=True)
+    for t in range(1, size):
+        if not (m := live[t]):
+            break
+        now = (forward[start[:m] + t - 1] @ a) * e[start[:m] + t]
+        forward[start[:m] + t] = now / now.sum(axis=1, keepdims=True)
+    out = np.empty_like(e)
+    for t in range(size - 1, -1, -1):
+        if not (m := live[t]):
+            continue
+        at = start[:m] + t
+        if t + 1 < size and live[t + 1]:
+            ahead = (e[at[: live[t + 1]] + 1] * back[: live[t + 1]]) @ a.T
+            back[: live[t + 1]] = ahead / ahead.sum(axis=1, keepdims=True)
+        out[at] = forward[at] * back[:m]
+    return out / out.sum(axis=1, keepdims=True)
+
+
+def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each word's chances, the expected moves and the expected first labels, over all chains a step at a time."""
     order = np.argsort(-chain, kind="stable")
     begins = (np.cumsum(chain) - chain)[order]
     sizes = chain[order]
@@ -142,8 +209,7 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, f
         if t + 1 < steps and live[t + 1]:
             m = live[t + 1]
             ahead = e[begins[:m] + t + 1] * back[:m]
-            if learning:
-                moved += forward[at[:m]].T @ (ahead / ((forward[at[:m]] @ a) * ahead).sum(axis=1, keepdims=True)) * a
+            moved += forward[at[:m]].T @ (ahead / ((forward[at[:m]] @ a) * ahead).sum(axis=1, keepdims=True)) * a
             b = ahead @ a.T
             back[:m] = b / b.sum(axis=1, keepdims=True)
         behind[at] = back[: live[t]]
@@ -152,14 +218,14 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, f
     return out, moved, out[begins].sum(axis=0) if steps else np.zeros(k)
 
 
-def _features(w: Words, first_text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _features(w: Words, first_text: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word its text and hash and how many features it has, and the slots of all words' features in order."""
     n = len(w.starts)
-    words, slots = [np.arange(n)] * len(w.affixes), [_slot(a) for a in w.affixes]
+    words, slots = [np.arange(n)] * len(w.affixes), [_slot(a, bits) for a in w.affixes]
     for hashed, inside in w.grams:
         at = np.flatnonzero(inside)
         words.append(np.searchsorted(w.ends, at, side="right"))
-        slots.append(_slot(hashed[at]))
+        slots.append(_slot(hashed[at], bits))
     of = np.concatenate(words)
     return w.text + first_text, w.whole, np.bincount(of, minlength=n), np.concatenate(slots)[np.argsort(of, kind="stable")].astype(np.int32)
 
@@ -169,13 +235,14 @@ def fit(samples: list[tuple[str, str]], rounds: int = 6, seed: int = 1) -> Model
 
     Stretches of the samples' words are joined at random into chains that switch languages, so that
     transitions are learned too. The log-likelihood's gradient (what was seen less what is expected) is followed
-    in steps scaled by the past gradients of each weight.
+    in steps scaled by the past gradients of each weight. Beyond 64 languages the feature table gets shorter, so that it keeps its size.
     """
     languages = sorted({lang for lang, _ in samples})
     rng = np.random.default_rng(seed)
     k = max(1, len(languages))
-    model = Model(languages or [UNKNOWN], np.zeros((1 << BITS, k), dtype=np.float32), np.zeros(1 << _LEXICON_BITS, dtype=np.uint64), np.zeros((1 << _LEXICON_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
-    parts = [_features(find_words([t for _, t in samples[at : at + 64]]), at) for at in range(0, len(samples), 64)]
+    model = Model(languages or [UNKNOWN], np.zeros((1 << max(10, BITS - max(0, (k - 1).bit_length() - 6)), k), dtype=np.float32), np.zeros(1 << _LEXICON_BITS, dtype=np.uint64), np.zeros((1 << _LEXICON_BITS, k), dtype=np.float32), np.zeros((k, k)), np.zeros(k))
+    bits = len(model.weights).bit_length() - 1
+    parts = [_features(find_words([t for _, t in samples[at : at + 64]]), at, bits) for at in range(0, len(samples), 64)]
     text, whole, sizes, slots = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=np.int64),) * 4
     n = len(text)
     if n == 0:
@@ -228,24 +295,35 @@ def fit(samples: list[tuple[str, str]], rounds: int = 6, seed: int = 1) -> Model
 def learn(docs: DataFrame) -> Model:
     """A model of docs(doc_id, text, lang): rows with text and lang that aren't held out.
 
-    About SAMPLE rows of each language are drawn by a hash of doc_id, SAMPLE at most, and a window of WINDOW
-    characters, placed by the hash, of each. Only these reach the driver. Rows without a doc_id teach nothing.
+    Their whole texts are cut in windows of WINDOW characters, and of each language's windows about SAMPLE, SAMPLE
+    at most, are drawn by a hash of doc_id and the window's number, so every part of every text has the
+    same chance. Only the sample reaches the task that fits, and only the model the driver. Every language is
+    learned: beyond TOTAL / SAMPLE languages, each has fewer windows. Rows without a doc_id teach
+    nothing, nor do rows with a null text or lang; repeated rows are drawn together. Without any window the model knows no language.
     """
     rows = docs.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < int(min(1.0, 1.25 * SAMPLE / r["n"]) * (1 << 30))))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(12)), F.greatest(F.length("text") - WINDOW, F.lit(1))).cast("int") + 1
-    drawn = rows.filter(chosen).select("lang", draw.alias("draw"), F.substring("text", start, F.lit(WINDOW)).alias("text")).collect() if counts else []
-    taken: Counter = Counter()
-    samples = []
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["lang"], r["text"])):
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= SAMPLE:
-            samples.append((r["lang"], r["text"]))
-    return fit(samples)
+    windows = F.greatest(F.ceil(F.length("text") / WINDOW), F.lit(1))
+    counts = rows.groupBy("lang").agg(F.sum(windows).alias("n")).collect()
+    if not counts:
+        return fit([])
+    most = max(LEAST, min(SAMPLE, TOTAL // len(counts)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, 1.25 * most / r["n"]) * (1 << 30)))])
+    draw = lambda i: F.pmod(F.xxhash64("doc_id", i, F.lit(11)), F.lit(1 << 30))
+    chosen = F.filter(F.sequence(F.lit(1), windows.cast("int")), lambda i: draw(i) < share[F.col("lang")])
+    drawn = F.explode(F.transform(chosen, lambda i: F.struct(draw(i).alias("draw"), F.substring("text", (i - 1) * WINDOW + 1, F.lit(WINDOW)).alias("text"))))
+    drawn = rows.select("lang", drawn.alias("w")).select("w.draw", "lang", "w.text")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: Counter = Counter()
+        samples = []
+        for draw, lang, text in sorted((r["draw"], r["lang"], r["text"]) for b in batches for r in b.to_pylist()):
+            taken[lang] += 1
+            if taken[lang] <= most:
+                samples.append((lang, text))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(samples))], pa.binary())], ["model"])
+
+    made = drawn.repartition(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([])
 
 
 def _chains(text: np.ndarray) -> np.ndarray:

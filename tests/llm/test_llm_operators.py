@@ -89,10 +89,27 @@ def test_forward_backward_is_exact():
             for x, y in itertools.pairwise(path):
                 m[x, y] += w
         assert chances[at : at + n] == pytest.approx(own / total, abs=1e-5)
+        assert langid.chances_in_pieces(scores[at : at + n], np.array([n]), moves, first) == pytest.approx(own / total, abs=1e-5)
         all_moved, all_begun, at = all_moved + m / total, all_begun + b / total, at + n
     assert moved == pytest.approx(all_moved, abs=1e-5) and begun == pytest.approx(all_begun, abs=1e-5)
 
 
+@pytest.mark.parametrize("chain", [[4, 1, 2], [1], [300, 17, 16, 33, 1, 2000], [50] * 30, [256], [257, 16], [5000]])
+def test_chains_in_pieces_are_exact(chain):
+    rng = np.random.default_rng(7)
+    scores, moves, first = rng.normal(size=(sum(chain), 4)).astype(np.float32) * 3, rng.normal(size=(4, 4)), rng.normal(size=4)
+    want = langid.forward_backward(scores, np.array(chain), moves, first)[0]
+    assert langid.chances_in_pieces(scores, np.array(chain), moves, first) == pytest.approx(want, abs=1e-9)
+
+
+def test_every_language_is_learned(spark, tmp_path):
+    rows = [(k, f"w{k % 70}x " * 30 + ("tail" * 4 + " ") * (600 if k == 1 else 0), f"l{k % 70}") for k in range(700)] + [(None, "no id", "zz"), (800, None, "zz"), (801, "no lang", None)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tmp_path)
+    model = langid.learn(docs)
+    assert model.languages == sorted({f"l{k}" for k in range(70)}) and len(model.weights) < 1 << langid.BITS
+    assert langid.learn(docs.limit(0)).languages == ["und"] == langid.learn(docs.filter("lang = 'zz'")).languages
+
+
 def test_switches_are_found():
     en, de = "the house and the garden were with them when that happened there ", "das haus und der garten waren nicht bei uns als wir sie gesehen haben "
     model = langid.fit([("en", en * 20), ("de", de * 20)] * 10)
