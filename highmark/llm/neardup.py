@@ -10,25 +10,26 @@
 3. What is asked for are connected groups, so pairs are compared as far as they can still join two:
    first the nodes of a key with its head, in a second round with another head where groups meet in a key,
    at last, in blocks, every pair of a key whose groups still differ. No cap, no list of a group's pairs.
-4. A candidate that isn't ruled out by set sizes or by signature distance is confirmed on full sets.
+4. Each such pair that set sizes don't rule out is confirmed on full sets.
+
+What a join gets is read from stored tables on both sides, so that a hot key (a group of copies, a hub, a
+key of many nodes) is split by adaptive execution. Sets travel with blocks of bounded size only.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from highmark.llm._shared import stored
+from highmark.llm._shared import Scratch, numbered, stored
 from highmark.llm.words import mix, shingles
 
 CHUNKS, SIZE = 12, 8
 SYMBOLS = CHUNKS * SIZE
-#: Signatures further apart aren't compared; a pair with similarity 0.85 is with a probability under 1e-9.
-FARTHEST = 40
-#: Nodes of a block in the last comparison.
-BLOCK = 128
+#: Nodes of a block in the last comparison, and hashes of their sets together, on average at most.
+BLOCK, WEIGHT = 128, 250_000
 _rng = np.random.default_rng(20240502)
 _FACTORS = _rng.integers(1 << 31, size=SYMBOLS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _ADDED = _rng.integers(1 << 32, size=SYMBOLS, dtype=np.uint32)[:, None]
@@ -67,47 +68,42 @@ def keys(signature: Column) -> Column:
     )
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """node, root (the smallest node reachable) for all nodes of links(a, b).
 
-    Stars are widened and narrowed in turn until nothing changes, in a number of rounds that grows with
-    the logarithm of the longest path; each round's links are stored.
+    Stars are widened and narrowed in turn until each node hangs on one root, in a number of rounds that
+    grows with the logarithm of the longest path; each step is stored with `keep`.
     """
-    links = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    before = total(links)
-    while True:
+    links = keep(_ordered(links).filter("a <> b"), "links")
+    while not _are_stars(links):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        wide = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
-        least = wide.groupBy("b").agg(F.min("a").alias("m"))
+        least = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        wide = keep(both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct(), "wide")
+        least = keep(wide.groupBy("b").agg(F.min("a").alias("m")), "least")
         narrow = wide.join(least, "b")
-        links = narrow.select(F.col("m").alias("a"), "b").unionByName(narrow.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        links = stored(links, "links")
-        now = total(links)
-        if now == before:
-            break
-        before = now
+        links = keep(narrow.select(F.col("m").alias("a"), "b").unionByName(narrow.filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     return links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node is a root of others or has one root."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.max("up").alias("up"), F.sum("down").alias("down")).filter("down > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def _stars(found: DataFrame) -> DataFrame:
     """Links (a, b) that connect what components() found connected."""
     return found.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b), those that set sizes and signatures don't rule out."""
-    own = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"signature_{x}"))
-    both = pairs.join(own("a"), "a").join(own("b"), "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype="<u2").reshape(-1, SYMBOLS) for k in (2, 3))
-            keep = (x != y).sum(axis=1) <= FARTHEST
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
-
-    return both.select("a", "b", "signature_a", "signature_b").mapInArrow(near, "a long, b long")
+def _fitting(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b, n_a), as ordered (a, b), those whose set sizes allow percent of the union."""
+    sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
+    return _ordered(pairs.distinct().join(sizes, "b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -119,7 +115,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 keep.append(_alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8"), percent))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(share, "a long, b long")
 
@@ -131,84 +127,102 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     A-Z lower-cased, or all words where there are fewer. component_id is the smallest doc_id that can be
     reached, first_row the smallest row number, both counting the row itself. Null, empty and blank
     texts have no shingles and are linked with nothing. A null doc_id takes part but is no component_id unless
-    all of a group are null. Rows of one doc_id are rows like others.
+    all of a group are null. Rows of one doc_id are rows like others; an empty table gives no row. docs is
+    read twice, so its row numbers should be stored (numbered()).
     """
     docs = docs.select("row", "doc_id", "text")
+    scratch = Scratch(docs.sparkSession)
+    keep = scratch.stored
     rows = stored(signed(docs, length), "signed")
     own = rows.filter("set_id is not null").groupBy("set_id")
-    nodes = stored(own.agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    entered = nodes.select("node", "copies", F.explode(keys(F.col("signature"))).alias("key"))
-    heads = entered.groupBy("key").agg(F.min_by("node", F.struct(-F.col("copies"), "node")).alias("head"), F.count("*").alias("entered")).filter("entered > 1")
-    shared = stored(entered.join(heads, "key").select("key", "node", "head"), "shared")
+    nodes = keep(own.agg(F.min("row").alias("node"), F.min("doc_id").alias("least_doc"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
+    entered = nodes.select("node", "n", F.explode(keys(F.col("signature"))).alias("key"))
+    heads = keep(entered.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("entered")).filter("entered > 1").select("key", "head"), "heads")
+    shared = keep(entered.join(heads, "key"), "shared")
 
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stored(_close(ordered(shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))), nodes, percent), "tried1")
+    pairs = shared.filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"), F.col("n").alias("n_a"))
+    tried = keep(_fitting(pairs, nodes, percent), "tried")
     texts = docs.join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-    sets = stored(_hashes(texts, length), "sets")
-    links = stored(_confirmed(tried, sets, percent), "links1")
-
+    sets = keep(_hashes(texts, length), "sets")
+    found = components(_confirmed(tried, sets, percent), keep)
     # a second head where groups meet in a key
-    found = components(links)
-    marked = stored(_mixed(shared, found), "mixed")
-    pairs = ordered(marked.filter("root <> large").select(F.col("node").alias("a"), F.col("other").alias("b"))).join(tried, ["a", "b"], "left_anti")
-    links = stored(_stars(found).unionByName(_confirmed(_close(pairs, nodes, percent), sets, percent)), "links2")
-    # all that can still join two groups
-    found = components(links)
-    links = stored(_stars(found).unionByName(_fields(_mixed(marked.select("key", "node"), found), found, nodes, sets, percent)), "links3")
-
-    found = nodes.select("set_id", "node").join(components(links), "node", "left").select("set_id", F.coalesce("root", "node").alias("root"))
-    rows = rows.join(found, "set_id", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "row").alias("first_row"))
-    least = rows.groupBy("first_row").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "first_row").select("row", "doc_id", "n_shingles", "component_id", "first_row")
-
-
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """key, node, root, large, other: the entries of keys in which groups meet, the key's largest group and a node of it."""
-    marked = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = _mixed(shared, found, keep)
+    if not mixed.isEmpty():
+        pairs = mixed.filter("root <> large").select(F.col("node").alias("a"), F.col("other").alias("b"), F.col("n").alias("n_a"))
+        pairs = keep(_fitting(pairs, nodes, percent).join(tried, ["a", "b"], "left_anti"), "tried")
+        found = components(_stars(found).unionByName(_confirmed(pairs, sets, percent)), keep)
+        # all that can still join two groups
+        mixed = _mixed(mixed.select("key", "node", "n"), found, keep)
+        if not mixed.isEmpty():
+            found = components(_stars(found).unionByName(_fields(mixed, found, sets, percent, keep)), keep)
+
+    placed = keep(nodes.select("set_id", "node", "least_doc").join(found, "node", "left").select("set_id", F.coalesce("root", "node").alias("first_row"), "least_doc"), "placed")
+    least = keep(placed.groupBy("first_row").agg(F.min("least_doc").alias("component_id")), "least")
+    labels = stored(placed.join(least, "first_row").select("set_id", "first_row", "component_id"), "labels")
+    scratch.drop()
+    mine = ["row", "doc_id", F.col("n").alias("n_shingles")]
+    alone = rows.filter("set_id is null").select(*mine, F.col("doc_id").alias("component_id"), F.col("row").alias("first_row"))
+    return rows.join(labels, "set_id").select(*mine, "component_id", "first_row").unionByName(alone)
+
+
+def _mixed(shared: DataFrame, found: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """key, node, n, root, large, other: the entries of keys in which groups meet, the key's largest group and a node of it."""
+    marked = keep(shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "marked")
     roots = marked.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "key")).alias("other"))
     keys_ = roots.groupBy("key").agg(F.max_by(F.struct("root", "other"), F.struct("n", "root")).alias("large"), F.count("*").alias("n")).filter("n > 1")
-    return marked.join(keys_.select("key", F.col("large.root").alias("large"), F.col("large.other").alias("other")), "key")
+    keys_ = keep(keys_.select("key", F.col("large.root").alias("large"), F.col("large.other").alias("other")), "keys")
+    return keep(marked.join(keys_, "key"), "mixed")
 
 
-def _fields(mixed: DataFrame, found: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _fields(mixed: DataFrame, found: DataFrame, sets: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The links (a, b) between groups that meet in a key.
 
     Nodes outside a key's largest group are compared with all of that group, and with all others that
     stand outside of it. That covers each pair of the key whose groups differ. Both sides go in blocks of about
-    BLOCK nodes, and pairs exist only within the comparison of two blocks.
+    BLOCK nodes; pairs of blocks are made from their numbers, and pairs of nodes exist only within a comparison of two blocks.
     """
-    outside = mixed.filter("root <> large").select(F.col("large").alias("field"), "node").distinct().withColumn("side", F.lit(1))
-    groups_ = outside.select("field").distinct()
-    inside = found.select(F.col("root").alias("field"), "node").unionByName(groups_.select("field", F.col("field").alias("node"))).distinct()
-    both = outside.unionByName(inside.join(groups_, "field").withColumn("side", F.lit(0)))
-    sizes = both.groupBy("field", "side").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    both = both.join(sizes, ["field", "side"]).select("field", "side", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    both = both.join(nodes.select("node", "signature"), "node").join(sets, "node")
-    blocks = both.groupBy("field", "side", "block").agg(F.collect_list(F.struct("node", "signature", "hashes")).alias("rows"))
-    blocks = stored(blocks, "blocks")
+    outside = keep(mixed.filter("root <> large").select(F.col("large").alias("field"), "node").distinct().withColumn("side", F.lit(1)), "outside")
+    groups_ = keep(outside.select("field").distinct(), "fields")
+    inside = found.select(F.col("root").alias("field"), "node").join(groups_, "field").unionByName(groups_.select("field", F.col("field").alias("node"))).distinct()
+    both = keep(outside.unionByName(inside.withColumn("side", F.lit(0))).join(sets, "node"), "both")
+    sizes = keep(both.groupBy("field", "side").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("hashes")) / (8 * WEIGHT))).alias("blocks")), "sizes")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    blocks = keep(both.join(sizes, ["field", "side"]).select("field", "side", block, "node", "hashes").groupBy("field", "side", "block").agg(F.collect_list(F.struct("node", "hashes")).alias("rows")), "blocks")
+    numbers = blocks.select("field", "side", "block")
+    met = keep(numbers.filter("side = 1").select("field", F.col("block").alias("l_block")).join(numbers, "field").filter("side = 0 or block >= l_block"), "met")
     left = blocks.filter("side = 1").select("field", F.col("block").alias("l_block"), F.col("rows").alias("l_rows"))
-    met = left.join(blocks, "field").filter("side = 0 or block >= l_block").select("l_rows", "rows")
+    met = met.join(left, ["field", "l_block"]).join(blocks, ["field", "side", "block"]).select("l_rows", "rows")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(rows: pa.StructArray) -> tuple:
-            node, sign, hashes = (rows.field(k) for k in range(3))
-            return node.to_numpy(), np.frombuffer(b"".join(sign.to_pylist()), dtype="<u2").reshape(-1, SYMBOLS), [np.frombuffer(h.as_buffer(), dtype="<u8") for h in hashes]
+        def parts(rows: pa.StructArray) -> tuple[np.ndarray, list[np.ndarray]]:
+            return rows.field(0).to_numpy(), [np.frombuffer(h.as_buffer(), dtype="<u8") for h in rows.field(1)]
 
         for b in batches:
             for at in range(b.num_rows):
-                (left, l_sign, l_sets), (right, r_sign, r_sets) = (parts(c[at].values) for c in b.columns)
-                r_n = np.array([len(x) for x in r_sets])
-                out: list[tuple[int, int]] = []
-                for x, own, p in zip(left.tolist(), l_sign, l_sets, strict=True):
-                    fits = np.minimum(r_n, len(p)) * 100 >= np.maximum(r_n, len(p)) * percent
-                    for k in np.flatnonzero(fits & ((r_sign != own).sum(axis=1) <= FARTHEST) & (right != x)):
-                        if _alike(p, r_sets[k], percent):
-                            out.append((x, int(right[k])))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+                (left, l_sets), (right, r_sets) = (parts(c[at].values) for c in b.columns)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _linked(left, l_sets, right, r_sets, percent)], ["a", "b"])
 
     return met.mapInArrow(compare, "a long, b long")
 
 
+def _linked(left: np.ndarray, l_sets: list[np.ndarray], right: np.ndarray, r_sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two blocks of nodes whose sets share at least percent of their union: all sets of the right are looked up at once."""
+    r_n = np.array([len(x) for x in r_sets])
+    hashes = np.concatenate(r_sets)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], np.repeat(np.arange(len(r_sets)), r_n)[order]
+    a, b = [], []
+    for x, own in zip(left.tolist(), l_sets, strict=True):
+        low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(owner[at], minlength=len(r_sets))
+        found = np.flatnonzero((both * 100 >= percent * (len(own) + r_n - both)) & (right != x))
+        a.append(np.full(len(found), x))
+        b.append(right[found])
+    return np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+
+
 def _alike(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets share at least percent of their union."""
     at = np.searchsorted(p, q)
@@ -230,14 +244,17 @@ def _hashes(docs: DataFrame, length: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
-    """groups() of docs(doc_id, text), which should come from files: rows are told apart by their place in the scan."""
-    return groups(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), length, percent)
+    """groups() of docs(doc_id, text), any rows."""
+    return groups(numbered(docs.select("doc_id", "text"), "row"), length, percent)
 
 
 def deduplicate(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs with its columns, one of each group: that with the smallest doc_id (null last), then the first row."""
+    """The rows of docs with its columns, one of each group: that with the smallest doc_id (null last), then the first row.
+
+    Null, empty and blank texts are a group each, so all such rows stay. An empty table gives none.
+    """
     own = docs.columns
-    rows = docs.withColumn("__hm_row", F.monotonically_increasing_id())
-    found = stored(groups(rows.select(F.col("__hm_row").alias("row"), "doc_id", "text"), length, percent), "groups")
-    best = found.groupBy("first_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    return rows.join(best.select(F.col("best.row").alias("__hm_row")), "__hm_row", "left_semi").select(*[F.col(f"`{c}`") for c in own])
+    rows = numbered(docs, "__hm_row")
+    found = groups(rows.select(F.col("__hm_row").alias("row"), "doc_id", "text"), length, percent)
+    best = stored(found.groupBy("first_row").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")).select(F.col("best.row").alias("__hm_row")), "best")
+    return rows.join(best, "__hm_row", "left_semi").select(*[F.col(f"`{c}`") for c in own])
