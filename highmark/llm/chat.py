@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Characters of a text in a delta event that events_of_rows() writes.
 DELTA = 512
+#: Characters of a stretch in which spans are looked up.
+STRETCH = 16_384
 
 
 def escape(text: Column) -> Column:
@@ -59,13 +61,13 @@ def fold(events: DataFrame) -> DataFrame:
     """A row per message of the log: conv_id, turn, message, role, text.
 
     Null seqs come first, ties in seq go by kind, then text. Null texts are empty; unknown kinds are
-    deltas. A message's role is the one of its first event that has any. Only a single message's own events need to meet in a task.
+    deltas; events that repeat count each. A message's role is the one of its first event that has any. An empty log gives
+    no message. Only a single message's own events need to meet in a task.
     """
-    reset = F.max(F.when(F.col("kind").isin("edit", "regenerate"), F.col("seq")))
-    messages = events.groupBy("conv_id", "turn", "message").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "kind", "text"))).alias("log"), reset.alias("reset"), F.min_by("role", F.when(F.col("role").isNotNull(), F.coalesce("seq", F.lit(-1)))).alias("role")
-    )
-    lasting = F.filter("log", lambda e: F.col("reset").isNull() | (e["seq"] > F.col("reset")) | ((e["seq"] == F.col("reset")) & (e["kind"] == "edit")))
+    messages = events.groupBy("conv_id", "turn", "message").agg(F.sort_array(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("log"))
+    last = F.array_max(F.transform("log", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i)))
+    messages = messages.withColumn("last", F.coalesce(last, F.lit(-1))).withColumn("role", F.try_element_at(F.filter("log", lambda e: e["role"].isNotNull()), F.lit(1))["role"])
+    lasting = F.filter("log", lambda e, i: (i > F.col("last")) | ((i == F.col("last")) & (e["kind"] == "edit")))
     return messages.select("conv_id", "turn", "message", "role", F.array_join(F.transform(lasting, lambda e: F.coalesce(e["text"], F.lit(""))), "").alias("text"))
 
 
@@ -90,11 +92,19 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def turns(formatted: Column) -> Column:
-    """The (role, text) pairs of a rendered conversation."""
+    """The (role, text) pairs of a rendered conversation, in order; none of an empty string, null of null."""
     of = lambda group: F.regexp_extract_all(formatted, F.lit(r"<\|im_start\|>([^\n<]*)\n([^<]*)<\|im_end\|>\n"), F.lit(group))
     return F.zip_with(of(1), of(2), lambda role, text: F.struct(unescape(role).alias("role"), unescape(text).alias("text")))
 
 
 def learned_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(loss, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped; empty without spans.
+
+    Spans are taken from stretches of STRETCH characters, not each from the whole conversation.
+    """
+    count = F.ceil(F.length(formatted) / STRETCH).cast("int")
+    stretches = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.substring(formatted, i * STRETCH + 1, F.lit(STRETCH)))
+    first = lambda s: F.floor(s["start"] / STRETCH).cast("int")
+    several = lambda s, parts: F.array_join(F.slice(parts, first(s) + 1, F.floor((s["start"] + s["length"]) / STRETCH).cast("int") - first(s) + 1), "")
+    text = lambda s, parts: unescape(F.substring(several(s, parts), (s["start"] % STRETCH + 1).cast("int"), s["length"].cast("int")))
+    return F.transform(F.array(stretches), lambda parts: F.array_join(F.transform(loss, lambda s: text(s, parts)), ""))[0]
