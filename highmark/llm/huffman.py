@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm._shared import shared_dir
+from highmark.llm._shared import Scratch, shared_dir
 from highmark.llm.tokens import starts, tokenised
 
 BLOCK, STEP, LONGEST = 65_536, 256, 16
@@ -133,9 +133,10 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool
     Null texts are empty: their end id alone. Rows of one doc_id stand together. A document isn't cut
     between blocks, so a block holds BLOCK ids and at most one document more. The code lengths, one per
     id of the vocabulary, are made on the driver. width: bytes of an id between the passes, 2 for
-    vocabularies of up to 65,536 ids, else 4.
+    vocabularies of up to 65,536 ids (others are refused), else 4. An empty table gives files without documents.
     """
-    spark, ids = docs.sparkSession, tokenised(docs, path, end_id, spaced, width)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
+    ids = tokenised(docs, path, end_id, spaced, width, scratch.stored)
     counts = sorted(map(tuple, id_counts(ids, width).collect()))
     used, n = (np.array(x, dtype=np.int64) for x in zip(*counts, strict=True)) if counts else (np.zeros(0, dtype=np.int64),) * 2
     lengths = code_lengths(n)
@@ -167,6 +168,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool
 
     ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
+    scratch.drop()
 
 
 _arrow = pa.schema(
@@ -175,7 +177,10 @@ _arrow = pa.schema(
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per document of a written folder: doc_id, start (ids of all documents before it), n_tokens, ids binary."""
+    """A row per document of a written folder: doc_id, start (ids of all documents before it), n_tokens, ids binary.
+
+    Null and repeated doc_ids come back as they were written; a folder without documents gives no row.
+    """
     rows = spark.read.schema("id long, length int").parquet(f"{folder}/codes").collect()
     codes = Codes(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64))
     blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
@@ -203,7 +208,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """docs written to a new shared folder and read back."""
+    """docs(doc_id, text) written to a new shared folder and read back, each row once; see write() and read() for odd rows."""
     folder = shared_dir(docs.sparkSession)
     write(docs, folder, path, end_id)
     return read(docs.sparkSession, folder)

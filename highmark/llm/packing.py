@@ -38,7 +38,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, length: int = LENGTH, spac
 def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = PAD) -> DataFrame:
     """A row per sequence: sequence_id, n_ids, ids binary of 4 * length bytes, the last sequence padded.
 
-    At most `length` pieces meet in a group.
+    At most `length` pieces meet in a group. Pieces of null doc_ids are pieces like others; no piece, no sequence.
     """
     joined = F.expr("aggregate(ps, cast('' as binary), (all, p) -> concat(all, p.ids))")
     padding = "".join(f"{b:02x}" for b in pad.to_bytes(4, "little"))

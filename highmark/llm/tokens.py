@@ -3,7 +3,7 @@
 import gc
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,8 @@ class Encoder:
 
     Neither kind of tokenizer joins anything across the start of a run of white space, so texts are cut
     there, and each different chunk is encoded once: plain ones by the tokenizer's model, piece by piece,
-    others by all of it. spaced: chunks keep the white space before them, as byte-level vocabularies
+    others by all of it. A text that holds the string of an added token, in any case of letters, goes to the
+    tokenizer as a whole. spaced: chunks keep the white space before them, as byte-level vocabularies
     need it; otherwise white space is dropped and letters are lower-cased, as by tokenizers that end words.
     """
 
@@ -45,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda _: None
+        self.size = self.tokenizer.get_vocab_size()
         self.model, self.spaced = self.tokenizer.model, spaced
         self.cut = _SPACED.findall if spaced else bytes.split
         self.known: dict[bytes, bytes] = {}
@@ -70,7 +73,7 @@ class Encoder:
             self.pieces.clear()
         out = []
         for t in texts:
-            if self.spaced and _WIDE.search(t):
+            if self.added(t) or self.spaced and _WIDE.search(t):
                 out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
                 continue
             chunks = self.cut(t.encode())
@@ -93,17 +96,20 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int = 4) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int = 4, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """docs(doc_id, text) as a stored table: part int, ahead long, doc_id, n long, ids binary.
 
     ids: the text's ids and end_id, as little-endian integers of `width` bytes (2 where all ids are below
-    65,536, or 4); a null text has end_id alone. ahead: the ids that stand before a row in its partition. Null doc_ids and repeated rows are rows like others.
+    65,536, which is checked, or 4); a null text has end_id alone. ahead: the ids that stand before a row in its partition. Null doc_ids and
+    repeated rows are rows like others; an empty table gives none.
     """
     schema = "part int, ahead long, doc_id long, n long, ids binary"
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, ahead = encoder(path, spaced), TaskContext.get().partitionId(), 0
+        if width == 2 and max(own.size - 1, end_id) >= 1 << 16:
+            raise ValueError(f"{own.size} ids don't fit in two bytes")
         gc.disable()  # millions of small byte strings, none in a cycle
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
@@ -119,7 +125,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int
                 )
         gc.enable()
 
-    return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, schema), "ids")
+    return keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, schema), "ids")
 
 
 def starts(totals: DataFrame) -> DataFrame:
