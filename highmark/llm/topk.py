@@ -4,23 +4,29 @@ Vectors are dealt out in blocks. Each block keeps, for each dimension, its vecto
 component; for a query these are lists of contributions, read from the end that adds most. Reading all
 lists to a depth bounds each vector's score from below (what was read, and the least that the unread
 components can add) and from above (the last value read in their place). Vectors whose upper bound
-lies below the k-th lower bound are out, seen or not; reading ends when no outsider can qualify, and the scores of the few that remain are then resolved. Blocks meet in
-a last selection of k per query.
+lies below the k-th lower bound are out, seen or not. Reading ends when no outsider can qualify and those that
+remain are fewer than the entries still unread in a list; their final scores are then resolved in
+integers from their own vectors, which the block holds. No list is ever probed for a vector. Blocks meet
+in a last selection of k per query.
+
+How much is left unread depends on the data: components that vary alike in all dimensions, as those of random vectors,
+keep bounds wide until nine tenths of the lists are read.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Vectors and queries of a block.
-BLOCK, QUERIES = 4_096, 256
+BLOCK, QUERIES = 2_048, 256
 #: Shares of a list that are read before bounds are compared.
-DEPTHS = (1 / 4, 1 / 2, 3 / 4, 1)
-_PACKED = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType())])
+DEPTHS = (0.5, 0.8, 0.9, 0.95, 0.99, 1)
+_PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType())])
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -34,15 +40,18 @@ class Lists:
         self.place = np.empty_like(rows, dtype=np.int32)  # a row's place in each list
         np.put_along_axis(self.place, self.order.T, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best (ties to the smaller id), the query's own row left out."""
+    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids and scores of the k best (ties to the smaller id), the query's own row left out; entries read of each list."""
         n = len(self.ids)
         weight, up = query.astype(np.float64), query > 0
         order, values, side = self.order, self.values, up[:, None]
         final = np.where(up, values[:, 0], values[:, -1]) * weight
         read = np.full(n, final.sum())  # lower bounds: an unread component adds its list's last entry
+        slack = 1e-12 * (np.abs(values[:, [0, -1]]).max(axis=1) @ np.abs(weight)) if len(query) else 0.0  # of sums in floating point
         alive, at = self.ids != query_id, 0
         for share in DEPTHS if len(query) else ():
+            if int(alive.sum()) <= max(k, n - at) and at:
+                break
             depth = max(at + 1, min(n, int(np.ceil(n * share))))
             rows = np.where(side, order[:, n - depth : n - at], order[:, at:depth])
             added = np.where(side, values[:, n - depth : n - at], values[:, at:depth]) * weight[:, None] - final[:, None]
@@ -56,13 +65,13 @@ class Lists:
                 unread = (place < np.where(up, n - depth, 0)) | (place >= np.where(up, n, depth))
                 last = np.where(up, values[:, n - depth], values[:, depth - 1]) * weight
                 upper = read[left] + unread @ (last - final)
-                alive[left[upper < np.partition(read[left], len(left) - k)[len(left) - k]]] = False
-            if int(alive.sum()) <= 2 * k:
-                break
+                alive[left[upper < np.partition(read[left], len(left) - k)[len(left) - k] - slack]] = False
         left = np.flatnonzero(alive)
-        score = read[left].astype(np.int64) if at == n else self.rows[left] @ query
+        if at == n and len(left) > k:  # all is read: only what rounding can't tell apart is left
+            left = left[read[left] >= np.partition(read[left], len(left) - k)[len(left) - k] - slack]
+        score = self.rows[left] @ query
         best = np.lexsort((self.ids[left], -score))[:k]
-        return self.ids[left][best], score[best]
+        return self.ids[left][best], score[best], at
 
 
 def _usable(vector: str) -> Column:
@@ -70,14 +79,14 @@ def _usable(vector: str) -> Column:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, v array<long>) in blocks of at most `size` rows of one width, from within each partition."""
+    """rows(id, v array<long>) in blocks of at most `size` rows of one width, from within each partition, whose number is kept as part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
         def block(width: int) -> pa.RecordBatch:
             ids, vs = held.pop(width)
-            return pa.RecordBatch.from_pylist([{"width": width, "ids": np.array(ids, dtype="<i8").tobytes(), "rows": np.array(vs, dtype="<i8").reshape(len(ids), width).tobytes()}], schema=pa.schema([("width", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]))
+            return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "width": width, "ids": np.array(ids, dtype="<i8").tobytes(), "rows": np.array(vs, dtype="<i8").reshape(len(ids), width).tobytes()}], schema=pa.schema([("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]))
 
         for b in batches:
             for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -93,24 +102,25 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(pack, _PACKED)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, spread: int = 32) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, spread: int | None = None) -> DataFrame:
     """For each row of queries(vec_id, embedding), the k best rows of vectors(vec_id, embedding) but those of its own vec_id.
 
-    Components become floor(scale * x), which should stay below 2 ** 26 in size; scores are their exact
-    integer inner products. Returns query_id, rank (from 1), vec_id, score, best first, ties to the
+    Components become floor(scale * x); scores are their exact inner products, which should fit in 64 bits.
+    Returns query_id, rank (from 1), vec_id, score, best first, ties to the
     smaller vec_id; repeated rows are candidates each. Rows with a null vec_id, or whose vector is null
     or has a null, NaN or infinite component, take no part; vectors of another width than the query's are no
     candidates. A query without candidates has no rows.
 
-    Vector blocks are dealt over `spread` groups, and each query block goes to every group, so queries
-    meet all rows in blocks: what is copied is queries times `spread`.
+    Vectors are dealt evenly over `spread` groups, by default one for each BLOCK of them, and each query block goes to every group,
+    so queries meet all rows in blocks: what is copied is queries times `spread`.
     """
     whole = lambda df: df.filter("vec_id is not null").filter(_usable("embedding")).select(
         F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")
     )
-    blocks = _packed(whole(vectors).repartition(spread), BLOCK).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(spread)))
-    asked = _packed(whole(queries).repartition(max(1, spread // 8)), QUERIES)
-    asked = asked.select(F.col("width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("group"))
+    spread = spread or max(1, -(-vectors.count() // BLOCK))
+    blocks = _packed(whole(vectors).repartition(spread), BLOCK).withColumnRenamed("part", "group")
+    asked = _packed(whole(queries).repartition(max(1, spread // 64)), QUERIES)
+    asked = asked.select(F.col("width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("group"))
     met = blocks.join(asked, ["group", "width"]).select("width", "ids", "rows", "q_ids", "q_rows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +134,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                 asked_ids = np.frombuffer(q_ids, dtype="<i8")
                 out: list[tuple[np.ndarray, ...]] = []
                 for q, v in zip(asked_ids.tolist(), np.frombuffer(q_rows, dtype="<i8").reshape(len(asked_ids), width), strict=True):
-                    found, score = made[1].top(q, v, k)
+                    found, score, _ = made[1].top(q, v, k)
                     out.append((np.full(len(found), q), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
