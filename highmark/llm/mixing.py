@@ -13,7 +13,7 @@ SALTS * 512 cells, however many documents it holds.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from highmark.llm._shared import WORD
+from highmark.llm._shared import WORD, numbered, stored
 
 #: Cells that share a source and a size class.
 SALTS = 256
@@ -65,11 +65,11 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     """A row per row of docs(doc_id, text, source): ids, size, source_size, target, copies int, taken long.
 
     size is the number of words, 0 for null or blank texts, which are emitted as often as others of
-    their source. Null ids and repeated rows are rows like others. copies is at most `most`. The same
+    their source. Null ids and repeated rows are rows like others; an empty table gives none. copies is at most `most`. The same
     rows and seed give the same copies.
     """
-    text = F.col("text")
-    rows = docs.select(*ids, "source", word_count(text).alias("size")).withColumn("key", _source_key(F.col("source")))
+    sizes = stored(docs.select(*ids, "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are read once
+    rows = sizes.withColumn("key", _source_key(F.col("source")))
     digits = F.length(F.bin("size"))
     rows = rows.withColumn("size_class", digits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7").cast("int")).withColumn(
         "salt", _hash24(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS
@@ -94,12 +94,9 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 0) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with the columns that docs has.
-
-    Rows are told apart by their place in the scan, so docs should come from files (or be stored).
-    """
+    """The rows of docs, each as often as the mix takes it, with the columns that docs has. Odd rows go as in mix_plan()."""
     own = docs.columns
-    rows = docs.withColumn("__hm_row", F.monotonically_increasing_id())
+    rows = numbered(docs, "__hm_row")
     plan = mix_plan(rows.select("doc_id", "text", "source", "__hm_row"), weights, most, seed, ("doc_id", "__hm_row"))
     plan = plan.filter("copies > 0").select("__hm_row", F.col("copies").alias("__hm_copies"))
     taken = rows.join(plan, "__hm_row").withColumn("__hm_nth", F.explode(F.sequence(F.lit(1), F.col("__hm_copies"))))
