@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing, spans, topk, warc
-from highmark.llm._shared import shared_dir, stored
+from highmark.llm._shared import remove, shared_dir, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,22 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back; see warc for null, empty and repeated rows. problem is null for whole records."""
     folder = f"{shared_dir(spark)}/archives"
     warc.write(_table(spark, sf_dir, "pages"), folder)
     read = warc.read(spark, folder).select(
         "record_id", "page_id", "type", "refers_to", "problem", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
     )
     read = stored(read, "read")
-    first = read.filter("type = 'response'").select(
-        F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest")
-    )
-    return read.join(first, "refers_to", "left").select(
-        "page_id",
-        F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "first_digest").alias("payload_digest"),
-        F.col("type").alias("record_type"),
-        F.col("first_id").alias("refers_to"),
-    )
+    remove(spark, folder)
+    again = F.col("type") == "revisit"
+    first = read.filter(~again).select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_id"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
+    revisits = read.filter(again).drop("payload_bytes", "payload_digest").join(first, "refers_to", "left")
+    whole = read.filter(~again | F.col("type").isNull()).select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "problem")
+    return whole.unionByName(revisits.select("page_id", F.col("first_bytes").alias("payload_bytes"), F.col("first_digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("first_id").alias("refers_to"), "problem"))
 
 
 OP1_SQL = """
@@ -35,17 +32,19 @@ WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes < 100 OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to FROM f
+       CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to, NULL::VARCHAR AS problem FROM f
 """
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; null and letterless texts are `und` with score 0, repeated rows and null ids are rows like others. An empty table gives no row."""
     docs = _table(spark, sf_dir, "documents")
     labelled = langid.identify(docs.select("doc_id", "text"), langid.learn(docs))
     return labelled.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of each queried one; see topk.top_k() for nulls, ties and repeated rows. An empty table gives no row."""
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
@@ -63,6 +62,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and its group; texts without a word are a group each. See neardup.groups() for null ids and repeated rows. An empty table gives no row."""
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -83,6 +83,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document; null texts have size 0, null sources are one source, repeated rows are rows like others. An empty table gives no row."""
     plan = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -121,21 +122,25 @@ def _vocabulary(name: str) -> str:
 
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences; null texts are their end id alone, repeated rows and null ids are rows like others. An empty table gives no row."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand earlier; see spans.clean() for null texts, null ids and repeated rows. An empty table gives no row."""
     cleaned = spans.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "text", "n_sentences", "n_removed", "n_words_removed")
 
 
 def op9_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from Huffman-coded files in order of doc_id, null first; null texts are their end id alone. An empty table gives no row."""
     docs = huffman.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of each document, row by row; null texts have no words and fail. An empty table gives no row."""
     judged = lines.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -165,6 +170,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each rendered conversation; null texts are empty, ties in turn go by role and text. An empty table gives no row but conversation -7."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))

@@ -7,6 +7,7 @@ record they continue, ordered by segment number, checked against the total lengt
 body's chunked framing.
 """
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from highmark.llm._shared import numbered, stored
+
 #: Block bytes of a segment, body bytes of a chunk, records of a file (so a file has 64 MB at most, unpacked).
 SEGMENT, CHUNK, RECORDS = 32_768, 8_192, 2_000
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORD = "record_id string, type string, page_id long, digest string, refers_to string, origin_id string, segment long, total long, block binary"
+_RECORD = "record_id string, type string, page_id long, digest string, refers_to string, origin_id string, segment long, total long, block binary, problem string"
 _PAYLOAD = "record_id string, type string, page_id long, digest string, refers_to string, payload binary, problem string"
 
 
@@ -50,15 +53,17 @@ def records(pages: DataFrame, segment: int = SEGMENT, date: str = "2024-01-01T00
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, the one with the smallest page_id (null
     last, then the first row) is a response and the others revisit it. A null html is an empty payload;
-    a null page_id or url has no header line. Rows that repeat have records of their own.
-    Rows are told apart by their place in the scan, so pages should come from files.
+    a null page_id or url has no header line. Rows that repeat have records of their own; no page gives no record.
+    pages(row, ...) are numbered rows (numbered()): only numbers and digests meet by payload.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select("row", F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    digests = stored(rows.filter(F.length("payload") >= LEAST_REVISIT).select("row", "page_id", "digest"), "digests")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = rows.filter(F.length("payload") >= LEAST_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").select("digest", F.col("first.row").alias("first_row"))
-    rows = rows.join(firsts, "digest", "left").withColumn("again", F.coalesce(F.col("first_row") != F.col("row"), F.lit(False)))
+    firsts = digests.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.filter("n > 1").select("digest", F.col("first.row").alias("first_row")), "firsts")
+    again = stored(digests.join(firsts, "digest").filter("row <> first_row").select("row", "first_row"), "again")
+    rows = rows.join(again, "row", "left").withColumn("again", F.col("first_row").isNotNull())
     rows = rows.withColumn("block", F.when(F.col("again"), F.lit(_HTTP)).otherwise(F.concat(F.lit(_HTTP), _framed(F.col("payload")))).cast("binary"))
     rows = rows.withColumn("total", F.length("block")).withColumn("segments", F.ceil(F.col("total") / segment).cast("int"))
     parts = rows.select("row", "page_id", "url", "digest", "first_row", "again", "block", "total", "segments", F.explode(F.sequence(F.lit(1), F.col("segments"))).alias("part"))
@@ -86,70 +91,128 @@ def records(pages: DataFrame, segment: int = SEGMENT, date: str = "2024-01-01T00
 
 
 def write(pages: DataFrame, folder: str, segment: int = SEGMENT) -> None:
-    """Writes the records of pages as gzipped archives of at most RECORDS records to folder."""
+    """Writes the records of pages(page_id, url, html) as gzipped archives of at most RECORDS records to folder. Any rows do: see records()."""
+    pages = numbered(pages.select("page_id", "url", "html"), "row")
     records(pages, segment).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(folder)
 
 
-def _parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive that comes in pieces; one that breaks off ends it."""
-    held = b""
+def _parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes | None, str | None]]:
+    """Header fields (names in lower case), block and problem of each record of an archive that comes in pieces.
+
+    What isn't a record, or has no readable length, is told as "header" once, and reading goes on at the next
+    line feeds with a record behind them. A record that breaks off, or an archive that can't be unpacked any further, is told as "truncated".
+    """
+    held, at, damaged = bytearray(), 0, False
 
     def more() -> bool:
-        nonlocal held
-        new = next(pieces, None)
-        held += new or b""
+        nonlocal at, damaged
+        if at > 1 << 20:
+            del held[:at]
+            at = 0
+        try:
+            new = next(pieces, None)
+        except zlib.error:
+            new, damaged = None, True
+        held.extend(new or b"")
         return new is not None
 
-    while True:
-        while b"\r\n\r\n" not in held.lstrip(b"\r\n"):
+    def found(mark: bytes) -> int:
+        """How far from here a mark begins, -1 without any."""
+        looked = 0
+        while (place := held.find(mark, at + looked)) < 0:
+            looked = max(0, len(held) - at - len(mark) + 1)
             if not more():
+                return -1
+        return place - at
+
+    while True:
+        while at < len(held) and held[at] in b"\r\n":
+            at += 1
+        if at == len(held):
+            if more():
+                continue
+            if damaged:
+                yield {}, None, "truncated"
+            return
+        n = found(b"\r\n\r\n")
+        if n < 0 and bytes(held[at : at + 5]) == b"WARC/":
+            yield {}, None, "truncated"
+            return
+        lines = bytes(held[at : at + max(n, 0)]).decode("utf-8", "replace").split("\r\n")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not lines[0].startswith("WARC/") or not re.fullmatch(r"[0-9]{1,18}", fields.get("content-length", "")):
+            yield {}, None, "header"
+            n = found(b"\r\n\r\nWARC/")
+            if n < 0:
                 return
-        held = held.lstrip(b"\r\n")
-        head, _, held = held.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode("utf-8", "replace").split("\r\n")[1:] if ": " in x)
-        size = int(fields.get("Content-Length", 0))
-        while len(held) < size:
+            at += n
+            continue
+        at += n + 4
+        size = int(fields["content-length"])
+        while len(held) - at < size:
             if not more():
+                yield fields, None, "truncated"
                 return
-        yield fields, held[:size]
-        held = held[size:]
+        yield fields, bytes(held[at : at + size]), None
+        at += size
 
 
 def _unpacked(raw: bytes) -> Iterator[bytes]:
+    """The bytes of an archive a megabyte at a time, through all its gzip members; zlib.error where they are damaged or break off."""
     if raw[:2] != b"\x1f\x8b":
-        yield raw
+        for at in range(0, len(raw), 1 << 20):
+            yield raw[at : at + (1 << 20)]
         return
-    while raw:  # members may follow each other
+    rest = memoryview(raw)
+    while len(rest):
         member = zlib.decompressobj(31)
-        while raw and not member.eof:
-            yield member.decompress(raw, 1 << 20)
-            if member.unconsumed_tail:
-                raw = member.unconsumed_tail
-            else:
-                raw = member.unused_data
+        while not member.eof:
+            if not len(rest):
                 yield member.flush()
-                break
+                if member.eof:
+                    break
+                raise zlib.error("a member breaks off")
+            taken, rest = rest[: 1 << 16], rest[1 << 16 :]
+            while len(taken) and not member.eof:
+                yield member.decompress(taken, 1 << 20)
+                taken = member.unconsumed_tail
+        rest = memoryview(raw)[len(raw) - len(rest) - len(member.unused_data) :]
+        while len(rest) and rest[0] == 0:  # padding
+            rest = rest[1:]
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"-?[0-9]{1,18}", value) else None
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per record of the archives in folder, segments not yet put together."""
-    names = ("WARC-Record-ID", "WARC-Type", "WARC-Page-ID", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Segment-Origin-ID", "WARC-Segment-Number", "WARC-Segment-Total-Length")
-    numbers = {"WARC-Page-ID", "WARC-Segment-Number", "WARC-Segment-Total-Length"}
-    schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin_id", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("block", pa.binary())])
+    """A row per record of the archives in folder, segments not yet put together.
+
+    Header names are read in any case of letters; ids and lengths that are no number are null. What can't
+    be read is a row with nothing but a `problem` ("header" or "truncated"), and the archive's other records stay. An
+    archive passes through one task whole, so a file should have some hundred MB at most (written ones have 64).
+    """
+    names = ("warc-record-id", "warc-type", "warc-page-id", "warc-payload-digest", "warc-refers-to", "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length")
+    numbers = {"warc-page-id", "warc-segment-number", "warc-segment-total-length"}
+    schema = pa.schema(
+        [("record_id", pa.string()), ("type", pa.string()), ("page_id", pa.int64()), ("digest", pa.string()), ("refers_to", pa.string()), ("origin_id", pa.string()), ("segment", pa.int64()), ("total", pa.int64())]
+        + [("block", pa.binary()), ("problem", pa.string())]
+    )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         for b in batches:
             for raw in b.column(0):
                 rows: list[list] = []
                 held = 0
-                for fields, block in _parse(_unpacked(raw.as_py())):
-                    rows.append([*((int(v) if k in numbers else v) if (v := fields.get(k)) is not None else None for k in names), block])
-                    held += len(block)
+                for fields, block, problem in _parse(_unpacked(raw.as_py())):
+                    rows.append([*(_number(fields.get(k)) if k in numbers else fields.get(k) for k in names), block, problem])
+                    held += len(block or b"")
                     if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                        yield batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield batch(rows)
 
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(parse, _RECORD)
 
@@ -159,17 +222,18 @@ def reassemble(parts: DataFrame) -> DataFrame:
 
     `problem` is null where all is well: segments numbered 1 to n (a segment found twice with the same
     bytes counts once), as long together as the last one says. Otherwise it is "segments" or "length",
-    and the block is null. Records without a segment number are whole as they are and aren't shuffled.
+    and the block is null. Records without a segment number are whole as they are, with the problem that they have, and aren't shuffled.
+    Segments without any id are put together; they can't be told apart.
     """
     kept = ["record_id", "type", "page_id", "digest", "refers_to"]
-    whole = parts.filter("segment is null").select(*kept, "block", F.lit(None).cast("string").alias("problem"))
+    whole = parts.filter("segment is null").select(*kept, "block", "problem")
     groups = parts.filter("segment is not null").groupBy(F.coalesce("origin_id", "record_id").alias("record_id"))
     joined = groups.agg(
-        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.min_by(F.struct("type", "page_id", "digest", "refers_to"), "segment").alias("first")
+        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("problem").alias("broken"), F.min_by(F.struct("type", "page_id", "digest", "refers_to"), "segment").alias("first")
     )
     numbers = F.transform("parts", lambda p: p["segment"])
     length = F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + F.length(p["block"]))
-    problem = F.when((numbers != F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))) | F.col("total").isNull(), "segments").when(length != F.col("total"), "length")
+    problem = F.when(F.col("broken").isNotNull(), F.col("broken")).when((numbers != F.sequence(F.lit(1).cast("long"), F.size("parts").cast("long"))) | F.col("total").isNull(), "segments").when(length != F.col("total"), "length")
     block = F.array_join(F.transform("parts", lambda p: p["block"].cast("string")), "").cast("binary")
     joined = joined.withColumn("problem", problem).select("record_id", "first.type", "first.page_id", "first.digest", "first.refers_to", F.when(F.col("problem").isNull(), block).alias("block"), "problem")
     return whole.unionByName(joined)
@@ -210,5 +274,9 @@ def payloads(whole: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per page record of the archives in folder: ids, type, digest header, payload, problem."""
+    """A row per page record of the archives in folder: record_id, type, page_id, digest, refers_to, payload, problem.
+
+    A null page_id is one that the record doesn't give; records that repeat are rows each; revisits have a null
+    payload, as have records with a problem. A folder without records gives no row.
+    """
     return payloads(reassemble(read_records(spark, folder)))
