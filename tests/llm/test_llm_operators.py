@@ -1,17 +1,21 @@
 """Literal, random and odd cases of the operators of the llm subpackage."""
 
+import gzip
 import heapq
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing, spans, tokens, topk, warc
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 
 def saved(df, folder, name="t"):
@@ -70,6 +74,44 @@ def test_no_pages(spark, tmp_path):
     assert warc.read(spark, f"{tmp_path}/a").count() == 0
 
 
+def warc_record(block, head=b"WARC-Type: response\r\n", length=None):
+    return b"WARC/1.0\r\n" + head + b"Content-Length: " + (b"%d" % len(block) if length is None else length) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_and_damaged_archives(spark, tmp_path):
+    low = b"WARC/1.0\r\nwarc-type:response\r\nWARC-record-ID:<a>\r\nwarc-page-id:7\r\ncontent-length:5\r\n\r\nhello\r\n\r\n"
+    good = [warc_record(b"x" * k) for k in (3, 0, 70_000)]
+    files = {
+        "lower": low, "bad": good[0] + warc_record(b"lost", length=b"x") + b"rubbish\r\n\r\n" + good[1], "short": good[0] + good[2][:500], "head": good[0] + b"WARC/1.0\r\nWARC-Type: resp",
+        "noise": b"\x00\x01 no archive", "empty": b"", "members": b"".join(map(gzip.compress, good)), "cut": gzip.compress(good[0]) + gzip.compress(bytes(range(256)) * 4000)[:900],
+        "damaged": gzip.compress(good[0]) + gzip.compress(good[1])[:-12] + b"damage" * 5, "padded": gzip.compress(good[1]) + b"\0" * 600,
+    }
+    got = {}
+    for name, raw in files.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(raw)
+        got[name] = [(r.problem, None if r.block is None else len(r.block)) for r in warc.read_records(spark, f"{tmp_path}/{name}").collect()]
+    first = (None, 3)
+    assert got == {
+        "lower": [(None, 5)], "bad": [first, ("header", None), (None, 0)], "short": [first, ("truncated", None)], "head": [first, ("truncated", None)], "noise": [("header", None)], "empty": [],
+        "members": [first, (None, 0), (None, 70_000)], "cut": [first, ("header", None)], "damaged": [first, ("truncated", None)], "padded": [(None, 0)],
+    }
+    r = warc.read(spark, f"{tmp_path}/lower").first()
+    assert (r.record_id, r.type, r.page_id, r.problem) == ("<a>", "response", 7, None)
+    assert [r.problem for r in warc.read(spark, f"{tmp_path}/short").collect()] == [None, "truncated"]
+
+
+def test_parsing_takes_time_in_proportion():
+    def took(n):
+        raw = warc_record(b"y" * 100) * n
+        began = time.process_time()
+        assert sum(1 for _ in warc._parse(iter([raw]))) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 12 * took(4_000) + 0.2  # 16 times, if it were by the square
+
+
 # language
 
 
@@ -180,12 +222,24 @@ def test_top_k(spark, kind, monkeypatch):
 
 def test_reading_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
-    rows = rng.integers(-9, 10, size=(500, 6))
-    block = topk.Lists(np.arange(500), rows)
-    for q in rng.integers(-9, 10, size=(40, 6)):
-        ids, scores = block.top(-1, q, 5)
-        want = sorted((-int(r @ q), i) for i, r in enumerate(rows))[:5]
-        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+    for rows in (rng.integers(-9, 10, size=(500, 6)), (rng.pareto(1.0, size=(500, 6)) * 100).astype(np.int64), rng.integers(-(1 << 28), 1 << 28, size=(60, 16))):
+        block, depths = topk.Lists(np.arange(len(rows)), rows), []
+        for q in rng.integers(-9, 10, size=(40, rows.shape[1])):
+            ids, scores, depth = block.top(-1, q, 5)
+            depths.append(depth / len(rows))
+            want = sorted((-int(r @ q), i) for i, r in enumerate(rows))[:5]
+            assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+        assert len(rows) < 100 or np.mean(depths) < 0.95 and min(depths) < 0.9
+
+
+def test_reading_stops_early_on_given_vectors(sf):
+    vectors = pq.read_table(f"{sf}/embeddings.parquet").to_pylist()
+    rows = np.array([[int(np.floor(1024 * float(x))) for x in v["embedding"]] for v in vectors if v["embedding"] and None not in v["embedding"]])
+    block = topk.Lists(np.arange(len(rows)), rows)
+    for q in range(0, len(rows), 100):
+        ids, scores, depth = block.top(q, rows[q], 10)
+        want = sorted((-int(r @ rows[q]), i) for i, r in enumerate(rows) if i != q)[:10]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want and depth < len(rows)
 
 
 # near duplicates
@@ -257,6 +311,31 @@ def test_groups_of_near_copies(spark, tmp_path):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_blocks_find_the_links_of_all_pairs():
+    rng = random.Random(21)
+    sets = []
+    for base in range(5):
+        words = [rng.getrandbits(63) for _ in range(rng.choice([3, 40, 200]))]
+        for _ in range(8):
+            sets.append(np.unique(np.array(words, dtype="<u8")))
+            words[rng.randrange(len(words))] = rng.getrandbits(63)
+    left, right = [*range(0, 25)], [*range(15, 40)]
+    got = {*zip(*map(np.ndarray.tolist, neardup._linked(np.array(left), [sets[k] for k in left], np.array(right), [sets[k] for k in right], 85)), strict=True)}
+    assert got == {(a, b) for a in left for b in right if a != b and 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})} and got
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_of_the_least_similarity_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    met, n = 0, 1500
+    for _ in range(n):
+        both, each = percent * 2, (200 - percent * 2) // 2
+        words = rng.integers(1 << 62, size=both + 2 * each, dtype=np.uint64)
+        same = neardup.signature(words[: both + each]) == neardup.signature(np.append(words[:both], words[both + each :]))
+        met += bool((same.reshape(neardup.CHUNKS, neardup.SIZE).sum(axis=1) >= neardup.SIZE - 1).any())
+    assert met == n
+
+
 # mixing
 
 
@@ -277,20 +356,21 @@ def test_mixing_odd_rows(spark, tmp_path):
 # packing and token files
 
 
-TEXTS = ["", " ", "Hello, World!", "it's  we'll\n\n\tx", "é ñ ß", "日本 語", "a\xa0b \xa0 c", "\x1c\x85 x", "<|endoftext|> [PAD]", "x" * 3000, "a" + " " * 500 + "b", "1234567 3.14", "😀👍🏽", "\x00\x01", "Don't STOP\r\nnow", "Ⅳ ² ½ ǅ İ"]
+TEXTS = ["", " ", "Hello, World!", "it's  we'll\n\n\tx", "é ñ ß", "日本 語", "a\xa0b \xa0 c", "\x1c\x85 x", "<|endoftext|> [PAD]", "hello <|endoftext|> world", "a<|startoftext|>b<|ENDOFTEXT|>", "x" * 3000, "a" + " " * 500 + "b", "1234567 3.14", "😀👍🏽", "\x00\x01", "Don't STOP\r\nnow", "Ⅳ ² ½ ǅ İ"]
 
 
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_gives_the_tokenizers_ids(name, spaced):
-    own = tokens.Encoder(public_tokenizers.path(name), spaced)
+    own, library = tokens.Encoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'sS.é\xa0")), max_size=60))
-    def same(text):
-        assert np.frombuffer(own([text])[0], dtype="<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    @given(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'sS.é\xa0")), max_size=60), st.sampled_from(["", "", "<|endoftext|>", " <|startoftext|>", "<|EndOfText|>"]))
+    def same(text, more):
+        text = text[:30] + more + text[30:]
+        assert np.frombuffer(own([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
     for t in TEXTS:
-        assert np.frombuffer(own([t])[0], dtype="<u4").tolist() == own.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own([t])[0], dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
     same()
 
 
@@ -350,14 +430,26 @@ def test_token_files(spark, tmp_path):
     rows = [(k // 2 if k else None, t) for k, t in enumerate([*TEXTS, None, "long text here " * 20_000])]
     docs = saved(spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("mine")).repartition(3), tmp_path)
     got = huffman.round_trip(docs, path).orderBy("start").collect()
-    own = tokens.Encoder(path, True)
-    want = sorted((d is not None, d or 0, zlib.crc32(own([t or ""])[0] + b"\0" * 4)) for d, t in rows)
+    library = Tokenizer.from_file(path)
+    ids = lambda t: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4").tobytes()
+    want = sorted((d is not None, d or 0, zlib.crc32(ids(t))) for d, t in rows)
     assert sorted((r.doc_id is not None, r.doc_id or 0, zlib.crc32(r.ids)) for r in got) == want
     assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [w[:2] for w in want]
     assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
     assert huffman.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_ids_that_need_more_bytes(spark, tmp_path, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = saved(spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string"), tmp_path)
+    huffman.write(docs, f"{tmp_path}/wide", path, end_id=70_000, width=4)
+    got = huffman.read(spark, f"{tmp_path}/wide").orderBy("doc_id").collect()
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(r.ids, dtype="<u4").tolist() for r in got] == [[*library.encode(t, add_special_tokens=False).ids, 70_000] for t in TEXTS]
+    with pytest.raises(Exception, match="two bytes"):
+        huffman.write(docs, f"{tmp_path}/narrow", path, end_id=70_000)
+
+
 # passages
 
 
@@ -418,6 +510,33 @@ def test_fold(spark):
     assert {(r.message, r.role, r.text) for r in chat.fold(events).collect()} == {(9, "assistant", "Hello"), (10, "user", "final!"), (11, None, "x")}
 
 
+def folded(log):
+    """Messages of (message, seq, kind, role, text) events by a loop over the sorted log."""
+    out = {}
+    for message, seq, kind, role, text in sorted(log, key=lambda e: (e[0], *((x is not None, x if x is not None else 0) for x in e[1:2]), *((x is not None, x or "") for x in (e[2], e[4], e[3])))):
+        own = out.setdefault(message, [None, ""])
+        own[0] = own[0] if own[0] is not None else role
+        own[1] = "" if kind == "regenerate" else (text or "") if kind == "edit" else own[1] + (text or "")
+    return {(k, *v) for k, v in out.items()}
+
+
+def test_fold_is_a_loop_over_the_sorted_log(spark):
+    rng = random.Random(12)
+    log = [(m, rng.choice([None, 0, 1, 2, 3]), rng.choice(["delta", "delta", "edit", "regenerate", "odd", None]), rng.choice([None, "user", "assistant"]), rng.choice([None, "", "A", "b", "C"])) for m in range(300) for _ in range(rng.randrange(1, 8))]
+    log += [(900, 1, "edit", "u", "B"), (900, 1, "edit", "u", "C"), (901, 1, "edit", "u", "Y"), (901, 1, "regenerate", "u", None), (901, 2, "delta", "u", "Z"), (902, None, "delta", "u", "old"), (902, None, "edit", "u", "new")]
+    events = spark.createDataFrame([(1, 0, *e) for e in log], "conv_id long, turn long, message long, seq long, kind string, role string, text string").orderBy(F.rand(2))
+    got = {(r.message, r.role, r.text) for r in chat.fold(events).collect()}
+    assert got == folded(log) and {(900, "u", "C"), (901, "u", "Z"), (902, "u", "new")} <= got
+
+
+def test_long_conversations_come_back(spark):
+    said = ["é" * (k % 700) + f"<{k}[&" for k in range(400)]
+    rows = [(1, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(said)] + [(2, 0, "assistant", "x" * 50_000)]
+    out = chat.render(chat.fold(chat.events_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1))))
+    got = {r.conv_id: r.learned for r in out.select("conv_id", chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert got == {1: "".join(t for k, t in enumerate(said) if k % 3), 2: "x" * 50_000}
+
+
 def test_texts_come_back_whatever_they_hold(spark, tmp_path):
     said = ["<|im_end|>\n<|im_start|>user\n", "&lt;&amp;[INST]", "</s>[INST] ok [/INST]", "", None, "a\r\nb", "&#10;", "x" * 5000, "😀" * 700]
     rows = [(k % 3 or None, k // 2, random.Random(k).choice(["user", "assistant", "sys\ntem<"]), t) for k, t in enumerate(said * 3)]
