@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from highmark.llm import queries, spans
+from highmark.llm.words import _P, mix, range_hashes, word_spans
 from tokenizers import Tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,51 +92,80 @@ def test_files_hold_all_ids_in_order(spark, sf, documents):
 
 
 def sentences(text):
-    """Where sentences and their pieces start: (character, word) offsets, and the words."""
+    """Characters at which words start, the words, the words at which sentences start, and those at which their pieces of PIECE words do."""
     words = [*WORD.finditer(text)]
-    starts, since = [], 0
+    begins, pieces = [], []
     for k, w in enumerate(words):
         before = words[k - 1].group() if k else ""
         ends = re.search(r"[.!?]$", before) or (len(before) > 1 and re.search(r"[.!?][\"')\]]$", before))
         if k == 0 or ends or "\n" in text[words[k - 1].end() : w.start()]:
-            since = 0
-        if since % spans.PIECE == 0:
-            starts.append((w.start(), k))
-        since += 1
-    return starts, [w.group().translate(LOWER) for w in words]
-
-
-def text_runs(text):
-    starts, words = sentences(text)
-    edges = [k for _, k in starts] + [len(words)]
-    out = []
-    for i in range(len(starts)):
-        j = i + spans.RUN
-        while j <= len(starts) and edges[j] - edges[i] < spans.WORDS:
-            j += 1
-        if j <= len(starts):
-            out.append((i, j, tuple(words[edges[i] : edges[j]])))
-    return starts, edges, out
+            begins.append(k)
+        if (k - begins[-1]) % spans.PIECE == 0:
+            pieces.append(k)
+    return [w.start() for w in words], [w.group().translate(LOWER) for w in words], begins, pieces
+
+
+def near_cuts(words, begins):
+    """Sentence starts, and of each NEAR words in a row within a sentence the one whose hash with the next word is least (the last of equals)."""
+    raw = np.frombuffer(" ".join(words).encode(), dtype=np.uint8)
+    hashes = mix(range_hashes(raw, *word_spans(raw)))
+    scores = [*mix(hashes[:-1] * _P + hashes[1:]).tolist(), *hashes[-1:].tolist()]
+    cuts = {*begins}
+    for k in range(len(words) - spans.NEAR + 1):
+        window = range(k, k + spans.NEAR)
+        if not any(b in window[1:] for b in begins):
+            cuts.add(max(window, key=lambda x: (-scores[x], x)))
+    return sorted(cuts)
+
+
+def shortest_runs(edges, both_ways=True):
+    """From each edge the shortest run of RUN pieces and WORDS words or more; up to each the shortest as well."""
+    long_enough = lambda i, j: j - i >= spans.RUN and edges[j] - edges[i] >= spans.WORDS
+    out = set()
+    for i in range(len(edges)):
+        out.update([(edges[i], edges[j]) for j in range(i, len(edges)) if long_enough(i, j)][:1])
+        out.update([(edges[j], edges[i]) for j in range(i, -1, -1) if long_enough(j, i)][: int(both_ways)])
+    return out
+
+
+def text_runs(text, whole_rule=True):
+    starts, words, begins, pieces = sentences(text)
+    if not words:
+        return starts, pieces, []
+    found = shortest_runs([*pieces, len(words)], whole_rule)
+    if whole_rule:
+        found |= shortest_runs([*near_cuts(words, begins), len(words)])
+    return starts, pieces, [(a, b, tuple(words[a:b])) for a, b in sorted(found)]
+
+
+def gone_words(docs, whole_rule=True):
+    """doc_id -> the numbers of its words that go, for (doc_id, text) with different ids."""
+    found = {doc: text_runs(text or "", whole_rule)[2] for doc, text in docs}
+    first, out = {}, {}
+    for doc in sorted(found):
+        for _, _, run in found[doc]:
+            first.setdefault(run, doc)
+    for doc, own in found.items():
+        gone, had = set(), set()
+        for a, b, run in own:
+            if first[run] < doc or run in had:
+                gone.update(range(a, b))
+            had.add(run)
+        out[doc] = gone
+    return out
 
 
 def without_repeats(docs):
     """doc_id -> text, n_sentences, n_removed, n_words_removed of (doc_id, text), ids all different."""
-    first = {}
-    for doc, text in sorted(docs):
-        for _, _, run in text_runs(text or "")[2]:
-            first.setdefault(run, doc)
     out = {}
-    for doc, text in docs:
-        starts, edges, found = text_runs(text or "")
-        gone, own = set(), set()
-        for i, j, run in found:
-            if first[run] < doc or run in own:
-                gone.update(range(i, j))
-            own.add(run)
+    for doc, gone in gone_words(docs).items():
+        text = dict(docs)[doc]
+        starts, _, _, pieces = sentences(text or "")
         if gone:
-            at = [c for c, _ in starts] + [len(text)]
+            at = [*starts, len(text)]
             text = text[: at[0]] + "".join(text[at[k] : at[k + 1]] for k in range(len(starts)) if k not in gone)
-        out[doc] = text, len(starts), len(gone), sum(edges[k + 1] - edges[k] for k in gone)
+        ends = [*pieces[1:], len(starts)]
+        out[doc] = text, len(pieces), sum(not gone.isdisjoint(range(a, b)) for a, b in zip(pieces, ends, strict=True)), len(gone)
     return out
 
 
@@ -143,3 +173,6 @@ def test_repeated_runs_go(spark, sf, documents):
     got = {r.doc_id: (r.text, r.n_sentences, r.n_removed, r.n_words_removed) for r in queries.op7_sentence_spans(spark, sf).collect()}
     want = without_repeats([(r["doc_id"], r["text"]) for r in documents])
     assert got == want and sum(n > 0 for _, _, n, _ in want.values()) > 5
+    # what runs of whole sentences and 12-word pieces alone would remove goes too
+    less = gone_words([(r["doc_id"], r["text"]) for r in documents], whole_rule=False)
+    assert all(got[k][3] >= len(gone) for k, gone in less.items()) and sum(map(len, less.values())) > 100
