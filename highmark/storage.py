@@ -3,10 +3,24 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The shared folders that are named meanwhile."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir.
@@ -19,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "highmark-shared")
-    return f"{root.rstrip('/')}/highmark-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/highmark-{uuid.uuid4().hex}"
+    for folders in _noted:
+        folders.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd", folder: str | None = None) -> DataFrame:
@@ -29,12 +46,12 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", folder: str | No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, column: str, name: str = "numbered") -> DataFrame:
+def numbered(df: DataFrame, column: str, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """df, stored, with a number of its own for each row in `column`, the same however often it is read.
 
     A row's place in a scan isn't such a number: scans are split by the cores known at the time.
     """
-    return stored(df.withColumn(column, F.monotonically_increasing_id()), name)
+    return keep(df.withColumn(column, F.monotonically_increasing_id()), "numbered")
 
 
 def remove(spark: SparkSession, path: str) -> None:
