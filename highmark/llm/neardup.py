@@ -133,7 +133,7 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     docs = docs.select("row", "doc_id", "text")
     scratch = Scratch(docs.sparkSession)
     keep = scratch.stored
-    rows = stored(signed(docs, length), "signed")
+    rows = keep(signed(docs, length), "signed")
     own = rows.filter("set_id is not null").groupBy("set_id")
     nodes = keep(own.agg(F.min("row").alias("node"), F.min("doc_id").alias("least_doc"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     entered = nodes.select("node", "n", F.explode(keys(F.col("signature"))).alias("key"))
@@ -158,11 +158,12 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
 
     placed = keep(nodes.select("set_id", "node", "least_doc").join(found, "node", "left").select("set_id", F.coalesce("root", "node").alias("first_row"), "least_doc"), "placed")
     least = keep(placed.groupBy("first_row").agg(F.min("least_doc").alias("component_id")), "least")
-    labels = stored(placed.join(least, "first_row").select("set_id", "first_row", "component_id"), "labels")
-    scratch.drop()
+    labels = keep(placed.join(least, "first_row").select("set_id", "first_row", "component_id"), "labels")
     mine = ["row", "doc_id", F.col("n").alias("n_shingles")]
     alone = rows.filter("set_id is null").select(*mine, F.col("doc_id").alias("component_id"), F.col("row").alias("first_row"))
-    return rows.join(labels, "set_id").select(*mine, "component_id", "first_row").unionByName(alone)
+    out = stored(rows.join(labels, "set_id").select(*mine, "component_id", "first_row").unionByName(alone), "groups")
+    scratch.drop()
+    return out
 
 
 def _mixed(shared: DataFrame, found: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -245,7 +246,10 @@ def _hashes(docs: DataFrame, length: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     """groups() of docs(doc_id, text), any rows."""
-    return groups(numbered(docs.select("doc_id", "text"), "row"), length, percent)
+    scratch = Scratch(docs.sparkSession)
+    out = groups(numbered(docs.select("doc_id", "text"), "row", scratch.stored), length, percent)
+    scratch.drop()
+    return out
 
 
 def deduplicate(docs: DataFrame, length: int = 5, percent: int = 80) -> DataFrame:

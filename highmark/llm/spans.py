@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from highmark.llm._shared import stored
+from highmark.llm._shared import numbered, stored
 from highmark.llm.words import _P, LOWER, _up_to, mix, range_hashes, word_spans
 
 RUN, WORDS, PIECE = 3, 24, 12
@@ -94,62 +94,60 @@ def clean(docs: DataFrame) -> DataFrame:
     without a run (fewer than RUN sentences or WORDS words) stay as they are; a text that is nothing
     but repeats becomes empty. Columns of docs named like the new ones are replaced. An empty table gives no row.
 
-    Each text is hashed once and stored with its runs; hashes meet in joins of stored tables, so that a
-    passage of many documents is split; only texts that lose something are cut again.
+    Rows are numbered in a stored table. Hashes meet in joins of plain rows, so that a passage of many
+    documents is split; they are made anew for each join, as they would take more room than the texts.
     """
     counts = ["n_sentences", "n_removed", "n_words_removed"]
     docs = docs.drop(*counts)
     own = docs.columns
-    text_at = own.index("text")
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    rows = docs.withColumn("__hm_row", F.monotonically_increasing_id())
-    rows = rows.withColumn("__hm_key", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.col("__hm_row")))
-    more = [T.StructField("__hm_sentences", T.LongType()), T.StructField("__hm_again", T.BooleanType()), T.StructField("__hm_hashes", T.ArrayType(T.LongType()))]
+    rows = numbered(docs.withColumn("text", F.col("text").cast("string")), "__hm_row")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.col("__hm_row")).alias("key")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                sentences, again, hashes = [], [], []
-                for t in b.column(text_at):
-                    found = runs(t.as_py() or "")
-                    different = np.unique(found[4])
-                    sentences.append(len(found[1]) - 1)
-                    again.append(len(different) < len(found[4]))
-                    hashes.append(different.view(np.int64))
-                arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, hashes)]), pa.int32()), pa.array(np.concatenate(hashes)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sentences, pa.int64()), pa.array(again), arrays], [*b.schema.names, *(f.name for f in more)])
-
-    rows = stored(rows.mapInArrow(hashed, T.StructType([*rows.schema.fields, *more])), "runs")
-    seen = rows.select("__hm_row", "__hm_key", F.explode("__hm_hashes").alias("hash"))
-    firsts = stored(seen.groupBy("hash").agg(F.min("__hm_key").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "firsts")
-    later = seen.join(firsts, "hash").filter(F.col("__hm_key") > F.col("first")).groupBy("__hm_row").agg(F.collect_set("hash").alias("__hm_runs"))
-    both = rows.drop("__hm_key", "__hm_hashes").join(later, "__hm_row", "left").select(*[F.col(f"`{c}`") for c in own], "__hm_sentences", "__hm_again", "__hm_runs")
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in counts]])
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                found = [np.unique(runs(t.as_py() or "")[4]).view(np.int64) for t in part.column(1)]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["hash", "id"])
+
+    seen = lambda id_: rows.select(id_, "text").mapInArrow(hashed, "hash long, id long")
+    firsts = stored(seen(key).groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "firsts")
+    later = seen(F.col("__hm_row")).join(firsts, "hash").groupBy("id").agg(F.collect_set(F.struct("hash", "first")).alias("__hm_runs")).withColumnRenamed("id", "__hm_row")
+    gone = F.transform(F.filter("__hm_runs", lambda r: r["first"] < key), lambda r: r["hash"]).alias("__hm_gone")
+    both = rows.join(later, "__hm_row", "left").select(*[F.col(f"`{c}`") for c in own], gone)
+    text_at = own.index("text")
+    schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields] + [T.StructField(c, T.LongType()) for c in counts])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                *columns, sentences, again, gone = b.columns
-                texts, n_removed, n_words = columns[text_at].to_pylist(), np.zeros(b.num_rows, dtype=np.int64), np.zeros(b.num_rows, dtype=np.int64)
-                for k in np.flatnonzero(again.to_numpy(zero_copy_only=False) | gone.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    texts[k], n_removed[k], n_words[k] = _without(texts[k], gone[k].values.to_numpy() if gone[k].is_valid else None)
-                columns[text_at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, sentences, pa.array(n_removed), pa.array(n_words)], [*own, *counts])
+                texts, numbers = [], []
+                for text, gone in zip(b.column(text_at).to_pylist(), b.column(len(own)), strict=True):
+                    text, now = _without(text, gone.values.to_numpy() if gone.is_valid else None)
+                    texts.append(text)
+                    numbers.append(now)
+                columns = [c if k != text_at else pa.array(texts, pa.string()) for k, c in enumerate(b.columns[:-1])]
+                columns += [pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(columns, [*own, *counts])
 
     return both.mapInArrow(cut, schema)
 
 
-def _without(text: str, gone: np.ndarray | None) -> tuple[str, int, int]:
-    """A text without the runs that it repeats or whose hashes are gone, and how many sentences and words lose by it."""
+def _without(text: str | None, gone: np.ndarray | None) -> tuple[str | None, tuple[int, int, int]]:
+    """A text without the runs that it repeats or whose hashes are gone; its sentences, and how many sentences and words lose by it."""
+    if text is None:
+        return None, (0, 0, 0)
     starts, sentences, at, to, hashes = runs(text)
     n = len(starts) - 1
     out = _repeats(hashes)
     if gone is not None:
         out |= np.isin(hashes.view(np.int64), gone)
+    if not out.any():
+        return text, (len(sentences) - 1, 0, 0)
     covered = np.cumsum(np.bincount(at[out], minlength=n + 1) - np.bincount(to[out], minlength=n + 1))[:n] > 0
     raw = text.encode()
     edges = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))  # kept stretches start and end
     kept = raw[: starts[0]] + b"".join(raw[starts[a] : starts[b]] for a, b in edges.reshape(-1, 2))
-    return kept.decode(), int(np.add.reduceat(covered, sentences[:-1], dtype=np.int64).astype(bool).sum()), int(covered.sum())
+    return kept.decode(), (len(sentences) - 1, int(np.add.reduceat(covered, sentences[:-1], dtype=np.int64).astype(bool).sum()), int(covered.sum()))
