@@ -2,18 +2,44 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return rows of documents with their columns;
 the last returns pieces of packed sequences. A stage's rows are written as Parquet and read again before
-the next one starts.
+the next one starts, which removes the tables that the stages before have made on the way.
+
+All stages take null and repeated ids as rows like others, null texts as empty, columns of any name, and empty tables.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from highmark.llm import langid, mixing, neardup, packing, spans
-from highmark.llm._shared import WORD, stored
+from highmark.llm._shared import WORD, noted, remove, stored
 
 #: A document whose best language has a lower mean chance over its words is rejected, as is one without letters.
 LEAST_SCORE = 0.4
 
+_Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders of tables that stages have made.
+_left: list[str] = []
+
+
+def _stage(f: _Stage) -> _Stage:
+    """f, which first removes what earlier stages have left, but for what docs is read from."""
+
+    @wraps(f)
+    def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        files = docs.inputFiles() if _left else []
+        for folder in [x for x in _left if not any(x.rsplit("/", 1)[-1] in file for file in files)]:
+            remove(spark, folder)
+            _left.remove(folder)
+        with noted() as folders:
+            out = f(spark, docs, sf_dir)
+        _left.extend(folders)
+        return out
+
+    return run_
+
 
 def _apart(docs: DataFrame, *named: str) -> DataFrame:
     """docs with other names for all columns but those named: none clashes with what an operator adds."""
@@ -25,33 +51,50 @@ def _named(rows: DataFrame, apart: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*apart.columns).toDF(*docs.columns)
 
 
+@_stage
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter or with mixed-up words go."""
+    """Documents in one of the learned languages; those without a letter (null and empty texts among them) or with mixed-up words go.
+
+    Of languages with equal chances the first by code point counts; repeated rows go or stay together. With no labelled row, no language is known and all go.
+    """
     rows = _apart(docs, "text")
     labelled = langid.identify(rows, langid.learn(docs))
     return _named(labelled.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)), rows, docs)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles link at a similarity of 0.8 or more."""
+    """One document of each group whose five-word shingles link at a similarity of 0.8 or more: the smallest doc_id, null last, of equal ones the first row.
+
+    Null texts and texts without a word are like nothing and stay.
+    """
     return neardup.deduplicate(docs, length=5, percent=80)
 
 
+@_stage
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand in an earlier one; those of which no word is left go."""
+    """Documents without passages that stand in an earlier one; those of which no word is left go.
+
+    Null and empty texts lose nothing and stay; rows of one doc_id don't take each other's passages.
+    """
     rows = _apart(docs, "doc_id", "text", "n_chars")
     cleaned = spans.clean(rows)
     kept = cleaned.filter((F.col("n_words_removed") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike(WORD))
     return _named(kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))), rows, docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, none is repeated more than three times."""
+    """Documents as often as the mix takes them: sources weigh 5, 2, 1 in turn, none is repeated more than three times.
+
+    A null source is a source; null texts have no words and are taken as often as others of their source. Ties in size go by doc_id.
+    """
     return mixing.mix(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 4,096 tokens."""
+    """Pieces of sequences of 4,096 tokens; a null or empty text is its end id alone."""
     import public_tokenizers
 
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
