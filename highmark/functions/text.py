@@ -26,6 +26,8 @@ TRANSIENT = (
 )
 #: What messages of errors with browser profiles contain.
 CREDENTIAL = ("cookie", "could not copy", "failed to decrypt", "dpapi", "keyring", "no such browser", "profile")
+#: Names of the best and the worst quality.
+BEST, WORST = ("max", "highest", "best", "maxres"), ("lowest", "min", "worst")
 WHITE = r"^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$"
 
 
@@ -110,3 +112,16 @@ def weight_map(text: Column, defaults: dict[str, float]) -> Column:
         F.array(*map(F.lit, defaults)),
         F.array(*[F.coalesce(F.try_element_at(F.filter(parts, named(k)), F.lit(-1))["v"], F.lit(v)) for k, v in defaults.items()]),
     )
+
+
+def quality_tag(quality: Column) -> Column:
+    """max, low, or the whole number of lines that a wish for quality names; max for anything else."""
+    key = F.lower(strip(F.coalesce(F.nullif(quality, F.lit("")), F.lit("max"))))
+    lines = F.regexp_extract(key, r"^([+-]?[0-9]+)$", 1).try_cast("int").cast("string")
+    return F.when(key.isin(*BEST), "max").when(key.isin(*WORST), "low").otherwise(F.coalesce(lines, F.lit("max")))
+
+
+def rational(text: Column) -> Column:
+    """The value of `num/den`; null without a denominator, or where it is 0."""
+    parts = F.split(F.coalesce(text, F.lit("0/0")), "/", 2)
+    return F.try_divide(parts[0].try_cast("double"), F.try_element_at(parts, F.lit(2)).try_cast("double"))

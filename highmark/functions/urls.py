@@ -1,4 +1,4 @@
-"""Video addresses."""
+"""Video addresses. The hosts, path words and patterns below are fixed values."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F

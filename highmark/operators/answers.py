@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from highmark.functions.text import strip, to_double, to_int
+from highmark.storage import stored
 
 _ITEM = "struct<title string, start_time string, end_time string, score string, hook_sentence string, virality_reason string>"
 _ANSWER = f"highlights array<{_ITEM}>, content_type string, density string, _bad string"
@@ -24,6 +25,9 @@ def sanitise(raw: DataFrame, duration: str = "duration") -> DataFrame:
     return rows.withColumn("title", text("title", "Untitled Highlight")).withColumn("hook_sentence", text("hook_sentence", "")).withColumn("virality_reason", text("virality_reason", "")).drop("start_time", "end_time")
 
 
+# Fixed patterns: code fences, commas before a closing bracket, the outermost object, flat objects and their fields.
+
+
 def _parsed(raw: Column) -> Column:
     """The answer as a struct, null where no way of mending helps."""
     bare = F.regexp_replace(F.regexp_replace(strip(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
@@ -31,8 +35,8 @@ def _parsed(raw: Column) -> Column:
     outer = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
 
     def read(t: Column) -> Column:
-        s = F.from_json(t, _ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-        return F.when(s["_bad"].isNull() & s["highlights"].isNotNull(), s)
+        found = F.from_json(t, _ANSWER, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+        return F.transform(F.array(found), lambda s: F.when(s["_bad"].isNull() & s["highlights"].isNotNull(), s))[0]  # parsed once
 
     return F.coalesce(read(bare), read(mend(bare)), read(mend(outer)))
 
@@ -54,7 +58,7 @@ def candidates(raw: DataFrame) -> DataFrame:
     An answer that parses and has a usable item gives its items and labels. Otherwise every flat object
     with numeric times is taken, with labels other and medium.
     """
-    rows = raw.withColumn("p", _parsed(F.col("raw")))
+    rows = stored(raw.select("video", "chunk", "duration", "raw", _parsed(F.col("raw")).alias("p")), "answers")  # three branches read it
     strict = rows.select("video", "chunk", "duration", "raw", F.coalesce("p.content_type", F.lit("other")).alias("content_type"), F.coalesce("p.density", F.lit("medium")).alias("density"), F.posexplode("p.highlights").alias("pos", "h"))
     strict = sanitise(strict.filter("h is not null").select("video", "chunk", "duration", "content_type", "density", "pos", "h.*"))
     rest = rows.join(strict.select("video", "chunk").distinct(), ["video", "chunk"], "left_anti")

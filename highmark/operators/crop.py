@@ -17,6 +17,15 @@ def largest_faces(faces: DataFrame) -> DataFrame:
     return best.select("video", "t", "b.cx", "b.cy", F.col("b.w").alias("face_w"))
 
 
+def clip_samples(clips: DataFrame, samples: DataFrame, width: float) -> DataFrame:
+    """video, cand, t, cx: the samples(video, t, cx) within clips, both ends included."""
+    from highmark.operators.intervals import overlaps
+
+    items = samples.select("video", (F.col("t") - 1).alias("start"), (F.col("t") + 1).alias("end"), "t", "cx")
+    pairs = overlaps(clips.select("video", "cand", "start", "end"), items, width).filter("start <= i_t and i_t <= end")
+    return pairs.select("video", "cand", F.col("i_t").alias("t"), F.col("i_cx").alias("cx"))
+
+
 def crop_segments(samples: DataFrame, durations: DataFrame, bins: int = DEFAULTS.crop_bins, shortest: float = DEFAULTS.shortest_crop) -> DataFrame:
     """video, nth, start, end, x of samples(video, t, cx) and durations(video, duration): stretches with one crop.
 

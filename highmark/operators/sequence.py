@@ -53,9 +53,9 @@ def topic_shifts(segments: DataFrame, block: float = DEFAULTS.topic_block) -> Da
     return rows.withColumn("low", low).filter("low").select("video", ((F.col("b") + 1) * block).alias("t"))
 
 
-def boundaries(segments: DataFrame, peaks: DataFrame, spikes: DataFrame) -> DataFrame:
+def boundaries(segments: DataFrame, peaks: DataFrame, spikes: DataFrame, block: float = DEFAULTS.topic_block) -> DataFrame:
     """video, t: distinct pauses, topic shifts, starts of peaks (the eight strongest are asked for) and spikes."""
-    return pauses(segments).unionByName(topic_shifts(segments)).unionByName(peaks.select("video", F.col("start").alias("t"))).unionByName(spikes.select("video", F.col("sec").cast("double").alias("t"))).distinct()
+    return pauses(segments).unionByName(topic_shifts(segments, block)).unionByName(peaks.select("video", F.col("start").alias("t"))).unionByName(spikes.select("video", F.col("sec").cast("double").alias("t"))).distinct()
 
 
 def loudness(samples: DataFrame, rate: int = 16_000) -> DataFrame:

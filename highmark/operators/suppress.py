@@ -1,7 +1,8 @@
 """Greedy suppression: candidates in order of score, each kept unless one already kept stands against it.
 
-What a suppressed candidate overlaps doesn't matter, so this is a fold over a video's candidates (tens of
-them), not a join.
+What a suppressed candidate overlaps doesn't matter, so this is a fold over a video's candidates in one
+task, not a join. The fold holds their numbers and what is compared only; their number is bounded by the
+quota (8 of each chunk of a recording) where they come from answers.
 """
 
 from collections.abc import Callable
@@ -13,14 +14,14 @@ from highmark.functions.text import content_words, jaccard
 from highmark.params import DEFAULTS
 
 
-def _keep(df: DataFrame, order: Column, against: Callable[[Column, Column], Column]) -> DataFrame:
-    """The kept rows of a video each: `order` is a struct that sorts them, against(kept, x) whether x goes."""
-    own = df.columns
-    rows = df.groupBy("video").agg(F.sort_array(F.collect_list(F.struct(order.alias("__o"), *[F.col(c) for c in own if c != "video"]))).alias("rows"))
-    empty = F.filter("rows", lambda x: F.lit(False))
-    kept = F.aggregate("rows", empty, lambda acc, x: F.when(F.exists(acc, lambda k: against(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    out = rows.select("video", F.explode(kept).alias("r"))
-    return out.select(*[F.col("video") if c == "video" else F.col(f"r.{c}") for c in own])
+def _keep(df: DataFrame, order: Column, compared: list[str], against: Callable[[Column, Column], Column]) -> DataFrame:
+    """The kept rows of a video each, told apart by cand: `order` is a struct that sorts them, against(kept, x) whether x goes, by the columns compared."""
+    rows = df.groupBy("video").agg(F.sort_array(F.collect_list(F.struct(order.alias("__o"), "cand", *compared))).alias("rows"))
+    small = lambda x: F.struct(x["cand"].alias("cand"), *[x[c].alias(c) for c in compared])
+    empty = F.transform(F.filter("rows", lambda x: F.lit(False)), small)
+    kept = F.aggregate("rows", empty, lambda acc, x: F.when(F.exists(acc, lambda k: against(k, x)), acc).otherwise(F.concat(acc, F.array(small(x)))))
+    kept = rows.select(F.col("video").alias("__video"), F.explode(F.transform(kept, lambda k: k["cand"])).alias("__cand"))
+    return df.join(kept, F.col("video").eqNullSafe(F.col("__video")) & (F.col("cand") == F.col("__cand")), "left_semi")
 
 
 def by_time(clips: DataFrame, share: float = DEFAULTS.overlap_share) -> DataFrame:
@@ -29,10 +30,10 @@ def by_time(clips: DataFrame, share: float = DEFAULTS.overlap_share) -> DataFram
     Higher scores first, ties by cand.
     """
     over = lambda k, x: F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"]) > share * (x["end"] - x["start"])
-    return _keep(clips, F.struct(-F.col("score"), "cand"), over)
+    return _keep(clips, F.struct(-F.col("score"), "cand"), ["start", "end"], over)
 
 
 def by_text(clips: DataFrame, text: str, most: float = DEFAULTS.text_similarity) -> DataFrame:
     """clips without those whose words are more alike than `most` to a kept one's; wordless clips stay."""
     rows = clips.withColumn("__words", content_words(F.col(text)))
-    return _keep(rows, F.struct(-F.col("score"), "cand"), lambda k, x: jaccard(k["__words"], x["__words"]) > most).drop("__words")
+    return _keep(rows, F.struct(-F.col("score"), "cand"), ["__words"], lambda k, x: jaccard(k["__words"], x["__words"]) > most).drop("__words")

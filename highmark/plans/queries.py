@@ -179,25 +179,25 @@ step AS (
 done AS (SELECT video, unnest(arg_max(kept, n)) AS k FROM step GROUP BY video)"""
 
 
-@query("WITH " + _GREEDY.format(base=f"{POINTS}, {CLIPS}").strip() + ' SELECT video, k.cand AS cand, k.s AS start, k.f AS "end" FROM done')
+@query("WITH " + _GREEDY.format(base=f"{POINTS}, short_{CLIPS.strip()}, clips AS (SELECT * REPLACE (f + 86400 AS f) FROM short_clips)").strip() + ' SELECT video, k.cand AS cand, k.s AS start, k.f AS "end" FROM done')
 def q13_suppress_by_time(spark: SparkSession, d: str) -> DataFrame:
-    return suppress.by_time(roles.clips(roles.points(spark, d))).select("video", "cand", "start", "end")
+    three_days = roles.clips(roles.points(spark, d)).withColumn("end", F.col("end") + DAY)
+    return suppress.by_time(three_days).select("video", "cand", "start", "end")
 
 
 @query(
-    f"""WITH RECURSIVE {TURNS.strip()},
-o AS (SELECT video, seg, {_WORDS % "text"} AS ws, row_number() OVER (PARTITION BY video ORDER BY length(text) DESC, seg) AS n FROM turns),
+    f"""WITH RECURSIVE o AS (SELECT source AS video, doc_id AS cand, {_WORDS % "text"} AS ws, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents),
 step AS (
-  SELECT video, 0::BIGINT AS n, []::STRUCT(seg INTEGER, ws VARCHAR[])[] AS kept FROM (SELECT DISTINCT video FROM turns)
+  SELECT video, 0::BIGINT AS n, []::STRUCT(cand BIGINT, ws VARCHAR[])[] AS kept FROM (SELECT DISTINCT video FROM o)
   UNION ALL
   SELECT step.video, o.n, CASE WHEN len(list_filter(step.kept, lambda k: {_JACCARD % {"a": "k.ws", "b": "o.ws"}} > 0.6)) > 0 THEN step.kept
-    ELSE list_append(step.kept, {{'seg': o.seg, 'ws': o.ws}}) END FROM step JOIN o ON o.video = step.video AND o.n = step.n + 1),
+    ELSE list_append(step.kept, {{'cand': o.cand, 'ws': o.ws}}) END FROM step JOIN o ON o.video = step.video AND o.n = step.n + 1),
 done AS (SELECT video, unnest(arg_max(kept, n)) AS k FROM step GROUP BY video)
-SELECT video, k.seg AS cand FROM done"""
+SELECT video, k.cand AS cand FROM done"""
 )
 def q14_suppress_by_text(spark: SparkSession, d: str) -> DataFrame:
-    t = roles.turns(spark, d).select("video", F.col("seg").alias("cand"), F.length("text").alias("score"), "text")
-    return suppress.by_text(t, "text").select("video", "cand")
+    docs = table(spark, d, "documents").select(F.col("source").alias("video"), F.col("doc_id").alias("cand"), F.col("n_chars").alias("score"), "text")
+    return suppress.by_text(docs, "text").select("video", "cand")
 
 
 @query(f"WITH {TURNS}, t AS (SELECT video, seg, {_WORDS % 'text'} AS a, lead({_WORDS % 'text'}) OVER (PARTITION BY video ORDER BY seg) AS b FROM turns) SELECT video, seg, len(a)::INTEGER AS n_words, round({_JACCARD % {'a': 'a', 'b': 'b'}}, 6) AS sim FROM t WHERE b IS NOT NULL")
@@ -208,19 +208,20 @@ def q15_word_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOPICS = f"""
-block_counts AS (SELECT video, greatest(floor(arg_max(f, seg) / 30) + 1, 1)::BIGINT AS n FROM turns GROUP BY 1),
+said AS (SELECT video, seg, s / 3600 AS s, f / 3600 AS f, text FROM sentences),
+block_counts AS (SELECT video, greatest(floor(arg_max(f, seg) / 24) + 1, 1)::BIGINT AS n FROM said GROUP BY 1),
 blocks AS (SELECT video, unnest(range(0, n)) AS b FROM block_counts),
-block_words AS (SELECT video, least(n - 1, floor(s / 30)::BIGINT) AS b, unnest({_WORDS % "text"}) AS w FROM turns JOIN block_counts USING (video)),
+block_words AS (SELECT video, least(n - 1, floor(s / 24)::BIGINT) AS b, unnest({_WORDS % "text"}) AS w FROM said JOIN block_counts USING (video)),
 block_sets AS (SELECT video, b, list(DISTINCT w) AS ws FROM block_words GROUP BY 1, 2),
 pairs AS (SELECT video, b, coalesce(ws, []) AS x, lead(coalesce(ws, [])) OVER (PARTITION BY video ORDER BY b) AS y FROM blocks LEFT JOIN block_sets USING (video, b)),
 sims AS (SELECT video, b, {_JACCARD % {"a": "x", "b": "y"}} AS sim FROM pairs WHERE y IS NOT NULL),
 lows AS (SELECT *, sim < lag(sim) OVER w AND sim < lead(sim) OVER w AS low FROM sims WINDOW w AS (PARTITION BY video ORDER BY b)),
-topics AS (SELECT video, (b + 1) * 30.0::DOUBLE AS t FROM lows WHERE low)"""
+topics AS (SELECT video, (b + 1) * 24.0::DOUBLE AS t FROM lows WHERE low)"""
 
 
-@query(f"WITH {TURNS}, {_TOPICS} SELECT * FROM topics")
+@query(f"WITH {POINTS}, {SENTENCES}, {_TOPICS} SELECT * FROM topics")
 def q16_topic_shifts(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.topic_shifts(roles.turns(spark, d))
+    return sequence.topic_shifts(roles.in_hours(roles.sentences(roles.points(spark, d))), 24.0)
 
 
 @query(
@@ -269,19 +270,25 @@ def q19_fuse_four_signals(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {POINTS}, {CLIPS}, {ENERGY}, {_PEAKS}, {SENTENCES}, {_STRONGEST},
-edge AS (SELECT video, arg_max(f, seg) AS last FROM sentences GROUP BY 1),
-a AS (SELECT *, greatest(peak - 18000, 0) AS target, greatest(peak - 72000, 0) AS lo FROM clip_peaks),
-b AS (SELECT *, least(s, target) AS new FROM a),
-near AS (SELECT b.video, b.cand, max(g.s) FILTER (g.s BETWEEN lo AND target + 0.5 AND g.s <= new + 0.5) AS x, min(g.s) FILTER (g.s BETWEEN lo AND target + 0.5) AS y, arg_min(g.f, g.seg) FILTER (g.f >= b.f + 7200 - 0.05) AS z
-  FROM b JOIN sentences g USING (video) WHERE peak IS NOT NULL GROUP BY 1, 2),
-c AS (SELECT b.*, last, greatest(greatest(lo, least(coalesce(x, y, new), target)) - 60, 0) AS ns, least(coalesce(z, b.f + 7200) + 60, last + 60) AS ne FROM b LEFT JOIN near USING (video, cand) JOIN edge USING (video))
-SELECT video, cand, round(CASE WHEN peak IS NULL THEN s ELSE ns END, 6) AS start, round(CASE WHEN peak IS NULL THEN f ELSE greatest(least(ne, ns + 172800), ns + 1) END, 6) AS "end", peak IS NOT NULL AS expanded FROM c"""
+said AS (SELECT video, seg, s / 3600 AS s, f / 3600 AS f FROM sentences),
+edge AS (SELECT video, arg_max(f, seg) AS last FROM said GROUP BY 1),
+stats AS (SELECT video, avg(value) AS m, max(sec) + 1 AS n FROM loud GROUP BY 1),
+h AS (SELECT video, cand, s / 3600 AS s, f / 3600 AS f, peak / 3600 AS peak FROM clip_peaks),
+a AS (SELECT *, greatest(peak - 5, 0) AS target, greatest(peak - 20, 0) AS lo, least(n - 1, floor(peak)) AS i FROM h JOIN stats USING (video)),
+walk AS (SELECT a.video, a.cand, CASE WHEN any_value(i) <= any_value(floor(lo)) THEN any_value(i) ELSE coalesce(max(l.sec), any_value(floor(lo))) END AS onset
+  FROM a LEFT JOIN loud l ON l.video = a.video AND l.sec BETWEEN floor(lo) AND i AND l.value <= a.m WHERE peak IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT a.*, least(s, target, greatest(onset, lo)) AS new FROM a LEFT JOIN walk USING (video, cand)),
+near AS (SELECT b.video, b.cand, max(g.s) FILTER (g.s BETWEEN lo AND target + 0.5 AND g.s <= new + 0.5) AS x, min(g.s) FILTER (g.s BETWEEN lo AND target + 0.5) AS y, arg_min(g.f, g.seg) FILTER (g.f >= b.f + 2 - 0.05) AS z
+  FROM b JOIN said g USING (video) WHERE peak IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT b.*, last, greatest(greatest(lo, least(coalesce(x, y, new), target)) - 0.25, 0) AS ns, least(coalesce(z, b.f + 2) + 0.25, last + 0.25) AS ne FROM b LEFT JOIN near USING (video, cand) JOIN edge USING (video))
+SELECT video, cand, round(CASE WHEN peak IS NULL THEN s ELSE ns END, 6) AS start, round(CASE WHEN peak IS NULL THEN f ELSE greatest(least(ne, ns + 48), ns + 1) END, 6) AS "end", peak IS NOT NULL AS expanded FROM c"""
 )
 def q20_expand(spark: SparkSession, d: str) -> DataFrame:
     p = roles.points(spark, d)
-    c = intervals.overlapping_peak(roles.clips(p), sequence.peak_windows(p, 10), _spikes(p), 2 * DAY)
-    params = fusion.DEFAULTS.__class__(pad=60.0, peak_lead=18_000.0, peak_lead_most=72_000.0, peak_tail=7_200.0, longest_clip=172_800.0)
-    return _round(expand.expand(c, roles.sentences(p), None, DAY, params).select("video", "cand", "start", "end", "expanded"), "start", "end")
+    energy = sequence.loud_and_quiet(roles.energy(p))
+    c = intervals.overlapping_peak(roles.in_hours(roles.clips(p)), roles.in_hours(sequence.peak_windows(p, 10)), energy.filter("is_spike"), 48)
+    params = fusion.DEFAULTS.__class__(pad=0.25, peak_lead=5.0, peak_lead_most=20.0, peak_tail=2.0, longest_clip=48.0)
+    return _round(expand.expand(c, roles.in_hours(roles.sentences(p)), energy, 24, params).select("video", "cand", "start", "end", "expanded"), "start", "end")
 
 
 @query(
@@ -323,15 +330,16 @@ def q24_excerpt(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POINTS}, {ENERGY}, {_PEAKS}, {SENTENCES},
-u AS (SELECT video, s AS t FROM (SELECT *, lag(f) OVER (PARTITION BY video ORDER BY seg) AS before FROM sentences) WHERE s - before >= 1.0
-  UNION SELECT video, s FROM peaks WHERE nth <= 8 UNION SELECT video, sec * 3600.0 FROM loud WHERE is_spike)
+    f"""WITH {POINTS}, {ENERGY}, {_PEAKS}, {SENTENCES}, {_TOPICS},
+u AS (SELECT video, s / 3600 AS t FROM (SELECT *, lag(f) OVER (PARTITION BY video ORDER BY seg) AS before FROM sentences) WHERE s / 3600 - before / 3600 >= 1.0
+  UNION SELECT video, s / 3600 FROM peaks WHERE nth <= 8 UNION SELECT video, sec::DOUBLE FROM loud WHERE is_spike UNION SELECT video, t FROM topics)
 SELECT video, round(t, 6) AS t FROM u"""
 )
 def q25_boundaries(spark: SparkSession, d: str) -> DataFrame:
     p = roles.points(spark, d)
-    s = roles.sentences(p).withColumn("text", F.lit(""))
-    return _round(sequence.boundaries(s, sequence.peak_windows(p, 8), _spikes(p)), "t")
+    s = roles.in_hours(roles.sentences(p))
+    peaks = roles.in_hours(sequence.peak_windows(p, 8))
+    return _round(sequence.boundaries(s, peaks, sequence.loud_and_quiet(roles.energy(p)).filter("is_spike"), 24.0), "t")
 
 
 @query(
@@ -372,16 +380,17 @@ def q29_karaoke(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POINTS}, w AS (SELECT video, idx, floor(s) + 0.25 AS t, floor(s)::BIGINT AS n FROM points)
+    f"""WITH {POINTS}, w AS (SELECT video, idx, floor(s)::BIGINT % 360000 AS n, CASE WHEN idx % 17 = 16 THEN 0.9990234375::DOUBLE ELSE (idx % 17)::DOUBLE / 16 END AS x FROM points),
+r AS (SELECT *, round_even(x * 1000, 0)::BIGINT AS ms, round_even(x * 100, 0)::BIGINT AS cs FROM w)
 SELECT video, idx, CASE WHEN n >= 3600 THEN printf('%02d:%02d:%02d', n // 3600, n % 3600 // 60, n % 60) ELSE printf('%02d:%02d', n // 60, n % 60) END AS hms,
-  printf('%02d:%02d:%02d,250', n // 3600, n % 3600 // 60, n % 60) AS srt, printf('%d:%02d:%02d.25', n // 3600, n % 3600 // 60, n % 60) AS ass,
-  printf('%d:%02d', n // 60, n % 60) AS minutes, t AS parsed FROM w"""
+  printf('%02d:%02d:%02d,%03d', n // 3600, n % 3600 // 60, n % 60, ms) AS srt, printf('%d:%02d:%02d.%02d', n // 3600, n % 3600 // 60, n % 60, cs) AS ass,
+  printf('%d:%02d', n // 60, n % 60) AS minutes, n + ms / 1000.0::DOUBLE AS parsed, NULL::DOUBLE AS unparsed FROM r"""
 )
 def q30_time_formats(spark: SparkSession, d: str) -> DataFrame:
-    t = F.floor("start") + 0.25
-    rows = roles.points(spark, d).select("video", "idx", timefmt.hms(t).alias("hms"), timefmt.srt_time(t).alias("srt"), timefmt.ass_time(t).alias("ass"), timefmt.minutes(t).alias("minutes"), t.cast("double").alias("parsed"))
-    back = timefmt.parse_srt_time(F.col("srt"))
-    return rows.withColumn("parsed", F.coalesce(back, F.col("parsed")))
+    part = F.when(F.col("idx") % 17 == 16, F.lit(1023 / 1024)).otherwise((F.col("idx") % 17) / 16)  # halves of both roundings, and one that reads 100
+    t = F.floor("start") % 360_000 + part
+    rows = roles.points(spark, d).select("video", "idx", timefmt.hms(t).alias("hms"), timefmt.srt_time(t).alias("srt"), timefmt.ass_time(t).alias("ass"), timefmt.minutes(t).alias("minutes"))
+    return rows.withColumn("parsed", timefmt.parse_srt_time(F.col("srt"))).withColumn("unparsed", timefmt.parse_srt_time(F.col("ass")))
 
 
 @query(
@@ -406,7 +415,8 @@ def q32_urls(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH k AS (SELECT event_id, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS n FROM events)
-SELECT user_id AS video, event_id AS chunk, n::DOUBLE AS start, (n + 30)::DOUBLE AS "end", least(100, n)::INTEGER AS score, event_type AS title, CASE WHEN n % 3 = 2 THEN 'other' ELSE 'talk' END AS content_type FROM k WHERE n IS NOT NULL"""
+SELECT user_id AS video, event_id AS chunk, least(n, n % 7 * 20 + 10)::DOUBLE AS start, least(n + 30, n % 7 * 20 + 10)::DOUBLE AS "end", least(100, n)::INTEGER AS score, event_type AS title,
+  CASE WHEN n % 3 = 2 THEN 'other' ELSE 'talk' END AS content_type FROM k WHERE n < n % 7 * 20 + 10"""
 )
 def q33_answers(spark: SparkSession, d: str) -> DataFrame:
     n = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
@@ -415,7 +425,7 @@ def q33_answers(spark: SparkSession, d: str) -> DataFrame:
     fenced = F.concat(F.lit("```json\n"), F.replace(whole, F.lit("}]"), F.lit("},]")), F.lit("\n```"))
     broken = F.concat(F.lit('{"highlights": ['), item, F.lit(', {"title": "cut'))
     raw = F.when(n % 3 == 0, whole).when(n % 3 == 1, fenced).otherwise(broken)
-    rows = table(spark, d, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("chunk"), raw.alias("raw"), F.lit(0.0).alias("duration")).filter("raw is not null")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("video"), F.col("event_id").alias("chunk"), raw.alias("raw"), (n % 7 * 20.0 + 10).alias("duration")).filter("raw is not null")
     return answers.candidates(rows).select("video", "chunk", "start", "end", "score", "title", "content_type")
 
 
@@ -424,9 +434,9 @@ def q34_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return first_wins(table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host")), "host", ["page_id"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def q35_unfinished(spark: SparkSession, d: str) -> DataFrame:
-    return unfinished(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return unfinished(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query(

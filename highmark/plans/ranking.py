@@ -48,3 +48,14 @@ def clip_documents(clips: DataFrame) -> DataFrame:
 def run_report(results: DataFrame) -> DataFrame:
     """ok, failed: how many of results(url, error) have no error, and how many have."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def with_documents(results: DataFrame, documents: DataFrame) -> DataFrame:
+    """results(video, ...) with n_clips and clips of their documents (clip_documents()); 0 and null for those without one."""
+    out = results.join(documents.select("video", "n_clips", "clips"), "video", "left")
+    return out.withColumn("n_clips", F.coalesce("n_clips", F.lit(0)))
+
+
+def write_documents(documents: DataFrame, folder: str) -> None:
+    """A JSON object per video, in a folder of its own."""
+    documents.write.partitionBy("video").json(folder)

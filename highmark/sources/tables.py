@@ -66,6 +66,40 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("video_id", "title", _number(F.col("duration")).alias("duration"), F.when(kept, F.col("heatmap")).alias("heatmap"), F.when(kept, F.col("chapters")).alias("chapters"), kept.alias("has_signals"))
 
 
+def write_metadata(videos: DataFrame, folder: str) -> None:
+    """Sidecars of videos(video_id, title, duration, heatmap, chapters, ...): these columns and the signals' mark, an object each."""
+    videos.select("video_id", "title", "duration", "heatmap", "chapters", F.lit(True).alias("_has_signals")).write.json(folder)
+
+
+def backfilled(meta: DataFrame, fresh_: DataFrame) -> DataFrame:
+    """metadata() whose rows without the signals' mark take signals, and a missing duration, from fresh_(video_id, duration, heatmap, chapters)."""
+    new = fresh_.select("video_id", F.lit(True).alias("__new"), F.col("duration").alias("__d"), F.col("heatmap").alias("__h"), F.col("chapters").alias("__c"))
+    rows = meta.join(new, "video_id", "left")
+    take = ~F.col("has_signals") & F.coalesce("__new", F.lit(False))
+    rows = rows.withColumn("heatmap", F.when(take, F.col("__h")).otherwise(F.col("heatmap"))).withColumn("chapters", F.when(take, F.col("__c")).otherwise(F.col("chapters")))
+    return rows.withColumn("duration", F.coalesce("duration", F.when(take, F.col("__d")))).withColumn("has_signals", F.col("has_signals") | take).drop("__new", "__d", "__h", "__c")
+
+
+def write_replay(points: DataFrame, folder: str) -> None:
+    """Replay sidecars: an object per video with its points in order."""
+    rows = points.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "start", "end", "value"))), lambda p: F.struct(p["start"].alias("start_time"), p["end"].alias("end_time"), p["value"].alias("value"))).alias("heatmap"))
+    rows.select(F.col("video").alias("video_id"), "heatmap").write.json(folder)
+
+
+def write_loudness(energy: DataFrame, folder: str) -> None:
+    """Loudness sidecars of energy(video, sec, value): an object per video with the values of its seconds, rounded to 4 places."""
+    rows = energy.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("sec", F.bround("value", 4).alias("value")))).alias("values"))
+    rows.select("video", "values").write.json(folder)
+
+
+def loudness_or(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
+    """video, sec, value: what sidecars hold, and of `made` (video, sec, value) the videos for which there is none that can be read."""
+    held = spark.read.schema("video string, values array<struct<sec: long, value: double>>").option("mode", "PERMISSIVE").json(folder).filter("values is not null")
+    rows = held.select("video", F.explode("values").alias("v")).select("video", "v.sec", "v.value")
+    rest = made.select(F.col("video").cast("string").alias("video"), "sec", "value").join(held.select("video").distinct(), "video", "left_anti")
+    return rows.unionByName(rest)
+
+
 def replay_points(videos: DataFrame) -> DataFrame:
     """video, idx, start, end, value of videos(video_id, heatmap): numeric rows whose end is after start, by start.
 

@@ -145,27 +145,33 @@ def test_sponsors(spark):
     assert rows(intervals.drop_sponsored(clips(spark, (110, 190, 90), (180, 300, 80)), s, 60), "cand") == [(1,)]
 
 
-def reference_expand(start, end, peak, segs, p=DEFAULTS):
-    target, floor = max(0.0, peak - p.peak_lead), max(0.0, peak - p.peak_lead_most)
-    new = min(start, target)
-    c = [s for s, _ in segs if floor <= s <= target + 0.5]
-    if c:
-        new = max([b for b in c if b <= new + 0.5], default=min(c))
-    new = max(0.0, max(floor, min(new, target)) - p.pad)
-    e = next((e for _, e in segs if e >= end + p.peak_tail - 0.05), end + p.peak_tail)
-    e = min(min(e + p.pad, segs[-1][1] + p.pad), new + p.longest_clip)
-    return new, max(e, new + 1.0)
-
-
-def test_expand(spark):
+EVEN = [(2.0 * k, 2.0 * k + 2) for k in range(150)]
+
+
+def expanded(spark, items, segs):
+    c = spark.createDataFrame([(1, k, float(s), float(e), p and float(p)) for k, (s, e, p) in enumerate(items)], "video int, cand int, start double, end double, peak double")
+    seg = spark.createDataFrame([(1, k, float(s), float(e)) for k, (s, e) in enumerate(segs)], "video int, seg int, start double, end double")
+    return {r.cand: (round(r.start, 6), round(r.end, 6), r.expanded) for r in expand.expand(c, seg, None, 50).collect()}
+
+
+def test_expand_by_hand(spark):
+    # lead 5 to 20 seconds, tail 5, pad 0.3, at most 180 long; sentences start at even seconds
+    got = expanded(spark, [(50, 60, 58), (57, 60, 58), (10, 60, 58), (1, 4, 3), (50, 290, 58), (294, 299, 297), (50, 60, None)], EVEN)
+    assert got == {
+        0: (49.7, 66.3, True), 1: (51.7, 66.3, True), 2: (37.7, 66.3, True), 3: (0.0, 10.3, True), 4: (49.7, 229.7, True), 5: (291.7, 300.3, True), 6: (50.0, 60.0, False),
+    }
+
+
+def test_expand_keeps_its_bounds(spark):
     rnd = random.Random(9)
-    segs = [(2.0 * k, 2.0 * k + 2) for k in range(150)]
-    items = [((s := rnd.uniform(0, 200)), s + rnd.uniform(1, 90), rnd.uniform(0, 290)) for _ in range(40)]
-    c = spark.createDataFrame([(1, k, s, e, p) for k, (s, e, p) in enumerate(items)], "video int, cand int, start double, end double, peak double")
-    seg = spark.createDataFrame([(1, k, s, e) for k, (s, e) in enumerate(segs)], "video int, seg int, start double, end double")
-    got = {r.cand: r for r in expand.expand(c, seg, None, 50).collect()}
-    for k, (s, e, p) in enumerate(items):
-        assert (got[k].start, got[k].end) == pytest.approx(reference_expand(s, e, p, segs)) and got[k].expanded
+    items = [((s := rnd.uniform(0, 200)), s + rnd.uniform(1, 90), rnd.uniform(0, 290)) for _ in range(60)]
+    p = DEFAULTS
+    for k, (s, e, whole) in expanded(spark, items, EVEN).items():
+        start, end, peak = items[k]
+        assert whole and 0 <= s <= max(0.0, peak - p.peak_lead) - p.pad + 1e-6 or s == 0
+        assert s >= max(0.0, max(0.0, peak - p.peak_lead_most) - p.pad) - 1e-6 and 1 <= e - s + 1e-6 <= p.longest_clip + 1e-5
+        assert s == 0 or any(abs(s + p.pad - b) < 1e-5 for b, _ in EVEN) or abs(s + p.pad - max(0.0, peak - p.peak_lead)) < 1e-5 or abs(s + p.pad - max(0.0, peak - p.peak_lead_most)) < 1e-5
+        assert e >= min(end + p.peak_tail, 300.0, s + p.longest_clip) - 1e-5 and e <= 300 + p.pad + 1e-5 or e - s <= 1 + 1e-5
 
 
 def test_onset(spark, energy):

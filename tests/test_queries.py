@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from highmark.plans import reader_queries  # noqa: F401, registers its queries
 from highmark.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -37,3 +38,14 @@ def test_query(spark, sf, duck, name):
     names = [c[0] for c in rows.description]
     assert sorted(names) == cols
     assert got == sorted(repr([plain(r[names.index(c)]) for c in cols]) for r in rows.fetchall())
+
+
+def test_rows_are_suppressed(spark, sf):
+    from highmark.plans import roles
+
+    clips = roles.clips(roles.points(spark, sf))
+    assert 0 < QUERIES["q13_suppress_by_time"](spark, sf).count() < clips.count()
+    assert 0 < QUERIES["q14_suppress_by_text"](spark, sf).count() < roles.table(spark, sf, "documents").count()
+    assert QUERIES["q35_unfinished"](spark, sf).count() > 5 and QUERIES["q16_topic_shifts"](spark, sf).count() > 5
+    assert QUERIES["q33_answers"](spark, sf).filter("end - start < 30").count() > 5
+    assert QUERIES["q20_expand"](spark, sf).filter("not expanded").count() < clips.count()
