@@ -1,9 +1,11 @@
 """Token ids of whole texts, made once and stored, with each partition's running positions."""
 
 import gc
+import itertools
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda _: None
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        begin = commonprefix(added)
+        self.mark = "".join(itertools.takewhile(lambda c: c.lower() == c.upper(), begin))  # what all begin with, in any case of letters
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda _: None
         self.size = self.tokenizer.get_vocab_size()
         self.model, self.spaced = self.tokenizer.model, spaced
         self.cut = _SPACED.findall if spaced else bytes.split
@@ -73,7 +77,7 @@ class Encoder:
             self.pieces.clear()
         out = []
         for t in texts:
-            if self.added(t) or self.spaced and _WIDE.search(t):
+            if self.mark in t and self.added(t) or self.spaced and _WIDE.search(t):
                 out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
                 continue
             chunks = self.cut(t.encode())
