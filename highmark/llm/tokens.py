@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from highmark.llm._shared import stored
 
-#: Texts that are encoded together; chunks and pieces that a worker remembers. Full memories of chunks are kept
-#: as the older one, from which what is met again is taken over.
-TEXTS, CHUNKS, PIECES = 128, 350_000, 400_000
+#: Texts that are encoded together; chunks and pieces that a worker remembers, anew beyond that.
+TEXTS, CHUNKS, PIECES = 128, 500_000, 400_000
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 #: White space to a tokenizer beyond ASCII's: texts that have any are encoded as a whole.
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -57,7 +56,6 @@ class Encoder:
         self.model, self.spaced = self.tokenizer.model, spaced
         self.cut = _SPACED.findall if spaced else bytes.split
         self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
@@ -74,7 +72,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CHUNKS:
-            self.known, self.older = {}, self.known
+            self.known.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         out = []
@@ -89,7 +87,7 @@ class Encoder:
                     if x is None:
                         c = chunks[k]
                         if (x := self.known.get(c)) is None:
-                            self.known[c] = x = self.older.get(c) or self.chunk(c)
+                            self.known[c] = x = self.chunk(c)
                         found[k] = x
             out.append(b"".join(found))
         return out
