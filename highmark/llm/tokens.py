@@ -5,6 +5,7 @@ import itertools
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 from os.path import commonprefix
 
 import numpy as np
@@ -18,7 +19,11 @@ from highmark.llm._shared import stored
 #: Texts that are encoded together; chunks and pieces that a worker remembers, anew beyond that.
 TEXTS, CHUNKS, PIECES = 128, 500_000, 400_000
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
+_AS_SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
+#: A word and the signs after it: one piece each.
+_WORD = re.compile(rb"( ?[A-Za-z]+)([!-/:-@[-`{-~]*)").fullmatch
 #: White space to a tokenizer beyond ASCII's: texts that have any are encoded as a whole.
+_SEPARATORS = b"\x1c\x1d\x1e\x1f"
 _WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Chunks of ASCII and of letters for Western Europe, whose classes are beyond doubt, are cut into pieces here.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -31,15 +36,31 @@ _CUTS = {
 #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
 _OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _OWN} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
+_ID = attrgetter("id")
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
+class _Known(dict[bytes, bytes]):
+    """Ids by chunk or piece, found when first asked for."""
+
+    def __init__(self, find: Callable[[bytes], bytes], most: int) -> None:
+        self.find, self.most = find, most
+
+    def __missing__(self, key: bytes) -> bytes:
+        self[key] = ids = self.find(key)
+        return ids
+
+    def shrink(self) -> None:
+        if len(self) > self.most:
+            self.clear()
+
+
 class Encoder:
     """Ids as little-endian 32-bit integers, the same as of tokenizers' encode() of the whole text.
 
     Neither kind of tokenizer joins anything across the start of a run of white space, so texts are cut
     there, and each different chunk is encoded once: plain ones by the tokenizer's model, piece by piece,
-    others by all of it. A text that holds the string of an added token, in any case of letters, goes to the
+    others by all of it. Where no white space follows white space, a plain split at spaces cuts the same. A text that holds the string of an added token, in any case of letters, goes to the
     tokenizer as a whole. spaced: chunks keep the white space before them, as byte-level vocabularies
     need it; otherwise white space is dropped and letters are lower-cased, as by tokenizers that end words.
     """
@@ -54,43 +75,51 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda _: None
         self.size = self.tokenizer.get_vocab_size()
         self.model, self.spaced = self.tokenizer.model, spaced
-        self.cut = _SPACED.findall if spaced else bytes.split
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces, self.chunks, self.after_space = _Known(self.piece, PIECES), _Known(self.chunk, CHUNKS), _Known(self.spaced_chunk, CHUNKS)
 
-    def piece(self, piece: str) -> bytes:
-        raw = piece if piece.isascii() and piece.isalpha() else "".join(map(_BYTES.__getitem__, piece.encode()))
-        self.pieces[piece] = ids = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
-        return ids
+    def piece(self, piece: bytes) -> bytes:
+        if piece.isalpha():
+            raw = piece.decode()
+        elif piece[:1] == b" " and piece[1:].isalpha():
+            raw = _BYTES[32] + piece[1:].decode()
+        else:
+            raw = "".join(map(_BYTES.__getitem__, piece))
+        return array("I", map(_ID, self.model.tokenize(raw))).tobytes()
 
     def chunk(self, chunk: bytes) -> bytes:
+        if word := _WORD(chunk if self.spaced else chunk.lower()):
+            head, tail = word.groups()
+            return self.pieces[head] + self.pieces[tail] if tail else self.pieces[head]
         text = chunk.decode()
         if not _PLAIN(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return self.whole(text)
         cuts = _CUTS[self.spaced](text if self.spaced else text.lower())
-        return b"".join([self.pieces.get(x) or self.piece(x) for x in cuts])
+        return b"".join([self.pieces[x.encode()] for x in cuts])
+
+    def spaced_chunk(self, chunk: bytes) -> bytes:
+        """Of a chunk whose line feed, or else the space before it, is the only white space."""
+        return self.chunk(chunk if chunk[:1] == b"\n" else b" " + chunk)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def text(self, text: str) -> bytes:
+        if self.mark in text and self.added(text):
+            return self.whole(text)
+        raw = text.encode()
+        if not self.spaced:
+            return b"".join(map(self.chunks.__getitem__, raw.split()))
+        if len(raw.translate(None, _SEPARATORS)) < len(raw) or not text.isascii() and _WIDE.search(text):
+            return self.whole(text)
+        if b"  " in raw.translate(_AS_SPACES):
+            return b"".join(map(self.chunks.__getitem__, _SPACED.findall(raw)))
+        first, *rest = raw.replace(b"\n", b" \n").split(b" ")
+        return (self.chunks[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CHUNKS:
-            self.known.clear()
-        if len(self.pieces) > PIECES:
-            self.pieces.clear()
-        out = []
-        for t in texts:
-            if self.mark in t and self.added(t) or self.spaced and _WIDE.search(t):
-                out.append(array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes())
-                continue
-            chunks = self.cut(t.encode())
-            found = [*map(self.known.get, chunks)]
-            if None in found:
-                for k, x in enumerate(found):
-                    if x is None:
-                        c = chunks[k]
-                        if (x := self.known.get(c)) is None:
-                            self.known[c] = x = self.chunk(c)
-                        found[k] = x
-            out.append(b"".join(found))
-        return out
+        for known in self.pieces, self.chunks, self.after_space:
+            known.shrink()
+        return [*map(self.text, texts)]
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
