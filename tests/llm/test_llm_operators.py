@@ -374,6 +374,19 @@ def test_encoder_gives_the_tokenizers_ids(name, spaced):
     same()
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_cuts_at_any_white_space(name, spaced, monkeypatch):
+    """White space of each kind, alone and in pairs and threes, before, between and after words, with memories that are often emptied."""
+    monkeypatch.setattr(tokens, "CHUNKS", 20)
+    monkeypatch.setattr(tokens, "PIECES", 20)
+    own, library = tokens.Encoder(public_tokenizers.path(name), spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    for n in (1, 2, 3):
+        for space in map("".join, itertools.product(" \n\t\r\x1c\x1f", repeat=n)):
+            texts = [f"{space}It's one, two{space}Three_3 's{space}", f"größe{space}a b\nc", space]
+            assert [np.frombuffer(x, dtype="<u4").tolist() for x in own(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(map(len, (own.pieces, own.chunks, own.after_space))) < 60
+
+
 def test_sequences_are_full(spark, tmp_path):
     docs = saved(spark.createDataFrame([(k if k % 5 else None, t) for k, t in enumerate([*TEXTS, None] * 3)], "doc_id long, text string").repartition(3), tmp_path)
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=64)
