@@ -10,21 +10,23 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from highmark.llm._shared import stored
 
-#: Texts that are encoded together; chunks and pieces that a worker remembers, anew beyond that.
-TEXTS, CHUNKS, PIECES = 128, 500_000, 400_000
+#: Bytes of texts that are encoded together, at least one text; chunks and pieces that a worker remembers, anew beyond that.
+TOGETHER, CHUNKS, PIECES = 1 << 23, 1_000_000, 1_000_000
 _SPACED = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-_AS_SPACES = bytes.maketrans(b"\t\n\r\x0b\x0c", b" " * 5)
 #: A word and the signs after it: one piece each.
 _WORD = re.compile(rb"( ?[A-Za-z]+)([!-/:-@[-`{-~]*)").fullmatch
 #: White space to a tokenizer beyond ASCII's: texts that have any are encoded as a whole.
-_SEPARATORS = b"\x1c\x1d\x1e\x1f"
-_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_SEPARATORS = "\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = re.compile(f"[{_SEPARATORS}]")
+#: Texts that a split at single spaces wouldn't cut as _SPACED does, or that _WIDE finds.
+_ODD = f"[{_SEPARATORS}]|[ \t\n\r\x0b\x0c][ \t\n\r\x0b\x0c]"
 #: Chunks of ASCII and of letters for Western Europe, whose classes are beyond doubt, are cut into pieces here.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[ \n\r\t!-~{_LETTERS}]+").fullmatch
@@ -60,9 +62,10 @@ class Encoder:
 
     Neither kind of tokenizer joins anything across the start of a run of white space, so texts are cut
     there, and each different chunk is encoded once: plain ones by the tokenizer's model, piece by piece,
-    others by all of it. Where no white space follows white space, a plain split at spaces cuts the same. A text that holds the string of an added token, in any case of letters, goes to the
-    tokenizer as a whole. spaced: chunks keep the white space before them, as byte-level vocabularies
-    need it; otherwise white space is dropped and letters are lower-cased, as by tokenizers that end words.
+    others by all of it. Where no white space follows white space, a plain split at spaces cuts the same.
+    A text that holds the string of an added token, in any case of letters, goes to the tokenizer as a
+    whole. spaced: chunks keep the white space before them, as byte-level vocabularies need it; otherwise
+    white space is dropped and letters are lower-cased, as by tokenizers that end words.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -72,6 +75,7 @@ class Encoder:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         begin = commonprefix(added)
         self.mark = "".join(itertools.takewhile(lambda c: c.lower() == c.upper(), begin))  # what all begin with, in any case of letters
+        self.may_hold_added = bool(added)
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda _: None
         self.size = self.tokenizer.get_vocab_size()
         self.model, self.spaced = self.tokenizer.model, spaced
@@ -104,22 +108,41 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
-        if self.mark in text and self.added(text):
+        if self.mark in text and self.added(text) or self.spaced and _WIDE.search(text):
             return self.whole(text)
         raw = text.encode()
-        if not self.spaced:
-            return b"".join(map(self.chunks.__getitem__, raw.split()))
-        if len(raw.translate(None, _SEPARATORS)) < len(raw) or not text.isascii() and _WIDE.search(text):
-            return self.whole(text)
-        if b"  " in raw.translate(_AS_SPACES):
-            return b"".join(map(self.chunks.__getitem__, _SPACED.findall(raw)))
-        first, *rest = raw.replace(b"\n", b" \n").split(b" ")
-        return (self.chunks[first] if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
+        return b"".join(map(self.chunks.__getitem__, _SPACED.findall(raw) if self.spaced else raw.split()))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        ids, n = self.batch(pa.array(texts, pa.string()))
+        return [x.tobytes() for x in np.split(ids, np.cumsum(n)[:-1])][: len(n)]
+
+    def batch(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each text has; null texts have none."""
         for known in self.pieces, self.chunks, self.after_space:
             known.shrink()
-        return [*map(self.text, texts)]
+        texts = texts.fill_null("")
+        odd = pc.match_substring(texts, self.mark) if self.may_hold_added else pa.array(np.zeros(len(texts), dtype=bool))
+        if self.spaced:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, _ODD))
+            words = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
+        else:
+            words = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        at, flat = words.offsets.to_numpy() - words.offsets[0].as_py(), words.flatten().cast(pa.binary()).dictionary_encode()
+        rest = self.after_space if self.spaced else self.chunks
+        found = [rest[x] for x in flat.dictionary.to_pylist()]
+        code = flat.indices.to_numpy().astype(np.int64)  # of each word, in found
+        begin = flat.take(pa.array(at[:-1])).to_pylist()
+        odd = odd.to_numpy(zero_copy_only=False)
+        code[at[:-1]] = len(found) + np.arange(len(texts))  # nothing stands before a text's first word; an odd text has one, empty
+        for k, (first, whole) in enumerate(zip(begin, odd.tolist(), strict=True)):
+            found.append(self.text(texts[k].as_py()) if whole else self.chunks[first] if first else b"")
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        table, base = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(size) - size
+        n = size[code]
+        ends = np.cumsum(n)
+        ids = table[np.repeat(base[code] - (ends - n), n) + np.arange(n.sum())]
+        return ids, np.diff(np.concatenate([[0], ends])[at])
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
@@ -129,6 +152,15 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in a row whose texts have up to TOGETHER bytes, or one row whose text has more."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int = 4, keep: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """docs(doc_id, text) as a stored table: part int, ahead long, doc_id, n long, ids binary.
 
@@ -137,7 +169,6 @@ def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int
     repeated rows are rows like others; an empty table gives none.
     """
     schema = "part int, ahead long, doc_id long, n long, ids binary"
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, ahead = encoder(path, spaced), TaskContext.get().partitionId(), 0
@@ -145,17 +176,17 @@ def tokenised(docs: DataFrame, path: str, end_id: int, spaced: bool, width: int
             raise ValueError(f"{own.size} ids don't fit in two bytes")
         gc.disable()  # millions of small byte strings, none in a cycle
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXTS):
-                b = whole.slice(at, TEXTS)
-                ids = [x + end for x in own([t or "" for t in b.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-                before = ahead + np.cumsum(n) - n
-                ahead += int(n.sum())
-                if width == 2:
-                    ids = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() for x in ids]
+            for b in _slices(whole):
+                text_ids, n = own.batch(b.column(1))
+                ids = np.insert(text_ids.astype(f"<u{width}"), np.cumsum(n), end_id)
+                n = n + 1
+                ends = np.cumsum(n)
+                places = np.concatenate([[0], ends * width])
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(places), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(before), b.column(0).cast(pa.int64()), pa.array(n), pa.array(ids, pa.binary())], ["part", "ahead", "doc_id", "n", "ids"]
+                    [pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(ahead + ends - n), b.column(0).cast(pa.int64()), pa.array(n), raw.cast(pa.binary())], ["part", "ahead", "doc_id", "n", "ids"]
                 )
+                ahead += int(ends[-1])
         gc.enable()
 
     return keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, schema), "ids")
