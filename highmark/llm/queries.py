@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing, spans, topk, warc
+from highmark.llm import balltree, chat, huffman, langid, leaks, lines, merkle, mixing, neardup, packing, spans, topk, warc
 from highmark.llm._shared import remove, shared_dir, stored
 
 
@@ -200,5 +200,108 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM l GROUP BY conv_id
 """
 
-QUERIES = {"op1_warc_segments": op1_warc_segments, "op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op4_near_duplicates": op4_near_duplicates, "op5_mix_sources": op5_mix_sources, "op6_pack_sequences": op6_pack_sequences, "op7_sentence_spans": op7_sentence_spans, "op8_clean_lines": op8_clean_lines, "op9_huffman_ids": op9_huffman_ids, "op10_chat_format": op10_chat_format}
-ORACLE_SQL = {"op1_warc_segments": OP1_SQL, "op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL}
+
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's centroid after ten rounds; see balltree.cluster() for nulls, ties and repeated rows. An empty table gives no row."""
+    return balltree.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _rounds(n: int) -> str:
+    """SQL of n rounds from centroids c0(c, v) of vectors v(vec_id, v): c1, c2, ..."""
+    one = """
+a{k} AS (SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, v.v, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{k} c) GROUP BY 1, 2),
+s{k} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{k}) GROUP BY 1, 2),
+m{k} AS (SELECT c, list(CASE WHEN s < 0 AND s % n <> 0 THEN s // n - 1 ELSE s // n END::BIGINT ORDER BY j) AS v FROM s{k} GROUP BY 1),
+c{n} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN m{k} m USING (c))"""
+    return ",".join(one.format(k=k, n=k + 1) for k in range(n))
+
+
+OP11_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM v ORDER BY h LIMIT 8)),{_rounds(10)},
+f AS (SELECT vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT v.vec_id, c.c, list_sum(list_transform(list_zip(v.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c10 c) GROUP BY 1)
+SELECT vec_id, f.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY f.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256 FROM f JOIN c10 ON c10.c = f.c
+"""
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and roots of each document, and whether it still stands after tampering; see merkle.manifest() for nulls and repeated rows. An empty table gives no row."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    now = F.when(tampered, merkle.lowered(F.col("text"))).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents").select(*fields), "source", "doc_id", fields, {"text": now})
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x}), '-')" for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({x}, ''), lambda s: ascii(s)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda r, i: xor(r >> 1, 3988292384::UBIGINT * (r & 1)))), 4294967295::UBIGINT)"
+
+
+def _levels(name: str, base: str) -> str:
+    """SQL of the levels of trees base(tree, pos, h): name(tree, lvl, pos, h, n), and name_path(tree, lvl, pos, l, r) of what stands left and right of a node."""
+    return f"""
+{name} AS (
+  SELECT tree, 0 AS lvl, pos, h, count(*) OVER (PARTITION BY tree) AS n FROM {base}
+  UNION ALL SELECT tree, any_value(lvl) + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 15) // 16 FROM {name} WHERE n > 1 GROUP BY tree, pos // 16),
+{name}_path AS (
+  SELECT a.tree, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name} a JOIN {name} b ON b.tree = a.tree AND b.lvl = a.lvl AND b.pos // 16 = a.pos // 16 WHERE a.n > 1 GROUP BY ALL)"""
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, coalesce('s' || source, 'n') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC32.format(x="doc_id::VARCHAR")} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_leaf("text")} END AS now FROM documents),
+e AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, tree, source, leaf, now, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+low AS (SELECT tree, pos, leaf AS h FROM e),{_levels("t", "low")},
+s AS (SELECT tree, h AS subroot, row_number() OVER (ORDER BY CASE WHEN tree <> 'n' THEN substr(tree, 2) END NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+high AS (SELECT '' AS tree, pos, subroot AS h FROM s),{_levels("u", "high")},
+w AS (
+  SELECT e.rid, 0 AS part, p.lvl, p.l, p.r FROM e JOIN t_path p ON p.tree = e.tree AND p.pos = e.pos // (16 ** p.lvl)::BIGINT
+  UNION ALL SELECT e.rid, 1, p.lvl, p.l, p.r FROM e JOIN s USING (tree) JOIN u_path p ON p.pos = s.pos // (16 ** p.lvl)::BIGINT),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY part, lvl) AS k FROM w),
+f AS (SELECT rid, 0 AS k, now AS h FROM e UNION ALL SELECT f.rid, f.k + 1, sha256(p.l || f.h || p.r) FROM f JOIN p ON p.rid = f.rid AND p.k = f.k + 1),
+g AS (SELECT rid, arg_max(h, k) AS folded_root FROM f GROUP BY rid),
+q AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256 FROM p GROUP BY rid),
+z AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM e JOIN s USING (tree) JOIN g USING (rid) LEFT JOIN q USING (rid), z
+"""
+
+
+def op13_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document shares with benchmark items; see leaks.find() for null texts and names, and repeated rows. An empty table gives no row."""
+    found = leaks.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("leak_spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["first"])
+    counts = found.select("doc_id", F.col("leak_words").alias("n_words"), n_hit.alias("n_hit"), F.size("leak_items").cast("long").alias("n_items"), F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"))
+    return counts.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+_LEAK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP13_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_LEAK_WORDS} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_LEAK_WORDS} AS w FROM benchmark),
+k AS (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0),
+g AS MATERIALIZED (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram FROM k),
+e AS (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM g) WHERE len(w) >= size),
+m AS MATERIALIZED (SELECT e.row, e.i, e.size, g.item FROM e JOIN g ON g.size = e.size AND g.gram = array_to_string(e.w[e.i:e.i + e.size - 1], ' ')),
+h AS (SELECT row, count(DISTINCT i + j) AS n FROM (SELECT DISTINCT row, i, unnest(range(0, size)) AS j FROM m) GROUP BY row),
+n AS (SELECT row, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_segments, op2_language_id, op3_top_k, op4_near_duplicates, op5_mix_sources, op6_pack_sequences, op7_sentence_spans, op8_clean_lines, op9_huffman_ids, op10_chat_format,
+        op11_ball_tree_clusters, op12_merkle_manifest, op13_benchmark_leaks,
+    )
+}
+ORACLE_SQL = {
+    "op1_warc_segments": OP1_SQL, "op3_top_k": OP3_SQL, "op4_near_duplicates": OP4_SQL, "op5_mix_sources": OP5_SQL, "op8_clean_lines": OP8_SQL, "op10_chat_format": OP10_SQL,
+    "op11_ball_tree_clusters": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_benchmark_leaks": OP13_SQL,
+}
