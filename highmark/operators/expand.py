@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from highmark.operators.intervals import onset
+from highmark.operators.nearest import asof, first_to_end
 from highmark.params import DEFAULTS, Params
 
 
@@ -23,22 +24,17 @@ def expand(clips: DataFrame, segments: DataFrame, energy: DataFrame | None, widt
     else:
         rows = rows.withColumn("__onset", F.lit(None).cast("double"))
     rows = rows.withColumn("__new", F.least("start", "__target", F.when(F.col("__onset").isNotNull(), F.greatest("__onset", "__floor"))))
-    s = segments.select("video", "seg", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    ends = s.groupBy("video").agg(F.max_by("s_end", "seg").alias("__last"))
-    within = (F.col("s_start") >= F.col("__floor")) & (F.col("s_start") <= F.col("__target") + 0.5)
-    tail = F.col("end") + p.peak_tail
-    near = (
-        rows.filter("peak is not null")
-        .select("video", "cand", "end", "__floor", "__target", "__new")
-        .join(s, "video")
-        .groupBy("video", "cand")
-        .agg(
-            F.max(F.when(within & (F.col("s_start") <= F.col("__new") + 0.5), F.col("s_start"))).alias("__before"),
-            F.min(F.when(within, F.col("s_start"))).alias("__within"),
-            F.min_by("s_end", F.when(F.col("s_end") >= tail - p.snap_tolerance, F.col("seg"))).alias("__end"),
-        )
-    )
-    rows = rows.join(near, ["video", "cand"], "left").join(ends, "video", "left")
+    ends = segments.groupBy("video").agg(F.max_by("end", "seg").alias("__last"))
+    latest, tail = F.col("__target") + 0.5, F.col("end") + p.peak_tail
+    with_peak = rows.filter("peak is not null")
+    starts = segments.select("video", F.col("start").alias("t"), F.col("start").alias("found"))
+    before = asof(with_peak.select("video", "cand", F.least(F.col("__new") + 0.5, latest).alias("t")), starts, width, "__before")
+    within = asof(with_peak.select("video", "cand", F.col("__floor").alias("t")), starts, width, "__within", forward=True)
+    after = asof(with_peak.select("video", "cand", (tail - p.snap_tolerance).alias("t")), first_to_end(segments), width, "__end", forward=True)
+    for near in (before, within, after):
+        rows = rows.join(near, ["video", "cand"], "left")
+    rows = rows.join(ends, "video", "left")
+    rows = rows.withColumn("__before", F.when(F.col("__before") >= F.col("__floor"), F.col("__before"))).withColumn("__within", F.when(F.col("__within") <= latest, F.col("__within")))
     start = F.greatest(F.greatest("__floor", F.least(F.coalesce("__before", "__within", "__new"), "__target")) - p.pad, F.lit(0.0))
     rows = rows.withColumn("__s", start)
     end = F.least(F.coalesce("__end", tail) + p.pad, F.col("__last") + p.pad)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from highmark.functions.text import INTEREST, strip
+from highmark.operators.nearest import asof, first_holders, first_to_end
 from highmark.params import DEFAULTS
 
 
@@ -38,16 +39,14 @@ def overlap_mean(clips: DataFrame, points: DataFrame, width: float, name: str =
     return clips.join(mean, ["video", "cand"], "left").withColumn(name, F.coalesce("__mean", F.lit(0.0))).drop("__mean")
 
 
-def chapter_score(clips: DataFrame, chapters: DataFrame, interest: str = INTEREST, name: str = "chapter_raw") -> DataFrame:
+def chapter_score(clips: DataFrame, chapters: DataFrame, interest: str = INTEREST, name: str = "chapter_raw", width: float = 3600.0) -> DataFrame:
     """clips with 1.0 if the first chapter that holds their middle has a title of interest, 0.5 otherwise, null for videos without chapters.
 
-    A chapter holds start <= t < end; a null end is open.
+    A chapter holds start <= t < end; a null end is open. Chapters become pieces that don't overlap, of which the last up to a middle counts.
     """
-    c = chapters.select("video", "ch", F.col("start").alias("c_start"), F.col("end").alias("c_end"), "title")
-    middle = (F.col("start") + F.col("end")) / 2
-    held = clips.select("video", "cand", "start", "end").join(c, "video").filter((F.col("c_start") <= middle) & (F.col("c_end").isNull() | (middle < F.col("c_end"))))
-    first = held.groupBy("video", "cand").agg(F.min_by("title", "ch").alias("__title"))
-    any_ = c.select("video").distinct().withColumn("__any", F.lit(True))
+    middles = clips.select("video", "cand", ((F.col("start") + F.col("end")) / 2).alias("t"))
+    first = asof(middles, first_holders(chapters, width), width, "__title")
+    any_ = chapters.select("video").distinct().withColumn("__any", F.lit(True))
     out = clips.join(first, ["video", "cand"], "left").join(any_, "video", "left")
     liked = F.coalesce(F.col("__title"), F.lit("")).rlike(f"(?i){interest}")
     return out.withColumn(name, F.when(F.col("__any"), F.when(liked, 1.0).otherwise(0.5))).drop("__title", "__any")
@@ -83,25 +82,17 @@ def onset(peaks: DataFrame, energy: DataFrame, width: float) -> DataFrame:
     return p.join(last, ["video", "cand"], "left").withColumn("onset", found.cast("double")).drop("__mean", "__n", "__at", "__floor", "__last")
 
 
-def snap(clips: DataFrame, segments: DataFrame, pad: float = DEFAULTS.pad, tolerance: float = DEFAULTS.snap_tolerance) -> DataFrame:
+def snap(clips: DataFrame, segments: DataFrame, pad: float = DEFAULTS.pad, tolerance: float = DEFAULTS.snap_tolerance, width: float = 3600.0) -> DataFrame:
     """clips moved to edges of segments(video, seg, start, end), and padded.
 
     The start goes to the last segment start up to it (else to the first start), the end to the end of
     the first segment, in their order, that ends there or later (else to the last segment's end). Clips that
     would be empty, and those of videos without segments, stay. A second call moves most clips again.
     """
-    s = segments.select("video", "seg", F.col("start").alias("s_start"), F.col("end").alias("s_end"))
-    edges = s.groupBy("video").agg(F.min_by("s_start", "seg").alias("__first"), F.max_by("s_end", "seg").alias("__last"))
-    near = (
-        clips.select("video", "cand", "start", "end")
-        .join(s, "video")
-        .groupBy("video", "cand")
-        .agg(
-            F.max(F.when(F.col("s_start") <= F.col("start") + tolerance, F.col("s_start"))).alias("__start"),
-            F.min_by("s_end", F.when(F.col("s_end") >= F.col("end") - tolerance, F.col("seg"))).alias("__end"),
-        )
-    )
-    out = clips.join(near, ["video", "cand"], "left").join(edges, "video", "left")
+    edges = segments.groupBy("video").agg(F.min_by("start", "seg").alias("__first"), F.max_by("end", "seg").alias("__last"))
+    starts = asof(clips.select("video", "cand", (F.col("start") + tolerance).alias("t")), segments.select("video", F.col("start").alias("t"), F.col("start").alias("found")), width, "__start")
+    ends = asof(clips.select("video", "cand", (F.col("end") - tolerance).alias("t")), first_to_end(segments), width, "__end", forward=True)
+    out = clips.join(starts, ["video", "cand"], "left").join(ends, ["video", "cand"], "left").join(edges, "video", "left")
     start = F.greatest(F.coalesce("__start", "__first") - pad, F.lit(0.0))
     end = F.coalesce("__end", "__last") + pad
     moved = F.col("__first").isNotNull() & (end > start)
@@ -129,6 +120,34 @@ def excerpt(clips: DataFrame, segments: DataFrame, width: float, name: str = "ex
     return clips.join(texts, ["video", "cand"], "left").withColumn(name, F.coalesce("__text", F.lit(""))).drop("__text")
 
 
+def packed(energy: DataFrame) -> DataFrame:
+    """video, heard, loud: of energy(video, sec, value, is_spike), from second 0 on, the sums of values and the numbers of spikes before each second and after the last.
+
+    Seconds that aren't there count as 0 in the sums, and aren't counted in `n`, the number of seconds before each.
+    """
+    top = energy.groupBy("video").agg(F.max("sec").alias("top"), F.map_from_entries(F.collect_list(F.struct("sec", F.struct("value", "is_spike")))).alias("at"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda s: F.try_element_at("at", s))
+    none = F.array(F.struct(F.lit(0.0).alias("heard"), F.lit(0).alias("loud"), F.lit(0).alias("n")))
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        more = F.struct((last["heard"] + F.coalesce(x["value"], F.lit(0.0))).alias("heard"), (last["loud"] + F.coalesce(x["is_spike"].cast("int"), F.lit(0))).alias("loud"), (last["n"] + x.isNotNull().cast("int")).alias("n"))
+        return F.concat(acc, F.array(more))
+
+    sums = top.select("video", F.aggregate(each, none, add).alias("s"))
+    return sums.select("video", *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ("heard", "loud", "n")])
+
+
+def packed_window_score(clips: DataFrame, sums: DataFrame, name: str = "audio_raw") -> DataFrame:
+    """window_score() from packed() sums: two lookups a clip, in the array of its video. For sidecars, which hold one array a video."""
+    top = F.size("n") - 1
+    lo = F.least(F.greatest(F.floor("start"), F.lit(0)), top).cast("int")
+    hi = F.greatest(lo, F.least(top, F.floor("end") + 1)).cast("int")
+    of = lambda c: F.get(c, hi) - F.get(c, lo)
+    score = F.least(F.lit(1.0), 0.7 * of("heard") / F.nullif(of("n"), F.lit(0)) + 0.3 * F.least(of("loud") / 3, F.lit(1.0)))
+    return clips.join(sums, "video", "left").withColumn(name, F.when(F.col("n").isNotNull(), F.coalesce(score, F.lit(0.0)))).drop("heard", "loud", "n")
+
+
 def drop_sponsored(clips: DataFrame, sponsors: DataFrame, width: float, share: float = DEFAULTS.overlap_share) -> DataFrame:
     """clips of which sponsors(video, start, end) cover less than `share`; sponsor rows that overlap count twice. Empty clips stay."""
     pairs = overlaps(clips.select("video", "cand", "start", "end"), sponsors.select("video", "start", "end"), width)

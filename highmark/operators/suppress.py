@@ -1,39 +1,177 @@
 """Greedy suppression: candidates in order of score, each kept unless one already kept stands against it.
 
-What a suppressed candidate overlaps doesn't matter, so this is a fold over a video's candidates in one
-task, not a join. The fold holds their numbers and what is compared only; their number is bounded by the
-quota (8 of each chunk of a recording) where they come from answers.
+What a suppressed candidate stands against doesn't matter, so pairs alone don't tell who stays. Rounds do: who
+is beaten by nobody undecided is kept, and what it stands against goes; then the next round. That equals the loop
+in order of score, with all videos and all their parts decided at once.
 """
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from highmark.functions.text import content_words, jaccard
 from highmark.params import DEFAULTS
+from highmark.storage import Scratch, stored
 
 
-def _keep(df: DataFrame, order: Column, compared: list[str], against: Callable[[Column, Column], Column]) -> DataFrame:
-    """The kept rows of a video each, told apart by cand: `order` is a struct that sorts them, against(kept, x) whether x goes, by the columns compared."""
-    rows = df.groupBy("video").agg(F.sort_array(F.collect_list(F.struct(order.alias("__o"), "cand", *compared))).alias("rows"))
+def _folded(rows: DataFrame, compared: list[str], against: Callable[[Column, Column], Column]) -> DataFrame:
+    """v, cand that a fold over rows(v, o, cand, compared) in order of o keeps: against(kept, x) tells whether x goes."""
+    rows = rows.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("o", "cand", *compared))).alias("rows"))
     small = lambda x: F.struct(x["cand"].alias("cand"), *[x[c].alias(c) for c in compared])
     empty = F.transform(F.filter("rows", lambda x: F.lit(False)), small)
     kept = F.aggregate("rows", empty, lambda acc, x: F.when(F.exists(acc, lambda k: against(k, x)), acc).otherwise(F.concat(acc, F.array(small(x)))))
-    kept = rows.select(F.col("video").alias("__video"), F.explode(F.transform(kept, lambda k: k["cand"])).alias("__cand"))
-    return df.join(kept, F.col("video").eqNullSafe(F.col("__video")) & (F.col("cand") == F.col("__cand")), "left_semi")
+    return rows.select("v", F.explode(F.transform(kept, lambda k: k["cand"])).alias("cand"))
 
 
-def by_time(clips: DataFrame, share: float = DEFAULTS.overlap_share) -> DataFrame:
+def _ordered(clips: DataFrame, *more: str | Column) -> DataFrame:
+    """v (the video, null or not), o (the order), cand and more."""
+    return clips.select(F.struct("video").alias("v"), F.struct((-F.col("score")).alias("s"), "cand").alias("o"), "cand", *more)
+
+
+def _only(clips: DataFrame, kept: DataFrame, how: str) -> DataFrame:
+    k = kept.select(F.col("v.video").alias("__video"), F.col("cand").alias("__cand"))
+    return clips.join(k, F.col("video").eqNullSafe(F.col("__video")) & (F.col("cand") == F.col("__cand")), how)
+
+
+_CLIP = "struct<cand: {cand}, start: double, end: double>"
+
+
+def _over(share: float) -> Callable[[Column, Column], Column]:
+    def over(k: Column, x: Column) -> Column:
+        both = F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"])
+        return (both > 0) & (both > share * (x["end"] - x["start"]))
+
+    return over
+
+
+def _entered(clips: DataFrame, width: float, shift: float = 0.0) -> DataFrame:
+    """clips once for each time bin that they touch, with `bin`; `inside` tells whether it is one alone. Clips without times are in bin 0."""
+    at = lambda c: F.floor((F.col(c) + shift) / width)
+    low = F.coalesce(at("start"), at("end"), F.lit(0).cast("long"))
+    high = F.greatest(low, F.coalesce(at("end"), low))
+    return clips.withColumn("inside", low == high).withColumn("bin", F.explode(F.sequence(low, high)))
+
+
+def _local_winners(undecided: DataFrame, width: float, share: float, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The undecided clips that are best in all bins that they touch, and those that go with them or are decided by that.
+
+    A bin's best is one row, found by partial aggregation, and it alone meets the others of its bins.
+    """
+    over = _over(share)
+    entries = _entered(undecided, width)
+    best = entries.groupBy("v", "bin").agg(F.min("o").alias("best"))
+    won = entries.join(best, ["v", "bin"]).groupBy("v", "cand").agg(F.every(F.col("o") == F.col("best")).alias("won"), F.first("start").alias("start"), F.first("end").alias("end")).filter("won")
+    won = keep(won.drop("won"), "kept")
+    winners = _entered(won, width).select("v", "bin", F.struct("cand", "start", "end").alias("k"))
+    gone = entries.join(winners, ["v", "bin"]).filter((F.col("cand") == F.col("k.cand")) | over(F.col("k"), {c: F.col(c) for c in ("start", "end")}))
+    return won.select("v", "cand"), gone.select("v", "cand")
+
+
+def _block_winners(undecided: DataFrame, width: float, shift: float, share: float, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """_local_winners() by blocks of time: each block's clips are taken in order, as far as clips that reach beyond it leave them certain.
+
+    A clip goes if a kept one stands against it, and is kept if neither a kept nor an undecided one does and it lies inside the block.
+    """
+    over = _over(share)
+    clip = _CLIP.format(cand=undecided.schema["cand"].dataType.simpleString())
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    small = lambda x: F.array(F.struct(*[x[c].alias(c) for c in ("cand", "start", "end")]))
+
+    def step(acc: Column, x: Column) -> Column:
+        goes = F.exists(acc["kept"], lambda k: over(k, x))
+        open_ = ~x["inside"] | F.exists(acc["open"], lambda k: over(k, x))
+        return F.struct(
+            F.when(goes | open_, acc["kept"]).otherwise(F.concat(acc["kept"], small(x))).alias("kept"),
+            F.when(goes, F.concat(acc["gone"], small(x))).otherwise(acc["gone"]).alias("gone"),
+            F.when(~goes & open_, F.concat(acc["open"], small(x))).otherwise(acc["open"]).alias("open"),
+        )
+
+    blocks = _entered(undecided, width, shift).groupBy("v", "bin").agg(F.sort_array(F.collect_list(F.struct("o", "cand", "start", "end", "inside"))).alias("rows"))
+    done = blocks.select("v", F.aggregate("rows", F.struct(none(clip).alias("kept"), none(clip).alias("gone"), none(clip).alias("open")), step).alias("s"))
+    flag = lambda xs, kept: F.transform(xs, lambda x: F.struct(x["cand"].alias("cand"), F.lit(kept).alias("kept")))
+    done = keep(done.select("v", F.inline(F.concat(flag(F.col("s.kept"), True), flag(F.col("s.gone"), False)))), "decided")
+    return done.filter("kept").select("v", "cand"), done.select("v", "cand")
+
+
+def by_time(clips: DataFrame, share: float = DEFAULTS.overlap_share, width: float = 60.0, crowd: int = 20_000) -> DataFrame:
     """clips(video, cand, start, end, score) without those that a kept one covers by more than `share` of their own length.
 
-    Higher scores first, ties by cand.
+    Higher scores first, ties by cand. width is about a clip's length. While a block of eight widths holds more than
+    `crowd` undecided clips, rounds of local winners thin it out, without pairs and without a block in one task; then
+    blocks are decided as a whole, with edges half a block on in the second round and blocks twice as long in each further
+    one, so that rounds grow with the logarithm of the longest chain that crosses edges.
     """
-    over = lambda k, x: F.least(k["end"], x["end"]) - F.greatest(k["start"], x["start"]) > share * (x["end"] - x["start"])
-    return _keep(clips, F.struct(-F.col("score"), "cand"), ["start", "end"], over)
+    scratch = Scratch(clips.sparkSession)
+    keep = scratch.stored
+    undecided = keep(_ordered(clips, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")), "undecided")
+    kept, blocks = [], 0
+    while not undecided.isEmpty():
+        most = 0 if blocks else _entered(undecided, 8 * width).groupBy("v", "bin").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if most > crowd:
+            won, decided = _local_winners(undecided, width, share, keep)
+        else:
+            wide = 8 * width * 2 ** max(0, blocks - 1)
+            won, decided = _block_winners(undecided, wide, blocks % 2 * wide / 2, share, keep)
+            blocks += 1
+        kept.append(won)
+        undecided = keep(undecided.join(decided.distinct(), ["v", "cand"], "left_anti"), "undecided")
+    out = clips.limit(0).select(F.struct("video").alias("v"), "cand")
+    for more in kept:
+        out = out.unionByName(more)
+    out = stored(out, "kept")
+    scratch.drop()
+    return _only(clips, out, "left_semi")
 
 
-def by_text(clips: DataFrame, text: str, most: float = DEFAULTS.text_similarity) -> DataFrame:
-    """clips without those whose words are more alike than `most` to a kept one's; wordless clips stay."""
-    rows = clips.withColumn("__words", content_words(F.col(text)))
-    return _keep(rows, F.struct(-F.col("score"), "cand"), ["__words"], lambda k, x: jaccard(k["__words"], x["__words"]) > most).drop("__words")
+def alike(sets: DataFrame, most: float) -> DataFrame:
+    """v, a, b, words_a, words_b: pairs of sets(v, o, cand, words) of one v whose Jaccard similarity is above `most`, a first by o.
+
+    Words are ordered rare ones first. Two sets that are so alike share a word among the first of each, as many as could
+    be missing from the other and one more, so only these meet; sizes rule out more, and the rest is compared whole.
+    """
+    words = sets.select("v", "cand", F.explode("words").alias("w"))
+    often = words.groupBy("v", "w").agg(F.count("*").alias("often"))
+    ranked = words.join(often, ["v", "w"]).withColumn("place", F.row_number().over(Window.partitionBy("v", "cand").orderBy("often", "w")))
+    size = sets.select("v", "cand", "o", F.size("words").alias("n"))
+    first = F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1
+    prefix = ranked.join(size, ["v", "cand"]).filter(F.col("place") <= first).select("v", "w", "cand", "o", "n")
+    a, b = (prefix.select("v", "w", F.col("cand").alias(x), F.col("o").alias(f"o_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = a.join(b, ["v", "w"]).filter((F.col("o_a") < F.col("o_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * most - 1e-9)).select("v", "a", "b").distinct()
+    own = lambda x: sets.select("v", F.col("cand").alias(x), F.col("words").alias(f"words_{x}"))
+    return pairs.join(own("a"), ["v", "a"]).join(own("b"), ["v", "b"]).filter(jaccard(F.col("words_a"), F.col("words_b")) > most).select("v", "a", "b")
+
+
+def by_text(clips: DataFrame, text: str, most: float = DEFAULTS.text_similarity, rounds: int = 40) -> DataFrame:
+    """clips without those whose words are more alike than `most` to a kept one's; wordless clips stay.
+
+    Of clips with equal words the first stands for all. The others' pairs come from a set join (alike()).
+    """
+    if most >= 1:
+        return clips
+    scratch = Scratch(clips.sparkSession)
+    keep = scratch.stored
+    rows = keep(_ordered(clips, F.array_sort(content_words(F.col(text))).alias("words")).filter("size(words) > 0"), "words")
+    same = Window.partitionBy("v", "words").orderBy("o")
+    rows = keep(rows.withColumn("nth", F.row_number().over(same)), "ranked")
+    sets = rows.filter("nth = 1").drop("nth")
+    gone = [rows.filter("nth > 1").select("v", "cand")]
+    beats = keep(alike(sets, most), "beats")
+    while not beats.isEmpty():
+        if len(gone) > rounds:
+            ends = beats.select("v", F.col("a").alias("cand")).unionByName(beats.select("v", F.col("b").alias("cand"))).distinct()
+            left = _folded(sets.join(ends, ["v", "cand"]), ["words"], lambda k, x: jaccard(k["words"], x["words"]) > most)
+            gone.append(keep(ends.join(left, ["v", "cand"], "left_anti"), "gone"))
+            break
+        unbeaten = keep(beats.select("v", "a").distinct().join(beats.select("v", F.col("b").alias("a")).distinct(), ["v", "a"], "left_anti"), "unbeaten")
+        gone.append(lost := keep(beats.join(unbeaten, ["v", "a"]).select("v", F.col("b").alias("cand")).distinct(), "gone"))
+        rest = beats.join(unbeaten, ["v", "a"], "left_anti")
+        for x in "ab":
+            rest = rest.join(lost.withColumnRenamed("cand", x), ["v", x], "left_anti")
+        beats = keep(rest, "beats")
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    out = stored(out, "gone")
+    scratch.drop()
+    return _only(clips, out, "left_anti")

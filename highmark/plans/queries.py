@@ -182,7 +182,7 @@ done AS (SELECT video, unnest(arg_max(kept, n)) AS k FROM step GROUP BY video)""
 @query("WITH " + _GREEDY.format(base=f"{POINTS}, short_{CLIPS.strip()}, clips AS (SELECT * REPLACE (f + 86400 AS f) FROM short_clips)").strip() + ' SELECT video, k.cand AS cand, k.s AS start, k.f AS "end" FROM done')
 def q13_suppress_by_time(spark: SparkSession, d: str) -> DataFrame:
     three_days = roles.clips(roles.points(spark, d)).withColumn("end", F.col("end") + DAY)
-    return suppress.by_time(three_days).select("video", "cand", "start", "end")
+    return suppress.by_time(three_days, width=2 * DAY).select("video", "cand", "start", "end")
 
 
 @query(
@@ -349,7 +349,21 @@ def q26_rolling_median(spark: SparkSession, d: str) -> DataFrame:
     return roles.points(spark, d).select("video", "idx", sequence.rolling_median("value", ["video"], "idx").alias("value"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {POINTS.strip()},
+near AS (SELECT video, idx, s / 3600 AS t, list_sort(list(value / 500) OVER (PARTITION BY video ORDER BY s / 3600 ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS n FROM points),
+b AS (SELECT video, t, least(11, greatest(0, round_even(n[len(n) // 2 + 1] * 12, 0)))::INTEGER AS bin FROM near),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video ORDER BY t, bin) AS i FROM b),
+walk AS (
+  SELECT video, i, t, bin, t AS at_t, bin AS at_bin, true AS cut FROM o WHERE i = 1
+  UNION ALL SELECT o.video, o.i, o.t, o.bin, CASE WHEN o.bin <> at_bin AND o.t - at_t >= 12 THEN o.t ELSE at_t END, CASE WHEN o.bin <> at_bin AND o.t - at_t >= 12 THEN o.bin ELSE at_bin END, o.bin <> at_bin AND o.t - at_t >= 12
+  FROM walk JOIN o ON o.video = walk.video AND o.i = walk.i + 1),
+ends AS (SELECT video, max(f) / 3600 AS d FROM points GROUP BY 1),
+g AS (SELECT video, t AS s, coalesce(lead(t) OVER (PARTITION BY video ORDER BY i), d) AS f, (bin + 0.5::DOUBLE) / 12 AS x, i FROM walk JOIN ends USING (video) WHERE cut),
+j AS (SELECT *, coalesce(f - s < 12 AND abs(lag(x) OVER (PARTITION BY video ORDER BY i) - x) < 1.0::DOUBLE / 12, false) AS joins FROM g),
+m AS (SELECT video, i, s, CASE WHEN lead(joins) OVER (PARTITION BY video ORDER BY i) THEN lead(f) OVER (PARTITION BY video ORDER BY i) ELSE f END AS f, x, joins FROM j)
+SELECT video, (row_number() OVER (PARTITION BY video ORDER BY i) - 1)::INTEGER AS nth, s AS start, f AS "end", x FROM m WHERE NOT joins"""
+)
 def q27_crop_segments(spark: SparkSession, d: str) -> DataFrame:
     p = roles.points(spark, d)
     faces = p.select("video", (F.col("start") / HOUR).alias("t"), (F.col("value") / 500).alias("cx"))

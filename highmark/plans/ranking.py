@@ -24,7 +24,7 @@ def rank_clips(
     by text (of the clip before widening), freed of sponsored ones, filtered by score and cut to p.clips a video.
     Each operator joins clips to what it has found about them, so the clips are stored a few times on the way.
     """
-    clips = stored(snap(by_time(candidates, p.overlap_share), segments, p.pad, p.snap_tolerance), "snapped")
+    clips = stored(snap(by_time(candidates, p.overlap_share, width), segments, p.pad, p.snap_tolerance), "snapped")
     clips = stored(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
     any_ = points.select("video").distinct().withColumn("__any", F.lit(True))
     clips = clips.join(any_, "video", "left").withColumn("replay_raw", F.when(F.col("__any"), F.col("replay_raw"))).drop("__any")

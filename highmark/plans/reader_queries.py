@@ -97,11 +97,12 @@ def q45_loudness_sidecars(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT l_orderkey AS video, l_linenumber // 3 AS t, l_discount * 10 AS cx, l_tax * 10 AS cy, l_quantity AS w, l_linenumber::DOUBLE AS h FROM lineitem)
-SELECT video, t, arg_max(cx, w * h * 1000 - cx) AS cx, arg_max(w, w * h * 1000 - cx) AS face_w FROM f GROUP BY 1, 2"""
+    """WITH f AS (SELECT l_orderkey AS video, l_linenumber // 3 AS t, l_linenumber AS nth, l_discount * 10 AS cx, l_tax * 10 AS cy, l_quantity AS w, l_linenumber::DOUBLE AS h FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY video, t ORDER BY w * h DESC, nth, cx, cy, w) AS place FROM f)
+SELECT video, t, cx, w AS face_w FROM o WHERE place = 1"""
 )
 def q46_largest_faces(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("t"), (F.col("l_discount") * 10).alias("cx"), (F.col("l_tax") * 10).alias("cy"), F.col("l_quantity").alias("w"), F.col("l_linenumber").cast("double").alias("h"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video"), F.floor(F.col("l_linenumber") / 3).cast("int").alias("t"), F.col("l_linenumber").alias("nth"), (F.col("l_discount") * 10).alias("cx"), (F.col("l_tax") * 10).alias("cy"), F.col("l_quantity").alias("w"), F.col("l_linenumber").cast("double").alias("h"))
     return crop.largest_faces(rows).select("video", "t", "cx", "face_w")
 
 
