@@ -44,29 +44,44 @@ def shifted(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("start", F.col("start") + F.col("offset")).withColumn("end", F.col("end") + F.col("offset"))
 
 
-def hints(windows: DataFrame, peaks: DataFrame, chapters: DataFrame, spikes: DataFrame, bounds: DataFrame, most: int = 6) -> DataFrame:
+def windows_of(chunked: DataFrame) -> DataFrame:
+    """video, chunk, offset, lo, hi of chunk_segments(): where each chunk's hints lie."""
+    rows = chunked.groupBy("video", "chunk").agg(F.first("offset").alias("offset"), F.max("chunk_duration").alias("length"))
+    return rows.select("video", "chunk", "offset", F.col("offset").cast("double").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"))
+
+
+#: Kinds of hints in their order, with what stands between items.
+_KINDS = {"peaks": ("Replay peaks", ", "), "chapters": ("Chapters", " | "), "loud": ("Loud moments", ", "), "bounds": ("Natural boundaries", ", ")}
+
+
+def hints(windows: DataFrame, peaks: DataFrame, chapters: DataFrame, spikes: DataFrame, bounds: DataFrame, most: int = 6, width: float = 600.0) -> DataFrame:
     """video, chunk, hints: for windows(video, chunk, offset, lo, hi) the first `most` signals of each kind with lo <= t < hi.
 
-    peaks are a video's 2 * most strongest (video, nth, start, end), strongest first; chapters need a
-    title. Times count from the offset, at least 0. A kind without items has no line, a window without lines is ''.
+    peaks(video, nth, start, end) count as far as they are among their video's 2 * most strongest, wherever these
+    lie; chapters need a title. Times count from the offset, at least 0. A kind without items has no line, a
+    window without lines is ''. All kinds meet the windows in one join, by time bin; a null or infinite hi is open.
     """
+    none = F.lit(None).cast("string")
+    item = lambda df, kind, nth, t, end=None, title=none: df.select("video", F.lit(kind).alias("kind"), nth.cast("double").alias("nth"), t.cast("double").alias("t"), (F.lit(None) if end is None else end).cast("double").alias("to"), title.alias("title"))
+    items = item(peaks.filter(F.col("nth") <= 2 * most), "peaks", F.col("nth"), F.col("start"), F.col("end"))
+    items = items.unionByName(item(chapters.filter(strip(F.col("title")) != ""), "chapters", F.col("ch"), F.col("start"), title=F.col("title")))
+    items = items.unionByName(item(spikes, "loud", F.col("sec"), F.col("sec"))).unionByName(item(bounds, "bounds", F.col("t"), F.col("t")))
+    last = items.groupBy("video").agg(F.max("t").alias("__last"))
+    bin_ = lambda t: F.floor(t / width)
+    held = windows.select("video", "chunk", "offset", "lo", "hi").join(last, "video").filter(F.col("lo") <= F.col("__last"))
+    held = held.withColumn("__bin", F.explode(F.sequence(bin_(F.col("lo")), bin_(F.greatest("lo", F.least("hi", "__last"))))))
+    met = held.join(items.withColumn("__bin", bin_(F.col("t"))), ["video", "__bin"]).filter("lo <= t and (hi is null or t < hi)")
+    nth = F.row_number().over(Window.partitionBy("video", "chunk", "kind").orderBy("nth", "t"))
+    met = met.withColumn("place", nth).filter(F.col("place") <= most)
+    at = lambda c: hms(F.greatest(F.col(c) - F.col("offset"), F.lit(0.0)))
+    text = F.concat(at("t"), F.coalesce(F.when(F.col("to").isNotNull(), F.concat(F.lit("-"), at("to"))), F.concat(F.lit(" "), F.col("title")), F.lit("")))
+    lists = met.groupBy("video", "chunk").agg(F.sort_array(F.collect_list(F.struct("kind", "place", text.alias("text")))).alias("items"))
 
-    def listed(items: DataFrame, order: str, text: Column, sep: str, name: str) -> DataFrame:
-        rows = windows.select("video", "chunk", "offset", "lo", "hi").join(items, "video").filter("lo <= t and t < hi")
-        nth = F.row_number().over(Window.partitionBy("video", "chunk").orderBy(order))
-        rows = rows.withColumn("nth_", nth).filter(F.col("nth_") <= most).withColumn("line", text)
-        return rows.groupBy("video", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nth_", "line"))), lambda x: x["line"]), sep).alias(name))
+    def line(kind: str) -> Column:
+        name, between = _KINDS[kind]
+        own = F.transform(F.filter("items", lambda x: x["kind"] == kind), lambda x: x["text"])
+        return F.when(F.size(own) > 0, F.concat(F.lit(f"- {name}: "), F.array_join(own, between)))
 
-    at = lambda c: hms(F.greatest(F.col(c) - F.col("offset"), F.lit(0.0)))
-    parts = [
-        listed(peaks.select("video", "nth", F.col("start").alias("t"), "end"), "nth", F.concat(at("t"), F.lit("-"), at("end")), ", ", "peaks"),
-        listed(chapters.filter(strip(F.col("title")) != "").select("video", "ch", F.col("start").alias("t"), "title"), "ch", F.concat(at("t"), F.lit(" "), F.col("title")), " | ", "chapters"),
-        listed(spikes.select("video", F.col("sec").cast("double").alias("t")), "t", at("t"), ", ", "loud"),
-        listed(bounds.select("video", "t"), "t", at("t"), ", ", "bounds"),
-    ]
-    out = windows.select("video", "chunk")
-    for part in parts:
-        out = out.join(part, ["video", "chunk"], "left")
-    lines = [("Replay peaks", "peaks"), ("Chapters", "chapters"), ("Loud moments", "loud"), ("Natural boundaries", "bounds")]
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"- {name}: "), F.col(c)) for name, c in lines])
-    return out.select("video", "chunk", F.when(text != "", F.concat(F.lit("Signal hints:\n"), text)).otherwise("").alias("hints"))
+    whole = F.concat_ws("\n", *map(line, _KINDS))
+    out = windows.select("video", "chunk").join(lists, ["video", "chunk"], "left").withColumn("items", F.coalesce("items", F.array().cast(lists.schema["items"].dataType)))
+    return out.select("video", "chunk", F.when(whole != "", F.concat(F.lit("Signal hints:\n"), whole)).otherwise("").alias("hints"))

@@ -3,18 +3,35 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from highmark.operators.intervals import overlap_mean
+from highmark.operators.intervals import overlap_mean, overlaps
 
 
 def random_windows(picked: DataFrame, durations: DataFrame, trials: int = 200, seed: int = 7) -> DataFrame:
-    """video, cand, trial, start, end: for each picked clip so many windows of its length, placed at random by a seed."""
+    """video, cand, trial, start, end: for each picked clip so many windows of its length, each placed by a number of its own.
+
+    That number is made of the MD5 of `seed:video:cand:trial`, so windows are the same in any run, order or engine.
+    """
     rows = picked.join(durations, "video").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
     length = F.col("end") - F.col("start")
-    u = F.pmod(F.xxhash64(F.lit(seed), "video", "cand", "trial"), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("video", "cand", "trial")]))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
     start = u * F.greatest(F.lit(0.1), F.col("duration") - length)
     return rows.select("video", (F.col("cand") * trials + F.col("trial")).alias("cand"), "trial", start.alias("start"), (start + length).alias("end"))
 
 
+def random_baseline(picked: DataFrame, durations: DataFrame, points: DataFrame, width: float, trials: int = 200, seed: int = 7) -> DataFrame:
+    """video, baseline: the mean replay of random_windows() of each video's picked clips, those without cover as 0.
+
+    Windows are made where they meet points; what is kept of them is a sum per window, then one per video.
+    """
+    windows = random_windows(picked, durations, trials, seed).select("video", "cand", "start", "end")
+    shared = F.least("end", "i_end") - F.greatest("start", "i_start")
+    pairs = overlaps(windows, points.select("video", "start", "end", "value"), width)
+    covered = pairs.groupBy("video", "cand").agg((F.sum(F.col("i_value") * shared) / F.sum(shared)).alias("v")).groupBy("video").agg(F.sum("v").alias("v"))
+    counts = picked.join(durations, "video").groupBy("video").agg((F.count("*") * trials).alias("n"))
+    return counts.join(covered, "video", "left").select("video", (F.coalesce("v", F.lit(0.0)) / F.col("n")).alias("baseline"))
+
+
 def grid_windows(picked: DataFrame, durations: DataFrame, steps: int = 10) -> DataFrame:
     """random_windows() with evenly placed windows instead."""
     rows = picked.join(durations, "video").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
@@ -24,9 +41,12 @@ def grid_windows(picked: DataFrame, durations: DataFrame, steps: int = 10) -> Da
 
 
 def lift(picked: DataFrame, baseline: DataFrame, points: DataFrame, width: float) -> DataFrame:
-    """video, picked, baseline, lift (percent, 0 where the baseline is 0): mean replay of picked clips against that of baseline windows."""
+    """video, picked, baseline, lift (percent, 0 where the baseline is 0): mean replay of picked clips against that of baseline windows.
+
+    baseline is windows (video, cand, start, end), or what random_baseline() has made of them.
+    """
     mean = lambda df, name: overlap_mean(df, points, width, "v").groupBy("video").agg(F.avg("v").alias(name))
-    rows = mean(picked, "picked").join(mean(baseline, "baseline"), "video")
+    rows = mean(picked, "picked").join(baseline if "baseline" in baseline.columns else mean(baseline, "baseline"), "video")
     return rows.withColumn("lift", F.coalesce(F.try_divide((F.col("picked") - F.col("baseline")) * 100, "baseline"), F.lit(0.0)))
 
 

@@ -121,21 +121,17 @@ def excerpt(clips: DataFrame, segments: DataFrame, width: float, name: str = "ex
 
 
 def packed(energy: DataFrame) -> DataFrame:
-    """video, heard, loud: of energy(video, sec, value, is_spike), from second 0 on, the sums of values and the numbers of spikes before each second and after the last.
+    """video, heard, loud, n: of energy(video, sec, value, is_spike), the sum of values, the number of spikes and of seconds before each second from 0 on, and after the last.
 
-    Seconds that aren't there count as 0 in the sums, and aren't counted in `n`, the number of seconds before each.
+    Seconds that aren't there add nothing.
     """
-    top = energy.groupBy("video").agg(F.max("sec").alias("top"), F.map_from_entries(F.collect_list(F.struct("sec", F.struct("value", "is_spike")))).alias("at"))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda s: F.try_element_at("at", s))
-    none = F.array(F.struct(F.lit(0.0).alias("heard"), F.lit(0).alias("loud"), F.lit(0).alias("n")))
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        more = F.struct((last["heard"] + F.coalesce(x["value"], F.lit(0.0))).alias("heard"), (last["loud"] + F.coalesce(x["is_spike"].cast("int"), F.lit(0))).alias("loud"), (last["n"] + x.isNotNull().cast("int")).alias("n"))
-        return F.concat(acc, F.array(more))
-
-    sums = top.select("video", F.aggregate(each, none, add).alias("s"))
-    return sums.select("video", *[F.transform("s", lambda x, c=c: x[c]).alias(c) for c in ("heard", "loud", "n")])
+    top = energy.groupBy("video").agg(F.max("sec").alias("top"))
+    each = top.select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("sec")).join(energy, ["video", "sec"], "left")
+    before = Window.partitionBy("video").orderBy("sec").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kinds = {"heard": F.coalesce("value", F.lit(0.0)), "loud": F.coalesce(F.col("is_spike").cast("int"), F.lit(0)), "n": F.col("value").isNotNull().cast("int")}
+    sums = each.select("video", "sec", *[F.sum(x).over(before).alias(c) for c, x in kinds.items()])
+    sums = sums.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("sec", *kinds))).alias("s"))
+    return sums.select("video", *[F.concat(F.array(F.lit(0).cast("double" if c == "heard" else "long")), F.col(f"s.{c}")).alias(c) for c in kinds])
 
 
 def packed_window_score(clips: DataFrame, sums: DataFrame, name: str = "audio_raw") -> DataFrame:
@@ -144,8 +140,8 @@ def packed_window_score(clips: DataFrame, sums: DataFrame, name: str = "audio_ra
     lo = F.least(F.greatest(F.floor("start"), F.lit(0)), top).cast("int")
     hi = F.greatest(lo, F.least(top, F.floor("end") + 1)).cast("int")
     of = lambda c: F.get(c, hi) - F.get(c, lo)
-    score = F.least(F.lit(1.0), 0.7 * of("heard") / F.nullif(of("n"), F.lit(0)) + 0.3 * F.least(of("loud") / 3, F.lit(1.0)))
-    return clips.join(sums, "video", "left").withColumn(name, F.when(F.col("n").isNotNull(), F.coalesce(score, F.lit(0.0)))).drop("heard", "loud", "n")
+    score = F.when(of("n") > 0, F.least(F.lit(1.0), 0.7 * of("heard") / of("n") + 0.3 * F.least(of("loud") / 3, F.lit(1.0)))).otherwise(0.0)
+    return clips.join(sums, "video", "left").withColumn(name, F.when(F.col("n").isNotNull(), score)).drop("heard", "loud", "n")
 
 
 def drop_sponsored(clips: DataFrame, sponsors: DataFrame, width: float, share: float = DEFAULTS.overlap_share) -> DataFrame:

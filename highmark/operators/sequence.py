@@ -1,7 +1,12 @@
 """Operators over ordered rows of a video, as window functions."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from highmark.functions.text import content_words, jaccard
 from highmark.params import DEFAULTS
@@ -63,17 +68,54 @@ def loudness(samples: DataFrame, rate: int = 16_000) -> DataFrame:
 
     A last second that isn't whole goes; videos with fewer than two seconds have no row.
     """
-    rms = samples.groupBy("video", F.floor(F.col("i") / rate).alias("sec")).agg(F.sqrt(F.avg(F.col("x").cast("double") * F.col("x"))).alias("rms"), F.count("*").alias("n")).filter(F.col("n") == rate)
+    return _heard(samples.groupBy("video", F.floor(F.col("i") / rate).alias("sec")).agg(F.sum(F.col("x").cast("double") * F.col("x")).alias("squares"), F.count("*").alias("n")), rate)
+
+
+def loudness_of_blocks(blocks: DataFrame, rate: int = 16_000) -> DataFrame:
+    """loudness() of blocks(video, first, pcm) of sound: 16-bit little-endian samples from sample number `first` on.
+
+    Blocks may have any length and end within a second: each gives its sums of squares by second, and a second's
+    sums meet. A last odd byte is no sample; blocks that are null or empty give nothing.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, seconds, squares, counts = [], [], [], []
+            for k in range(b.num_rows):
+                first, raw = b.column(1)[k].as_py(), b.column(2)[k]
+                x = np.frombuffer(raw.as_buffer(), "<i2", len(raw.as_buffer()) // 2).astype(np.int64) if raw.is_valid and first is not None else np.zeros(0, np.int64)
+                if len(x):
+                    sec = np.arange(first // rate, (first + len(x) - 1) // rate + 1)
+                    cuts = np.maximum(sec * rate - first, 0)
+                    rows.append(np.full(len(sec), k))
+                    seconds.append(sec)
+                    squares.append(np.add.reduceat(x * x, cuts))
+                    counts.append(np.diff(np.append(cuts, len(x))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c).astype(np.int64)) for c in (seconds, squares, counts)]], ["video", "sec", "squares", "n"])
+
+    schema = T.StructType([blocks.schema["video"], *[T.StructField(c, T.LongType()) for c in ("sec", "squares", "n")]])
+    parts = blocks.select("video", F.col("first").cast("long"), "pcm").mapInArrow(sums, schema)
+    return _heard(parts.groupBy("video", "sec").agg(F.sum("squares").cast("double").alias("squares"), F.sum("n").alias("n")), rate)
+
+
+def _heard(seconds: DataFrame, rate: int) -> DataFrame:
+    """Root mean squares of seconds(video, sec, squares, n) that are whole, over their video's maximum."""
+    rms = seconds.filter(F.col("n") == rate).select("video", "sec", F.sqrt(F.col("squares") / F.col("n")).alias("rms"))
     w = Window.partitionBy("video")
     return rms.withColumn("k", F.count("*").over(w)).filter("k >= 2").withColumn("value", F.col("rms") / F.coalesce(F.nullif(F.max("rms").over(w), F.lit(0.0)), F.lit(1.0))).select("video", "sec", "value")
 
 
-def loud_and_quiet(energy: DataFrame) -> DataFrame:
-    """energy(video, sec, value) with is_spike (mean and two population deviations or more) and is_pause (at most 0.04, or 0.4 of the mean); value rounded to 4 places."""
+def loud_and_quiet(energy: DataFrame, with_statistics: bool = False) -> DataFrame:
+    """energy(video, sec, value) with is_spike (mean and two population deviations or more) and is_pause (at most 0.04, or 0.4 of the mean); value rounded to 4 places.
+
+    With statistics, mean and std of the unrounded values stay, std at least 1e-6.
+    """
     w = Window.partitionBy("video")
     rows = energy.withColumn("mean", F.avg("value").over(w)).withColumn("std", F.coalesce(F.nullif(F.stddev_pop("value").over(w), F.lit(0.0)), F.lit(1e-6)))
     spike, pause = F.col("value") >= F.col("mean") + 2 * F.col("std"), F.col("value") <= F.greatest(F.lit(0.04), 0.4 * F.col("mean"))
-    return rows.withColumn("is_spike", spike).withColumn("is_pause", pause).withColumn("value", F.bround("value", 4)).drop("mean", "std")
+    rows = rows.withColumn("is_spike", spike).withColumn("is_pause", pause).withColumn("value", F.bround("value", 4))
+    return rows if with_statistics else rows.drop("mean", "std")
 
 
 def curve(points: DataFrame, width: float, buckets: int = 40) -> DataFrame:

@@ -1,7 +1,10 @@
 """The whole ranking of a set of videos as one plan, shuffled by video."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from highmark.functions.text import slug
 from highmark.functions.timefmt import hms_tenths
@@ -11,7 +14,8 @@ from highmark.operators.intervals import chapter_score, drop_sponsored, excerpt,
 from highmark.operators.sequence import peak_windows, top_n
 from highmark.operators.suppress import by_text, by_time
 from highmark.params import DEFAULTS, Params
-from highmark.storage import stored
+from highmark.sources.tables import unfinished
+from highmark.storage import Scratch, stored
 
 
 def rank_clips(
@@ -22,21 +26,26 @@ def rank_clips(
     candidates(video, cand, start, end, score, title): suppressed by time, moved to sentence edges, scored by
     all signals, widened around peaks, moved to edges again (which widens them further), suppressed
     by text (of the clip before widening), freed of sponsored ones, filtered by score and cut to p.clips a video.
-    Each operator joins clips to what it has found about them, so the clips are stored a few times on the way.
+    Each operator joins clips to what it has found about them, so the clips are stored a few times on the way;
+    these tables go when the result is stored.
     """
-    clips = stored(snap(by_time(candidates, p.overlap_share, width), segments, p.pad, p.snap_tolerance), "snapped")
-    clips = stored(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
+    scratch = Scratch(candidates.sparkSession)
+    keep = scratch.stored
+    clips = keep(snap(by_time(candidates, p.overlap_share, width), segments, p.pad, p.snap_tolerance), "snapped")
+    clips = keep(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
     any_ = points.select("video").distinct().withColumn("__any", F.lit(True))
     clips = clips.join(any_, "video", "left").withColumn("replay_raw", F.when(F.col("__any"), F.col("replay_raw"))).drop("__any")
-    clips = stored(chapter_score(window_score(clips, energy, width), chapters), "signals")
-    clips = stored(fuse(clips, p.weights).drop("cand").withColumnRenamed("nth", "cand"), "fused")
+    clips = keep(chapter_score(window_score(clips, energy, width), chapters), "signals")
+    clips = keep(fuse(clips, p.weights).drop("cand").withColumnRenamed("nth", "cand"), "fused")
     peaks = peak_windows(points, 10, p.peak_threshold, p.merge_gap)
-    clips = stored(overlapping_peak(clips, peaks, energy.filter("is_spike"), width), "peaks")
-    clips = stored(expand(clips, segments, energy, width, p), "expanded")
-    clips = stored(by_text(snap(clips, segments, p.pad, p.snap_tolerance), "said_before", p.text_similarity), "unlike")
-    clips = stored(drop_sponsored(clips, sponsors, width, p.overlap_share), "unsponsored")
+    clips = keep(overlapping_peak(clips, peaks, energy.filter("is_spike"), width), "peaks")
+    clips = keep(expand(clips, segments, energy, width, p), "expanded")
+    clips = keep(by_text(snap(clips, segments, p.pad, p.snap_tolerance), "said_before", p.text_similarity), "unlike")
+    clips = keep(drop_sponsored(clips, sponsors, width, p.overlap_share), "unsponsored")
     clips = at_least(excerpt(clips, segments, width), least)
-    return top_n(clips, ["video"], [F.col("score").desc(), "cand"], p.clips)
+    out = stored(top_n(clips, ["video"], [F.col("score").desc(), "cand"], p.clips), "ranked")
+    scratch.drop()
+    return out
 
 
 def clip_documents(clips: DataFrame) -> DataFrame:
@@ -57,5 +66,27 @@ def with_documents(results: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, folder: str) -> None:
-    """A JSON object per video, in a folder of its own."""
-    documents.write.partitionBy("video").json(folder)
+    """Documents (video, ...) as JSON, a folder per video; folders of other videos stay as they are."""
+    documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").json(folder)
+
+
+def finished(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Documents that write_documents() has left in a folder, none if it isn't there yet. schema has the columns beside video, which is text."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], f"{schema}, video string")
+    return spark.read.schema(f"{schema}, video string").json(folder)
+
+
+def update(requests: DataFrame, make: Callable[[DataFrame], DataFrame], folder: str, schema: str, force: bool = False) -> DataFrame:
+    """requests(video, params) with `redone`: documents of those that aren't finished with their parameters are made and written, the others stay.
+
+    make gets the open requests and gives documents (video, and the columns of schema but params). params, any text that tells what a
+    document depends on, is kept with it. A request that yields no document is redone each time.
+    """
+    asked = requests.select(F.col("video").cast("string").alias("video"), "params").distinct()
+    done = finished(requests.sparkSession, folder, schema).select("video", "params")
+    open_ = stored(asked if force else unfinished(asked, done, ["video", "params"]), "open")
+    write_documents(make(open_).join(open_, "video").select("video", *T.StructType.fromDDL(schema).names), folder)
+    return asked.join(open_.withColumn("redone", F.lit(True)), ["video", "params"], "left").withColumn("redone", F.coalesce("redone", F.lit(False)))
+

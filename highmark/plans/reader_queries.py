@@ -9,7 +9,7 @@ from highmark.plans import ranking, roles
 from highmark.plans.queries import _HALVES, _halves, _round, query
 from highmark.plans.roles import CHAPTERS, CLIPS, DAY, POINTS, TURNS, WORDS, table
 from highmark.sources import tables
-from highmark.storage import shared_dir
+from highmark.storage import remove, shared_dir, stored
 
 _CUES = """
 n AS (SELECT *, (row_number() OVER (PARTITION BY video ORDER BY w) - 1) // 3 + 1 AS cue FROM words WHERE word <> ''),
@@ -50,8 +50,9 @@ def _read_back(spark: SparkSession, d: str) -> DataFrame:
     videos, folder = _videos(roles.points(spark, d)), shared_dir(spark)
     old = F.col("video_id").cast("long") % 3 == 0
     tables.write_metadata(videos.filter(~old), f"{folder}/new")
-    videos.filter(old).select("video_id", "title").write.json(f"{folder}/old")
-    meta = tables.metadata(spark, f"{folder}/new").unionByName(tables.metadata(spark, f"{folder}/old"))
+    tables.write_metadata(videos.filter(old), f"{folder}/old", with_signals=False)
+    meta = stored(tables.metadata(spark, f"{folder}/new").unionByName(tables.metadata(spark, f"{folder}/old")), "metadata")
+    remove(spark, folder)
     return tables.backfilled(meta, videos)
 
 
@@ -89,11 +90,16 @@ def q44_loudness(spark: SparkSession, d: str) -> DataFrame:
     return _round(_heard(spark, d), "value", places=9)
 
 
-@query(f"WITH {POINTS}, {_LOUDNESS} SELECT video::VARCHAR AS video, sec, CASE WHEN video % 4 = 0 THEN round(value, 9) ELSE round_even(value, 4) END AS value FROM heard")
+@query(
+    f"""WITH {POINTS}, {_LOUDNESS}, m AS (SELECT *, avg(value) OVER (PARTITION BY video) AS m, coalesce(nullif(stddev_pop(value) OVER (PARTITION BY video), 0), 1e-6) AS sd FROM heard)
+SELECT video::VARCHAR AS video, sec, round_even(value, 4) AS value, value >= m + 2 * sd AS is_spike, value <= greatest(0.04, 0.4 * m) AS is_pause FROM m"""
+)
 def q45_loudness_sidecars(spark: SparkSession, d: str) -> DataFrame:
     heard, folder = _heard(spark, d), shared_dir(spark)
-    tables.write_loudness(heard.filter("video % 4 <> 0"), f"{folder}/loudness")
-    return _round(tables.loudness_or(spark, f"{folder}/loudness", heard), "value", places=9)
+    tables.write_loudness(heard.filter("video % 4 <> 0"), folder)
+    out = stored(tables.loudness_or(spark, folder, heard), "loudness")
+    remove(spark, folder)
+    return out
 
 
 @query(

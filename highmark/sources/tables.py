@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 
 from highmark.functions.text import strip
 from highmark.functions.timefmt import parse_srt_time
+from highmark.operators.sequence import loud_and_quiet
 
 #: Loose metadata: numbers may come as text.
 POINTS = "array<struct<start_time string, end_time string, value string>>"
 CHAPTERS = "array<struct<start_time string, end_time string, title string>>"
-META = f"video_id string, title string, duration string, heatmap {POINTS}, chapters {CHAPTERS}, _has_signals boolean"
+META = f"id string, title string, duration string, heatmap {POINTS}, chapters {CHAPTERS}, _has_signals boolean"
 
 
 def _number(x: Column) -> Column:
@@ -59,16 +60,32 @@ def parse_subtitles(files: DataFrame) -> DataFrame:
     return rows.select("video", (F.row_number().over(Window.partitionBy("video").orderBy("block")) - 1).alias("seg"), "start", "end", "text")
 
 
-def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Metadata sidecars (JSON), one object each; rows without the signals' mark have null signals."""
-    rows = spark.read.schema(META).option("mode", "PERMISSIVE").json(path)
+def _files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """video, value: the whole text of each file below a folder, with the name of the folder that it stands in."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return files.select(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^video=", "").alias("video"), "value")
+
+
+def _write_files(rows: DataFrame, folder: str) -> None:
+    """The texts of rows(video, value), a file each in a folder of the video's own. Ids are letters, digits, - and _."""
+    rows.write.partitionBy("video").option("lineSep", "\n").text(folder)
+
+
+def metadata(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Metadata sidecars: files of one JSON object each, on one line or many, with id, title, duration, heatmap, chapters and the signals' mark.
+
+    A video without an id has the name of its file's folder; a file that is no JSON has nulls only. Rows without the mark have null signals.
+    """
+    rows = _files(spark, folder, pattern).select("video", F.from_json("value", META).alias("m")).select("video", "m.*")
     kept = F.coalesce(F.col("_has_signals"), F.lit(False))
-    return rows.select("video_id", "title", _number(F.col("duration")).alias("duration"), F.when(kept, F.col("heatmap")).alias("heatmap"), F.when(kept, F.col("chapters")).alias("chapters"), kept.alias("has_signals"))
+    return rows.select(F.coalesce("id", "video").alias("video_id"), "title", _number(F.col("duration")).alias("duration"), F.when(kept, F.col("heatmap")).alias("heatmap"), F.when(kept, F.col("chapters")).alias("chapters"), kept.alias("has_signals"))
 
 
-def write_metadata(videos: DataFrame, folder: str) -> None:
-    """Sidecars of videos(video_id, title, duration, heatmap, chapters, ...): these columns and the signals' mark, an object each."""
-    videos.select("video_id", "title", "duration", "heatmap", "chapters", F.lit(True).alias("_has_signals")).write.json(folder)
+def write_metadata(videos: DataFrame, folder: str, with_signals: bool = True) -> None:
+    """Sidecars of videos(video_id, title, duration, heatmap, chapters, ...): these columns as one object a file; without signals neither these nor their mark."""
+    signals = ["duration", "heatmap", "chapters", F.lit(True).alias("_has_signals")] if with_signals else []
+    body = F.to_json(F.struct(F.col("video_id").alias("id"), "title", *signals), {"ignoreNullFields": "false", "pretty": "true"})
+    _write_files(videos.select(F.col("video_id").alias("video"), body.alias("value")), folder)
 
 
 def backfilled(meta: DataFrame, fresh_: DataFrame) -> DataFrame:
@@ -81,23 +98,49 @@ def backfilled(meta: DataFrame, fresh_: DataFrame) -> DataFrame:
 
 
 def write_replay(points: DataFrame, folder: str) -> None:
-    """Replay sidecars: an object per video with its points in order."""
-    rows = points.groupBy("video").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "start", "end", "value"))), lambda p: F.struct(p["start"].alias("start_time"), p["end"].alias("end_time"), p["value"].alias("value"))).alias("heatmap"))
-    rows.select(F.col("video").alias("video_id"), "heatmap").write.json(folder)
+    """Replay sidecars of points(video, idx, start, end, value): a file per video with the list of its points in order."""
+    point = F.transform(F.sort_array(F.collect_list(F.struct("idx", "start", "end", "value"))), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["value"].alias("value")))
+    _write_files(points.groupBy("video").agg(F.to_json(point, {"pretty": "true"}).alias("value")), folder)
+
+
+def replay_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """video_id, heatmap of replay sidecars, as replay_points() takes them: lists of points with start or start_time, end or end_time, and value."""
+    loose = F.from_json("value", "array<struct<start string, end string, start_time string, end_time string, value string>>")
+    point = lambda p: F.struct(F.coalesce(p["start_time"], p["start"]).alias("start_time"), F.coalesce(p["end_time"], p["end"]).alias("end_time"), p["value"].alias("value"))
+    return _files(spark, folder, pattern).select(F.col("video").alias("video_id"), F.transform(loose, point).alias("heatmap"))
 
 
 def write_loudness(energy: DataFrame, folder: str) -> None:
-    """Loudness sidecars of energy(video, sec, value): an object per video with the values of its seconds, rounded to 4 places."""
-    rows = energy.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("sec", F.bround("value", 4).alias("value")))).alias("values"))
-    rows.select("video", "values").write.json(folder)
+    """Loudness sidecars of energy(video, sec, value): a file per video with the values of its seconds, their mean and deviation, rounded to 4 places, and its spikes and pauses.
+
+    These come from unrounded values, so a reader takes them from the file and doesn't find them again.
+    """
+    rows = loud_and_quiet(energy, with_statistics=True)
+    inner = lambda xs: F.transform(F.filter(F.sort_array(xs), lambda x: x["is"]), lambda x: x["sec"])
+    flagged = lambda c: F.collect_list(F.struct("sec", F.col(c).alias("is")))
+    files = rows.groupBy("video").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("sec", "value"))), lambda x: x["value"]).alias("values"), F.bround(F.first("mean"), 4).alias("mean"), F.bround(F.first("std"), 4).alias("std"),
+        inner(flagged("is_spike")).alias("spikes"), inner(flagged("is_pause")).alias("pauses"),
+    )
+    _write_files(files.select("video", F.to_json(F.struct(F.lit(1.0).alias("window_seconds"), "values", "mean", "std", "spikes", "pauses")).alias("value")), folder)
+
+
+_LOUDNESS = "values array<double>, mean double, std double, spikes array<long>, pauses array<long>"
+
+
+def loudness_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """video, values, mean, std, spikes, pauses of loudness sidecars that can be read."""
+    return _files(spark, folder, pattern).select("video", F.from_json("value", _LOUDNESS).alias("m")).select("video", "m.*").filter("values is not null")
 
 
-def loudness_or(spark: SparkSession, folder: str, made: DataFrame) -> DataFrame:
-    """video, sec, value: what sidecars hold, and of `made` (video, sec, value) the videos for which there is none that can be read."""
-    held = spark.read.schema("video string, values array<struct<sec: long, value: double>>").option("mode", "PERMISSIVE").json(folder).filter("values is not null")
-    rows = held.select("video", F.explode("values").alias("v")).select("video", "v.sec", "v.value")
-    rest = made.select(F.col("video").cast("string").alias("video"), "sec", "value").join(held.select("video").distinct(), "video", "left_anti")
-    return rows.unionByName(rest)
+def loudness_or(spark: SparkSession, folder: str, made: DataFrame, pattern: str = "*") -> DataFrame:
+    """video, sec, value, is_spike, is_pause: what sidecars hold, and of `made` (video, sec, value, unrounded) the videos for which there is none that can be read."""
+    held = loudness_files(spark, folder, pattern)
+    flag = lambda c: F.coalesce(F.array_contains(c, F.col("sec")), F.lit(False))
+    rows = held.select("video", "spikes", "pauses", F.posexplode("values").alias("pos", "value")).withColumn("sec", F.col("pos").cast("long"))
+    rows = rows.select("video", "sec", "value", flag("spikes").alias("is_spike"), flag("pauses").alias("is_pause"))
+    rest = made.select(F.col("video").cast("string").alias("video"), "sec", "value").join(held.select("video"), "video", "left_anti")
+    return rows.unionByName(loud_and_quiet(rest).select(*rows.columns))
 
 
 def replay_points(videos: DataFrame) -> DataFrame:

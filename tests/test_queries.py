@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from highmark.plans import reader_queries  # noqa: F401, registers its queries
+from highmark.plans import reader_queries, run_queries  # noqa: F401, register their queries
 from highmark.plans.queries import ORACLE_SQL, QUERIES
 
 
