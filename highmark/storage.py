@@ -22,8 +22,8 @@ def noted() -> Iterator[list[str]]:
         _noted.pop()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir.
 
     Where that setting is missing, only a local session gets a temporary folder: the executors of a
     cluster wouldn't see each other's files.
@@ -33,7 +33,12 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "highmark-shared")
-    path = f"{root.rstrip('/')}/highmark-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name below shared_root()."""
+    path = f"{shared_root(spark)}/highmark-{uuid.uuid4().hex}"
     for folders in _noted:
         folders.append(path)
     return path
