@@ -1,5 +1,6 @@
 """Tables between the steps of a plan, in the folder that all executors share."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -65,6 +66,12 @@ def remove(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of steps that have ended; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Tables that a plan needs only while it is made, in one shared folder, which drop() removes."""
 
