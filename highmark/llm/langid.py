@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
 def _letters() -> list[np.ndarray]:
     """For each code point, whether it is a letter, and its lower case."""
     if not _tables:
-        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x30000)]
+        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x110000)]
         _tables.append(np.array([c.isalpha() for c in points]))
         _tables.append(np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in points], dtype=np.uint32))
     return _tables
@@ -64,13 +64,12 @@ def find_words(texts: list[str]) -> Words:
     """Words are runs of letters, lower-cased."""
     is_letter, lower = _letters()
     points = np.frombuffer("\n".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
-    safe = np.where(points < 0x30000, points, 0)
-    mask = is_letter[safe]
+    mask = is_letter[points]
     edge = np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     lengths = np.array([len(t) + 1 for t in texts])
     text = np.searchsorted(np.cumsum(lengths), starts, side="right")
-    own = mix(lower[safe].astype(np.uint64) + np.uint64(1))
+    own = mix(lower[points].astype(np.uint64) + np.uint64(1))
     n = len(points)
     powers, inverse = _up_to(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)

@@ -144,3 +144,25 @@ def test_all_stages_in_a_row(spark, sf):
     for r in rows:
         per_sequence[r.sequence_id] += r.length
     assert rows and all(n == 4096 for k, n in per_sequence.items() if k < len(per_sequence) - 1)
+
+
+def test_runs_keep_their_results(spark, sf, tmp_path):
+    a = corpus_pipeline.run(spark, sf)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    b = corpus_pipeline.run(spark, sf)
+    kept.write.parquet(f"{tmp_path}/kept")
+    read = spark.read.parquet(f"{tmp_path}/kept")
+    assert read.schema["doc_id"].metadata["highmark.made_from"] and read.count() == kept.count()
+    assert a.count() == b.count() > 0
+    corpus_pipeline.mix_sources(spark, read, sf).count()  # removes what read was made from, and nothing else
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        kept.count()
+    assert a.count() == b.count() and read.count() > 0
+
+
+def test_odd_names_in_metadata_remove_nothing(spark, tmp_path):
+    own = tmp_path / "mine"
+    own.mkdir()
+    docs = spark.createDataFrame([(1, "Some words here.", "en", "a", 16)], SCHEMA).withMetadata("doc_id", {"highmark.made_from": [str(own), "../mine", "highmark-x"]})
+    docs.write.parquet(f"{tmp_path}/docs")
+    assert corpus_pipeline.drop_repeated_passages(spark, spark.read.parquet(f"{tmp_path}/docs"), "").count() == 1 and own.exists()
