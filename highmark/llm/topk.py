@@ -9,6 +9,10 @@ remain are fewer than the entries still unread in a list; their final scores are
 integers from their own vectors, which the block holds. No list is ever probed for a vector. Blocks meet
 in a last selection of k per query.
 
+Blocks are searched in rounds, each MORE times as many as all before. A query's k-th best score so far goes along
+to the next round as a bound that its vectors must reach; so later blocks stop earlier and return what
+can still count, a few times k rows a query and round in expectation, however many blocks there are.
+
 How much is left unread depends on the data: components that vary alike in all dimensions, as those of random vectors,
 keep bounds wide until nine tenths of the lists are read.
 """
@@ -20,13 +24,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from highmark.llm._shared import Scratch, stored
 
 #: Vectors and queries of a block.
 BLOCK, QUERIES = 2_048, 256
+#: Blocks of a round as a multiple of those before.
+MORE = 3
 #: Shares of a list that are read before bounds are compared.
 DEPTHS = (0.5, 0.8, 0.9, 0.95, 0.99, 1)
-_PACKED = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("ids", T.BinaryType()), T.StructField("rows", T.BinaryType())])
+_PACKED = "part int, width int, ids binary, rows binary, least binary"
+#: Stands for no bound.
+_NO_BOUND = -(1 << 63)
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -40,8 +49,8 @@ class Lists:
         self.place = np.empty_like(rows, dtype=np.int32)  # a row's place in each list
         np.put_along_axis(self.place, self.order.T, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """ids and scores of the k best (ties to the smaller id), the query's own row left out; entries read of each list."""
+    def top(self, query_id: int, query: np.ndarray, k: int, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """ids and scores of the k best (ties to the smaller id) that reach `least`, the query's own row left out; entries read of each list."""
         n = len(self.ids)
         weight, up = query.astype(np.float64), query > 0
         order, values, side = self.order, self.values, up[:, None]
@@ -60,16 +69,19 @@ class Lists:
             if at == n:
                 break
             left = np.flatnonzero(alive)
-            if len(left) > k:
+            if len(left) > k or (least is not None and len(left)):
                 place = self.place[left]
                 unread = (place < np.where(up, n - depth, 0)) | (place >= np.where(up, n, depth))
                 last = np.where(up, values[:, n - depth], values[:, depth - 1]) * weight
                 upper = read[left] + unread @ (last - final)
-                alive[left[upper < np.partition(read[left], len(left) - k)[len(left) - k] - slack]] = False
+                bar = np.partition(read[left], len(left) - k)[len(left) - k] if len(left) > k else -np.inf
+                alive[left[upper < max(bar, -np.inf if least is None else least) - slack]] = False
         left = np.flatnonzero(alive)
         if at == n and len(left) > k:  # all is read: only what rounding can't tell apart is left
             left = left[read[left] >= np.partition(read[left], len(left) - k)[len(left) - k] - slack]
         score = self.rows[left] @ query
+        if least is not None:
+            left, score = left[score >= least], score[score >= least]
         best = np.lexsort((self.ids[left], -score))[:k]
         return self.ids[left][best], score[best], at
 
@@ -79,21 +91,25 @@ def _usable(vector: str) -> Column:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """rows(id, v array<long>) in blocks of at most `size` rows of one width, from within each partition, whose number is kept as part."""
+    """rows(id, v array<long>, least long or left out) in blocks of at most `size` rows of one width, from within each partition, whose number is kept as part."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+        held: dict[int, tuple[list[int], list[np.ndarray], list[int]]] = {}
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
         def block(width: int) -> pa.RecordBatch:
-            ids, vs = held.pop(width)
-            return pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "width": width, "ids": np.array(ids, dtype="<i8").tobytes(), "rows": np.array(vs, dtype="<i8").reshape(len(ids), width).tobytes()}], schema=pa.schema([("part", pa.int32()), ("width", pa.int32()), ("ids", pa.binary()), ("rows", pa.binary())]))
+            ids, vs, least = held.pop(width)
+            row = [TaskContext.get().partitionId(), width, np.array(ids, dtype="<i8").tobytes(), np.array(vs, dtype="<i8").reshape(len(ids), width).tobytes(), np.array(least, dtype="<i8").tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            bounds = b.column(2).to_pylist() if b.num_columns > 2 else [_NO_BOUND] * b.num_rows
+            for i, v, bound in zip(b.column(0).to_pylist(), b.column(1), bounds, strict=True):
                 own = v.values.to_numpy()
-                ids, vs = held.setdefault(len(own), ([], []))
+                ids, vs, least = held.setdefault(len(own), ([], [], []))
                 ids.append(i)
                 vs.append(own)
+                least.append(bound)
                 if len(ids) == size:
                     yield block(len(own))
         for width in [*held]:
@@ -112,32 +128,46 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     candidates. A query without candidates has no rows.
 
     Vectors are dealt evenly over `spread` groups, by default one for each BLOCK of them, and each query block goes to every group,
-    so queries meet all rows in blocks: what is copied is queries times `spread`.
+    so queries meet all rows in blocks: what is copied is queries times `spread`. What comes back is k rows a query from the first
+    group, and from later rounds what reaches the k-th score before.
     """
     whole = lambda df: df.filter("vec_id is not null").filter(_usable("embedding")).select(
         F.col("vec_id").cast("long").alias("id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("v")
     )
+    scratch = Scratch(vectors.sparkSession)
     spread = spread or max(1, -(-vectors.count() // BLOCK))
-    blocks = _packed(whole(vectors).repartition(spread), BLOCK).withColumnRenamed("part", "group")
-    asked = _packed(whole(queries).repartition(max(1, spread // 64)), QUERIES)
-    asked = asked.select(F.col("width"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("group"))
-    met = blocks.join(asked, ["group", "width"]).select("width", "ids", "rows", "q_ids", "q_rows")
+    blocks = scratch.stored(_packed(whole(vectors).repartition(spread), BLOCK).withColumnRenamed("part", "group"), "blocks")
+    wanted = scratch.stored(whole(queries), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: tuple[bytes, Lists] | None = None
         for b in batches:
             for at in range(b.num_rows):
-                width, ids, rows, q_ids, q_rows = (c[at].as_py() for c in b.columns)
+                width, ids, rows, q_ids, q_rows, q_least = (c[at].as_py() for c in b.columns)
                 if made is None or made[0] != ids:
                     own = np.frombuffer(ids, dtype="<i8")
                     made = ids, Lists(own, np.frombuffer(rows, dtype="<i8").reshape(len(own), width))
-                asked_ids = np.frombuffer(q_ids, dtype="<i8")
+                asked_ids, least = np.frombuffer(q_ids, dtype="<i8"), np.frombuffer(q_least, dtype="<i8")
                 out: list[tuple[np.ndarray, ...]] = []
-                for q, v in zip(asked_ids.tolist(), np.frombuffer(q_rows, dtype="<i8").reshape(len(asked_ids), width), strict=True):
-                    found, score, _ = made[1].top(q, v, k)
+                for q, bound, v in zip(asked_ids.tolist(), least.tolist(), np.frombuffer(q_rows, dtype="<i8").reshape(len(asked_ids), width), strict=True):
+                    found, score, _ = made[1].top(q, v, k, None if bound == _NO_BOUND else bound)
                     out.append((np.full(len(found), q), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
-    found = met.mapInArrow(search, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top, low = None, 0
+    while low < spread:
+        high = min(spread, max(1, low * (MORE + 1)))
+        least = F.lit(_NO_BOUND) if top is None else F.coalesce("least", F.lit(_NO_BOUND))
+        bounds = wanted if top is None else wanted.join(top.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left")
+        asked = _packed(bounds.select("id", "v", least.alias("least")).repartition(max(1, spread // 64)), QUERIES)
+        asked = asked.select("width", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("least").alias("q_least"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("group"))
+        met = blocks.filter(F.col("group").between(low, high - 1)).join(asked, ["group", "width"]).select("width", "ids", "rows", "q_ids", "q_rows", "q_least")
+        found = met.mapInArrow(search, _FOUND)
+        if top is not None:
+            found = found.unionByName(top.select("query_id", "vec_id", "score"))
+        top = stored(ranked(found), "top") if high == spread else scratch.stored(ranked(found), "top")
+        low = high
+    scratch.drop()
+    return top
