@@ -18,8 +18,14 @@ LEAST_KEPT = 0.5
 SYMBOLS = r"[#*$%&|<>]"
 #: Navigation: at least three separators, or nothing but a menu entry.
 NAVIGATION = r"(?i)(?:[|»›>·•].*){3}|^\W*(?:home|menu|next|previous|back|login|log in|sign in|sign up|search|contact|about|skip to content|read more|click here|share|top)\W*$"
-#: Notices that say nothing of their document.
-BOILERPLATE = r"(?i)\bcookies?\b.*\b(?:accept|policy|use)|\b(?:accept|use)\b.*\bcookies\b|all rights reserved|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|subscribe to|©|\(c\) *\d{4}|licensed under|copyright"
+#: Notices that say nothing of their document, in English, German, French and Spanish. Letters beyond ASCII stand in both cases, as engines fold them differently.
+BOILERPLATE = "(?i)" + "|".join((
+    r"\bcookies?\b.*\b(?:accept|policy|use|akzeptieren|verwende[nt]|acceptez|utilis(?:e|ons|ez)|acepta|utiliza(?:mos)?)|\b(?:accept|use|akzeptieren|verwende[nt]|acceptez|utilis(?:e|ons|ez)|acepta|utiliza(?:mos)?)\b.*\bcookies\b",
+    r"all rights reserved|privacy policy|terms of (?:use|service)|enable javascript|lorem ipsum|subscribe to|©|\(c\) *\d{4}|licensed under|copyright",
+    r"alle rechte vorbehalten|\bimpressum\b|datenschutzerkl[äÄ]rung|nutzungsbedingungen|javascript aktivieren|newsletter abonnieren",
+    r"tous droits r[éÉ]serv[éÉ]s|mentions l[éÉ]gales|politique de confidentialit[éÉ]|conditions (?:g[éÉ]n[éÉ]rales )?d['’]utilisation|activez javascript|abonnez-vous [àÀ]",
+    r"todos los derechos reservados|aviso legal|pol[íÍ]tica de privacidad|(?:t[éÉ]rminos|condiciones) de uso|habilit[ea] javascript|suscr[íÍ]bete a",
+))
 
 
 def words(text: Column) -> Column:

@@ -145,6 +145,7 @@ def op8_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+_BOILERPLATE = lines.BOILERPLATE.replace("'", "''")
 OP8_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -156,7 +157,7 @@ l AS (SELECT doc_id, unnest(lines) AS line FROM d),
 j AS (
   SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS n FROM l
   WHERE NOT (regexp_matches(line, '{lines.NAVIGATION}')
-    OR (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {lines.SHORT_NOTICE} AND regexp_matches(line, '{lines.BOILERPLATE}'))
+    OR (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {lines.SHORT_NOTICE} AND regexp_matches(line, '{_BOILERPLATE}'))
     OR 5 * len(regexp_extract_all(line, '{lines.SYMBOLS}')) >= length(line)
     OR (len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {lines.SHORT_LINE} AND NOT regexp_matches(line, '[.!?…:;,"''”’»)\]]\s*$')))
   GROUP BY doc_id),
