@@ -30,6 +30,8 @@ CHUNKS, SIZE = 12, 8
 SYMBOLS = CHUNKS * SIZE
 #: Nodes of a block in the last comparison, and hashes of their sets together, on average at most.
 BLOCK, WEIGHT = 128, 250_000
+#: Nodes whose keys one task makes.
+NODES = 20_000
 _rng = np.random.default_rng(20240502)
 _FACTORS = _rng.integers(1 << 31, size=SYMBOLS, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
 _ADDED = _rng.integers(1 << 32, size=SYMBOLS, dtype=np.uint32)[:, None]
@@ -136,7 +138,8 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
     rows = keep(signed(docs, length), "signed")
     own = rows.filter("set_id is not null").groupBy("set_id")
     nodes = keep(own.agg(F.min("row").alias("node"), F.min("doc_id").alias("least_doc"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
-    entered = nodes.select("node", "n", F.explode(keys(F.col("signature"))).alias("key"))
+    dealt = nodes.repartition(max(1, -(-nodes.count() // NODES)), "node")
+    entered = dealt.select("node", "n", F.explode(keys(F.col("signature"))).alias("key"))
     heads = keep(entered.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("entered")).filter("entered > 1").select("key", "head"), "heads")
     shared = keep(entered.join(heads, "key"), "shared")
 
@@ -154,7 +157,7 @@ def groups(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
         # all that can still join two groups
         mixed = _mixed(mixed.select("key", "node", "n"), found, keep)
         if not mixed.isEmpty():
-            found = components(_stars(found).unionByName(_fields(mixed, found, sets, percent, keep)), keep)
+            found = components(_stars(found).unionByName(_fields(mixed, sets, percent, keep)), keep)
 
     placed = keep(nodes.select("set_id", "node", "least_doc").join(found, "node", "left").select("set_id", F.coalesce("root", "node").alias("first_row"), "least_doc"), "placed")
     least = keep(placed.groupBy("first_row").agg(F.min("least_doc").alias("component_id")), "least")
@@ -175,16 +178,15 @@ def _mixed(shared: DataFrame, found: DataFrame, keep: Callable[[DataFrame, str],
     return keep(marked.join(keys_, "key"), "mixed")
 
 
-def _fields(mixed: DataFrame, found: DataFrame, sets: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def _fields(mixed: DataFrame, sets: DataFrame, percent: int, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The links (a, b) between groups that meet in a key.
 
-    Nodes outside a key's largest group are compared with all of that group, and with all others that
+    Nodes outside a key's largest group are compared with those of that group that share a key with any of them, and with all others that
     stand outside of it. That covers each pair of the key whose groups differ. Both sides go in blocks of about
     BLOCK nodes; pairs of blocks are made from their numbers, and pairs of nodes exist only within a comparison of two blocks.
     """
     outside = keep(mixed.filter("root <> large").select(F.col("large").alias("field"), "node").distinct().withColumn("side", F.lit(1)), "outside")
-    groups_ = keep(outside.select("field").distinct(), "fields")
-    inside = found.select(F.col("root").alias("field"), "node").join(groups_, "field").unionByName(groups_.select("field", F.col("field").alias("node"))).distinct()
+    inside = mixed.filter("root = large").select(F.col("large").alias("field"), "node").distinct()
     both = keep(outside.unionByName(inside.withColumn("side", F.lit(0))).join(sets, "node"), "both")
     sizes = keep(both.groupBy("field", "side").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("hashes")) / (8 * WEIGHT))).alias("blocks")), "sizes")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")

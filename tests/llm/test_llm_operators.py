@@ -220,6 +220,26 @@ def test_top_k(spark, kind, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("high", [3, 100])
+def test_bounds_pass_between_blocks(spark, high):
+    rng = np.random.default_rng(high)
+    rows = [(i, [float(x) for x in rng.integers(-high, high, size=6)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 10 = 0"), k=7, spread=29).collect())) == brute_top(rows, 7)
+
+
+def test_a_block_returns_only_what_reaches_the_bound():
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-50, 50, size=(400, 8))
+    block = topk.Lists(np.arange(400), rows)
+    for q in rows[:20]:
+        scores = np.sort(rows @ q)[::-1]
+        for least in (int(scores[0]), int(scores[4]), int(scores[4]) + 1, int(scores[0]) + 1, int(scores[300])):
+            ids, got, _ = block.top(-1, q, 10, least)
+            assert got.tolist() == [x for x in scores[:10].tolist() if x >= least] and (rows[ids] @ q == got).all()
+        assert block.top(-1, q, 10, int(scores[0]))[2] <= block.top(-1, q, 10)[2]
+
+
 def test_reading_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
     for rows in (rng.integers(-9, 10, size=(500, 6)), (rng.pareto(1.0, size=(500, 6)) * 100).astype(np.int64), rng.integers(-(1 << 28), 1 << 28, size=(60, 16))):
@@ -499,6 +519,44 @@ def test_short_sentences_at_the_end_of_a_passage_go(spark, tmp_path):
     assert got == {(1, rows[0][1], 0, 0), (2, "So the second begins. Now it ends in another way.", 7, 27)}
 
 
+# languages
+
+
+def test_letters_of_all_planes(spark):
+    assert len(langid.find_words([chr(0x30000) + chr(0x30001), "a\U0001F600b"]).starts) == 3
+
+
+# near duplicates with hubs
+
+
+def test_outsiders_meet_a_large_group(spark, tmp_path):
+    draw = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in draw.sample(range(len(out)), n):
+            out[at] = f"x{draw.randrange(10**9)}"
+        return " ".join(out)
+
+    texts = [changed(base, draw.choice([0, 1, 1, 1])) for _ in range(600)] + [changed(base, draw.choice([2, 3, 4])) for _ in range(60)]
+    docs = saved(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "row long, text string").withColumn("doc_id", F.col("row")), tmp_path)
+    sets = [set(neardup.shingles(t).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and (x := top(a)) != (y := top(b)):
+            root[max(x, y)] = min(x, y)
+    plain = {k: top(k) for k in range(len(texts))}
+    assert {r.row: r.component_id for r in neardup.groups(docs, percent=85).collect()} == plain
+
+
 # lines
 
 
@@ -512,6 +570,21 @@ def test_lines(spark):
     assert got[3].n_dup_lines == 4 * 29
 
 
+def test_notices_in_four_languages(spark):
+    body = "Zeile " + " ".join(f"w{j}" for j in range(60)) + "."
+    notices = ["Alle Rechte vorbehalten. Impressum.", "Tous droits réservés. Nous utilisons des cookies, vous acceptez.", "TODOS LOS DERECHOS RESERVADOS, aviso legal.", "All rights reserved. Imprint here.", "POLÍTICA DE PRIVACIDAD y más cosas aquí."]
+    rows = [(k, f"{body}\n{x}") for k, x in enumerate(notices)] + [(9, f"{body}\nDie Rechte der Anderen sind uns wichtig."), (9, f"{body}\nDie Rechte der Anderen sind uns wichtig.")]
+    got = lines.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all((r.line_kept == body) == (r.doc_id < 9) for r in got) and all(r.kept for r in got) and len(got) == 7
+
+
+def test_lines_of_odd_tables(spark):
+    long = "word and more " * 300_000
+    got = lines.judge(spark.createDataFrame([(1, long), (1, long), (None, "\n \n")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in got) == [(0, 0, False), (1, 900_000, False), (1, 900_000, False)]
+    assert lines.judge(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
 # chat
 
 
