@@ -3,6 +3,7 @@
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -67,9 +68,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files of steps that have ended; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark remove shuffle files of steps that have ended; else they stay until the driver happens to collect its garbage.
+
+    What a first collection frees holds more, so there is a second one. Where Spark is slow to remove files, they go a little later.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 class Scratch:
