@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from highmark.llm._shared import numbered, stored
+from highmark.llm._shared import numbered, release, stored
 from highmark.llm.words import _P, LOWER, _up_to, mix, range_hashes, word_spans
 
 RUN, WORDS, PIECE = 3, 24, 12
@@ -113,6 +113,7 @@ def clean(docs: DataFrame) -> DataFrame:
 
     seen = lambda id_: rows.select(id_, "text").mapInArrow(hashed, "hash long, id long")
     firsts = stored(seen(key).groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "firsts")
+    release(rows.sparkSession)  # the first shuffle of hashes goes before the second is written
     later = seen(F.col("__hm_row")).join(firsts, "hash").groupBy("id").agg(F.collect_set(F.struct("hash", "first")).alias("__hm_runs")).withColumnRenamed("id", "__hm_row")
     gone = F.transform(F.filter("__hm_runs", lambda r: r["first"] < key), lambda r: r["hash"]).alias("__hm_gone")
     both = rows.join(later, "__hm_row", "left").select(*[F.col(f"`{c}`") for c in own], gone)
