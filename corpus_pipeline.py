@@ -1,12 +1,16 @@
 """The corpus pipeline: stages that each apply one operator to all that the stage before kept.
 
-Each stage takes (spark, docs, sf_dir). All but the last return rows of documents with their columns;
-the last returns pieces of packed sequences. A stage's rows are written as Parquet and read again before
-the next one starts, which removes the tables that the stages before have made on the way.
+Each stage takes (spark, docs, sf_dir) and returns rows of documents with their columns; the last returns
+pieces of packed sequences. A stage's rows are written as Parquet and read again before the next one starts.
+
+The tables that a stage has made on the way are needed until its rows are written. Their names go along as
+metadata of doc_id, which Parquet keeps; so the next stage, which reads these rows from their own files, removes the
+tables of just these rows. Results of other runs, and rows that weren't written, keep theirs.
 
 All stages take null and repeated ids as rows like others, null texts as empty, columns of any name, and empty tables.
 """
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
@@ -14,29 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from highmark.llm import langid, mixing, neardup, packing, spans
-from highmark.llm._shared import WORD, noted, remove, stored
+from highmark.llm._shared import WORD, noted, remove, shared_root, stored
 
 #: A document whose best language has a lower mean chance over its words is rejected, as is one without letters.
 LEAST_SCORE = 0.4
 
 _Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Folders of tables that stages have made.
-_left: list[str] = []
+_MADE_FROM = "highmark.made_from"
+
+
+def _remove_sources(spark: SparkSession, docs: DataFrame) -> None:
+    """Removes the tables that docs was made from, unless docs itself is still to be read from one."""
+    names = [n for n in docs.schema["doc_id"].metadata.get(_MADE_FROM, []) if re.fullmatch("highmark-[0-9a-f]{32}", n)]
+    files = docs.inputFiles() if names else []
+    for name in names:
+        if not any(f"/{name}/" in file for file in files):
+            remove(spark, f"{shared_root(spark)}/{name}")
 
 
 def _stage(f: _Stage) -> _Stage:
-    """f, which first removes what earlier stages have left, but for what docs is read from."""
+    """f, whose rows name the tables that they are made from, and which removes those of the rows that it gets."""
 
     @wraps(f)
     def run_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        files = docs.inputFiles() if _left else []
-        for folder in [x for x in _left if not any(x.rsplit("/", 1)[-1] in file for file in files)]:
-            remove(spark, folder)
-            _left.remove(folder)
+        _remove_sources(spark, docs)
         with noted() as folders:
             out = f(spark, docs, sf_dir)
-        _left.extend(folders)
-        return out
+        return out.withMetadata("doc_id", {_MADE_FROM: [x.rsplit("/", 1)[-1] for x in folders]})
 
     return run_
 
@@ -115,8 +123,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of a folder of tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[str] = []
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, name)
+            with noted() as folders:
+                docs = stored(docs, name)
+            for folder in before:
+                remove(spark, folder)
+            before = folders
     return docs
