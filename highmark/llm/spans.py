@@ -51,22 +51,30 @@ def _runs_of(edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(edges[on], edges[at[back]]), np.append(edges[to[on]], edges[back])
 
 
-def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a text: byte offsets of its words (and its end), word offsets of its sentences (and its end), and first word, end word and hash of each run."""
+def _sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's bytes, starts and ends of its words, which of them begin a sentence, and word offsets of its sentences and pieces (and its end)."""
     raw = np.frombuffer(text.encode().translate(LOWER), dtype=np.uint8)
     starts, ends = word_spans(raw)
     n = len(starts)
+    begins = np.ones(n, dtype=bool)
     if n == 0:
-        none = np.zeros(0, dtype=np.int64)
-        return np.array([0]), np.array([0]), none, none, none.astype(np.uint64)
+        return raw, starts, ends, begins, np.array([0])
     last = raw[ends - 1]
     closed = _ENDS[last] | (_CLOSES[last] & (ends - starts > 1) & _ENDS[raw[np.maximum(ends - 2, 0)]])
     feeds = np.concatenate([[0], np.cumsum(raw == 10)])
-    begins = np.ones(n, dtype=bool)
     begins[1:] = closed[:-1] | (feeds[starts[1:]] > feeds[ends[:-1]])
     index = np.arange(n)
     first = np.flatnonzero((index - np.maximum.accumulate(np.where(begins, index, 0))) % PIECE == 0)
-    sentences = np.append(first, n)
+    return raw, starts, ends, begins, np.append(first, n)
+
+
+def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a text: byte offsets of its words (and its end), word offsets of its sentences (and its end), and first word, end word and hash of each run."""
+    raw, starts, ends, begins, sentences = _sentences(text)
+    n = len(starts)
+    if n == 0:
+        none = np.zeros(0, dtype=np.int64)
+        return np.array([0]), sentences, none, none, none.astype(np.uint64)
     words = mix(range_hashes(raw, starts, ends))
     powers, inverse = _up_to(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
@@ -95,7 +103,8 @@ def clean(docs: DataFrame) -> DataFrame:
     but repeats becomes empty. Columns of docs named like the new ones are replaced. An empty table gives no row.
 
     Rows are numbered in a stored table. Hashes meet in joins of plain rows, so that a passage of many
-    documents is split; they are made anew for each join, as they would take more room than the texts.
+    documents is split; they are made anew for the second join, as they would take more room than the texts.
+    Only texts that lose something are hashed a third time.
     """
     counts = ["n_sentences", "n_removed", "n_words_removed"]
     docs = docs.drop(*counts)
@@ -103,19 +112,26 @@ def clean(docs: DataFrame) -> DataFrame:
     rows = numbered(docs.withColumn("text", F.col("text").cast("string")), "__hm_row")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1) - F.col("__hm_row")).alias("key")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[pa.RecordBatch]:
+        """Each hash of a text with its id. One that stands in the text again comes twice, or if not both, once with the complement of the id."""
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                found = [np.unique(runs(t.as_py() or "")[4]).view(np.int64) for t in part.column(1)]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["hash", "id"])
-
-    seen = lambda id_: rows.select(id_, "text").mapInArrow(hashed, "hash long, id long")
-    firsts = stored(seen(key).groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "firsts")
+                hashes, ids = [], []
+                for id_, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    own_hashes, n = np.unique(runs(t.as_py() or "")[4], return_counts=True)
+                    hashes.append(np.repeat(own_hashes, np.minimum(n, 2)) if both else own_hashes)
+                    ids.append(np.full(len(hashes[-1]), id_) if both else np.where(n > 1, ~id_, id_))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids).astype(np.int64))], ["hash", "id"])
+
+    seen = lambda id_, both: rows.select(id_, "text").mapInArrow(lambda batches: hashed(batches, both), "hash long, id long")
+    firsts = stored(seen(key, True).groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "first"), "firsts")
     release(rows.sparkSession)  # the first shuffle of hashes goes before the second is written
-    later = seen(F.col("__hm_row")).join(firsts, "hash").groupBy("id").agg(F.collect_set(F.struct("hash", "first")).alias("__hm_runs")).withColumnRenamed("id", "__hm_row")
-    gone = F.transform(F.filter("__hm_runs", lambda r: r["first"] < key), lambda r: r["hash"]).alias("__hm_gone")
+    again = F.col("id") < 0
+    found = seen(F.col("__hm_row"), False).join(firsts, "hash").select(F.when(again, F.bitwise_not("id")).otherwise(F.col("id")).alias("__hm_row"), "hash", "first", again.alias("again"))
+    later = found.groupBy("__hm_row").agg(F.collect_list(F.struct("hash", "first")).alias("__hm_runs"), F.max("again").alias("__hm_again"))
+    gone = F.transform(F.filter("__hm_runs", lambda r: r["first"] < key), lambda r: r["hash"])
+    gone = F.transform(F.array(gone), lambda x: F.when((F.size(x) > 0) | F.col("__hm_again"), x))[0].alias("__hm_gone")
     both = rows.join(later, "__hm_row", "left").select(*[F.col(f"`{c}`") for c in own], gone)
     text_at = own.index("text")
     schema = T.StructType([f if f.name != "text" else T.StructField("text", T.StringType()) for f in docs.schema.fields] + [T.StructField(c, T.LongType()) for c in counts])
@@ -137,16 +153,17 @@ def clean(docs: DataFrame) -> DataFrame:
 
 
 def _without(text: str | None, gone: np.ndarray | None) -> tuple[str | None, tuple[int, int, int]]:
-    """A text without the runs that it repeats or whose hashes are gone; its sentences, and how many sentences and words lose by it."""
+    """A text without the runs that it repeats or whose hashes are gone; its sentences, and how many sentences and words lose by it.
+
+    gone is None for a text that neither repeats a run nor has one that is gone.
+    """
     if text is None:
         return None, (0, 0, 0)
+    if gone is None:
+        return text, (len(_sentences(text)[4]) - 1, 0, 0)
     starts, sentences, at, to, hashes = runs(text)
     n = len(starts) - 1
-    out = _repeats(hashes)
-    if gone is not None:
-        out |= np.isin(hashes.view(np.int64), gone)
-    if not out.any():
-        return text, (len(sentences) - 1, 0, 0)
+    out = _repeats(hashes) | np.isin(hashes.view(np.int64), gone)
     covered = np.cumsum(np.bincount(at[out], minlength=n + 1) - np.bincount(to[out], minlength=n + 1))[:n] > 0
     raw = text.encode()
     edges = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]])))  # kept stretches start and end
