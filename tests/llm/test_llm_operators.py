@@ -1,5 +1,6 @@
 """Literal, random and odd cases of the operators of the llm subpackage."""
 
+import collections
 import gzip
 import heapq
 import itertools
@@ -9,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing, spans, tokens, topk, warc
@@ -519,6 +521,32 @@ def test_short_sentences_at_the_end_of_a_passage_go(spark, tmp_path):
     assert got == {(1, rows[0][1], 0, 0), (2, "So the second begins. Now it ends in another way.", 7, 27)}
 
 
+@pytest.mark.parametrize("together", [1, 300, 1 << 18])
+def test_no_run_that_repeats_is_lost_by_anchors(monkeypatch, together):
+    monkeypatch.setattr(spans, "_TOGETHER", together)
+    rng = random.Random(7)
+    said = lambda n, vocabulary: " ".join(f"w{rng.randrange(vocabulary)}{rng.choice(['', '', '', '.'])}" for _ in range(n))
+    passages = [said(n, 10**9) for n in (24, 30, 51, 200)]
+    texts = [" ".join([said(rng.randrange(40), 10**9), rng.choice(passages), said(rng.randrange(60), v), rng.choice(passages)]) for v in (1, 2, 3, 50, 10**9) for _ in range(20)]
+    texts += [None, "", "a", "a " * 23, "a " * 24, "Ω. " * 3000, said(3000, 10**9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["id", "text"])
+    found = [r for b in spans._marks(iter([batch])) for r in b.to_pylist()]
+    assert len({(r["id"], r["hash"]) for r in found}) == len(found)
+    times = collections.Counter()
+    for r in found:
+        times[r["hash"]] += r["n"]
+    common = {}
+    for r in found:
+        if times[r["hash"]] > 1:
+            common.setdefault(r["id"], []).append(r["hash"])
+    every = [spans.runs(t or "")[4] for t in texts]
+    count = collections.Counter(h for hashes in every for h in hashes.tolist())
+    for k, (text, hashes) in enumerate(zip(texts, every, strict=True)):
+        kept = spans.runs(text or "", np.array(common.get(k, []), dtype=np.int64))[4]
+        assert [h for h in hashes.tolist() if count[h] > 1] == [h for h in kept.tolist() if count[h] > 1]
+    assert len(every[-1]) > 1000 and len(kept) == 0  # the last text shares nothing
+
+
 # languages
 
 
