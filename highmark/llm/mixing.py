@@ -66,13 +66,14 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
 
     size is the number of words, 0 for null or blank texts, which are emitted as often as others of
     their source. Null ids and repeated rows are rows like others; an empty table gives none. copies is at most `most`. The same
-    rows and seed give the same copies.
+    rows and seed give the same copies. Null ids are dealt over cells by size and input partition, so for them this holds where
+    the table is read in the same partitions; rows of one other id share a cell per size class.
     """
-    sizes = stored(docs.select(*ids, "source", word_count(F.col("text")).alias("size")), "sizes")  # texts are read once
+    sizes = stored(docs.select(*ids, "source", word_count(F.col("text")).alias("size"), F.spark_partition_id().alias("__hm_part")), "sizes")  # texts are read once
     rows = sizes.withColumn("key", _source_key(F.col("source")))
     digits = F.length(F.bin("size"))
     rows = rows.withColumn("size_class", digits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 4, 0)) & 7").cast("int")).withColumn(
-        "salt", _hash24(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % SALTS
+        "salt", _hash24(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.col("__hm_part").cast("string"), F.lit(":"), F.col("size").cast("string")))) % SALTS
     )
     cell = ["key", "size_class", "salt"]
     cells = rows.groupBy(*cell).agg(F.count("*").alias("n"))
