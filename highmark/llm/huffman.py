@@ -130,7 +130,8 @@ def id_counts(ids: DataFrame, width: int) -> DataFrame:
 def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool = True, width: int = 2) -> None:
     """Encodes docs(doc_id, text) into folder, documents in ascending order of doc_id, null first.
 
-    Null texts are empty: their end id alone. Rows of one doc_id stand together. A document isn't cut
+    Null texts are empty: their end id alone. Rows of one doc_id stand together, in their order as read; however many
+    there are (null ids, say), they are dealt over tasks. A document isn't cut
     between blocks, so a block holds BLOCK ids and at most one document more. The code lengths, one per
     id of the vocabulary, are made on the driver. width: bytes of an id between the passes, 2 for
     vocabularies of up to 65,536 ids (others are refused), else 4. An empty table gives files without documents.
@@ -166,7 +167,8 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 0, spaced: bool
         if held:
             yield block()
 
-    ordered = ids.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    place = ["doc_id", "part", "ahead"]
+    ordered = ids.select(*place, "ids").repartitionByRange(*place).sortWithinPartitions(*place).select("doc_id", "ids")
     ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
     scratch.drop()
 

@@ -2,6 +2,7 @@
 
 import gc
 import itertools
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -35,6 +36,16 @@ _CUTS = {
     True: re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+").findall,
     False: re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+").findall,
 }
+#: The normaliser and the pre-tokenizer that _CUTS stands for (fixed by the same files); vocabularies with others go to the library whole.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_CUT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_MADE_FOR = {
+    True: (None, _BYTE_LEVEL),
+    False: (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [_WORD_CUT, _BYTE_LEVEL | {"use_regex": False}]},
+    ),
+}
 #: The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from U+0100 on.
 _OWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _OWN} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _OWN)}
@@ -42,6 +53,11 @@ _ID = attrgetter("id")
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
+def _made(part: object) -> object:
+    """What a normaliser or pre-tokenizer of a tokenizer is made of."""
+    return None if part is None else json.loads(part.__getstate__())
+
+
 class _Known(dict[bytes, bytes]):
     """Ids by chunk or piece, found when first asked for."""
 
@@ -65,7 +81,8 @@ class Encoder:
     others by all of it. Where no white space follows white space, a plain split at spaces cuts the same.
     A text that holds the string of an added token, in any case of letters, goes to the tokenizer as a
     whole. spaced: chunks keep the white space before them, as byte-level vocabularies need it; otherwise
-    white space is dropped and letters are lower-cased, as by tokenizers that end words.
+    white space is dropped and letters are lower-cased, as by tokenizers that end words. A vocabulary whose file cuts
+    or changes texts in another way than is known for its kind has all texts encoded as a whole.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -79,6 +96,8 @@ class Encoder:
         self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda _: None
         self.size = self.tokenizer.get_vocab_size()
         self.model, self.spaced = self.tokenizer.model, spaced
+        t = self.tokenizer
+        self.is_known = (_made(t.normalizer), _made(t.pre_tokenizer)) == _MADE_FOR[spaced] and t.truncation is None and t.padding is None
         self.pieces, self.chunks, self.after_space = _Known(self.piece, PIECES), _Known(self.chunk, CHUNKS), _Known(self.spaced_chunk, CHUNKS)
 
     def piece(self, piece: bytes) -> bytes:
@@ -108,7 +127,7 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def text(self, text: str) -> bytes:
-        if self.mark in text and self.added(text) or self.spaced and _WIDE.search(text):
+        if not self.is_known or self.mark in text and self.added(text) or self.spaced and _WIDE.search(text):
             return self.whole(text)
         raw = text.encode()
         return b"".join(map(self.chunks.__getitem__, _SPACED.findall(raw) if self.spaced else raw.split()))
@@ -122,7 +141,7 @@ class Encoder:
         for known in self.pieces, self.chunks, self.after_space:
             known.shrink()
         texts = texts.fill_null("")
-        odd = pc.match_substring(texts, self.mark) if self.may_hold_added else pa.array(np.zeros(len(texts), dtype=bool))
+        odd = pc.match_substring(texts, self.mark) if self.is_known and self.may_hold_added else pa.array(np.full(len(texts), not self.is_known))
         if self.spaced:
             odd = pc.or_(odd, pc.match_substring_regex(texts, _ODD))
             words = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " \n"), " ")
