@@ -17,7 +17,7 @@ from highmark.llm import chat, huffman, langid, lines, mixing, neardup, packing,
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 
 def saved(df, folder, name="t"):
@@ -371,10 +371,23 @@ def test_targets(spark):
 
 def test_mixing_odd_rows(spark, tmp_path):
     docs = saved(spark.createDataFrame([(1, None, None), (1, None, None), (None, "a b", "x"), (2, "", "x"), (3, "word " * 30_000, "y")], "doc_id long, text string, source string").withColumn("size", F.lit("mine")), tmp_path)
-    assert mixing.mix_plan(docs).count() == 5 and mixing.mix(docs).columns == docs.columns
+    plan = mixing.mix_plan(docs).collect()
+    assert sorted((r.doc_id or 0, r["size"], r.source_size) for r in plan) == [(0, 2, 2), (1, 0, 0), (1, 0, 0), (2, 0, 2), (3, 30_000, 30_000)]
+    # sources x, y, null weigh 5, 2, 1 and may grow to 6, 90,000 and 0 words: x and null stop there, y has the rest of 30,002
+    assert {r.doc_id: r.target for r in plan} == {None: 6.0, 2: 6.0, 1: 0.0, 3: 29_996.0}
+    assert {r.doc_id: r.taken for r in plan if r.doc_id != 3} == {None: 6, 2: 0, 1: 0} and sum(r.taken for r in plan if r.doc_id == 3) in (0, 30_000)
+    assert mixing.mix(docs).columns == docs.columns
     assert mixing.mix_plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_many_null_ids(spark, tmp_path):
+    """Rows without an id and of one size: taken near the target, alike each time."""
+    docs = saved(spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("source")), tmp_path)
+    runs = [sorted(map(tuple, mixing.mix_plan(docs).groupBy("source_size", "target").agg(F.sum("taken"), F.count("*")).collect())) for _ in range(2)]
+    assert runs[0] == runs[1] and [r[3] for r in runs[0]] == [1000, 2000]
+    assert all(abs(r[1] - r[2]) <= 3 for r in runs[0])
+
+
 # packing and token files
 
 
@@ -396,6 +409,24 @@ def test_encoder_gives_the_tokenizers_ids(name, spaced):
     same()
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_other_vocabularies_go_to_the_library(name, spaced, tmp_path):
+    """A file that changes or cuts texts in another way, or is said to be of the other kind, still gives the library's ids."""
+    own = tokens.Encoder(public_tokenizers.path(name), spaced)
+    assert own.is_known
+    lower, digits, short = (Tokenizer.from_file(public_tokenizers.path(name)) for _ in range(3))
+    lower.normalizer = normalizers.Sequence([normalizers.NFKC(), normalizers.Lowercase()])
+    digits.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=True)])
+    short.enable_truncation(3)
+    for k, other in enumerate((lower, digits, short)):
+        other.save(f"{tmp_path}/{k}.json")
+        own = tokens.Encoder(f"{tmp_path}/{k}.json", spaced)
+        assert not own.is_known
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in own(TEXTS)] == [other.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    wrong, library = tokens.Encoder(public_tokenizers.path(name), not spaced), Tokenizer.from_file(public_tokenizers.path(name))
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in wrong(TEXTS)] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_cuts_at_any_white_space(name, spaced, monkeypatch):
     """White space of each kind, alone and in pairs and threes, before, between and after words, with memories that are often emptied."""
@@ -474,6 +505,23 @@ def test_token_files(spark, tmp_path):
     assert huffman.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_rows_without_an_id_are_dealt_over_tasks(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = saved(spark.range(0, 2000, 1, 8).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")), tmp_path)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        huffman.write(docs, f"{tmp_path}/ids", path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = spark.read.parquet(f"{tmp_path}/ids/blocks").select("part", F.explode("doc_ids").alias("doc_id")).filter("doc_id is null").groupBy("part").count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == docs.filter("doc_id is null").count()
+    got = huffman.read(spark, f"{tmp_path}/ids").orderBy("start").collect()
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert ids == sorted(ids)
+
+
 def test_ids_that_need_more_bytes(spark, tmp_path, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = saved(spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string"), tmp_path)
