@@ -83,10 +83,10 @@ def q05_pauses(spark: SparkSession, d: str) -> DataFrame:
     return sequence.pauses(roles.sentences(roles.points(spark, d)), 43_200)
 
 
-def _snapped(clips: str, name: str, pad: str = "0.3") -> str:
+def _snapped(clips: str, name: str, pad: str = "0.3", of: str = "sentences") -> str:
     return f"""
-{name}_near AS (SELECT c.video, c.cand, max(g.s) FILTER (g.s <= c.s + 0.05) AS b, arg_min(g.f, g.seg) FILTER (g.f >= c.f - 0.05) AS a FROM {clips} c JOIN sentences g USING (video) GROUP BY ALL),
-{name}_edge AS (SELECT video, arg_min(s, seg) AS first, arg_max(f, seg) AS last FROM sentences GROUP BY 1),
+{name}_near AS (SELECT c.video, c.cand, max(g.s) FILTER (g.s <= c.s + 0.05) AS b, arg_min(g.f, g.seg) FILTER (g.f >= c.f - 0.05) AS a FROM {clips} c JOIN {of} g USING (video) GROUP BY ALL),
+{name}_edge AS (SELECT video, arg_min(s, seg) AS first, arg_max(f, seg) AS last FROM {of} GROUP BY 1),
 {name}_to AS (SELECT c.*, greatest(coalesce(b, first) - {pad}, 0) AS b2, coalesce(a, last) + {pad} AS a2, last FROM {clips} c LEFT JOIN {name}_near USING (video, cand) LEFT JOIN {name}_edge USING (video)),
 {name} AS (SELECT * EXCLUDE (b2, a2, last) REPLACE (CASE WHEN a2 > b2 THEN b2 ELSE s END AS s, CASE WHEN a2 > b2 THEN least(a2, last + {pad}) ELSE f END AS f) FROM {name}_to)"""
 
@@ -469,13 +469,16 @@ def q36_holdout_lift(spark: SparkSession, d: str) -> DataFrame:
     return _round(evaluate.lift(picked, evaluate.grid_windows(picked, lengths), p, 2 * DAY), "picked", "baseline", "lift")
 
 
-@query()
-def q37_documents(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
     p = roles.points(spark, d)
-    ranked = ranking.rank_clips(
+    return ranking.rank_clips(
         roles.in_hours(roles.clips(p)), roles.in_hours(roles.sentences(p)), roles.in_hours(p), roles.in_hours(roles.chapters(p)), sequence.loud_and_quiet(roles.energy(p)), roles.in_hours(p.filter("kind = 'error'").select("video", "start", "end")), 0, 48.0
     )
-    return ranking.clip_documents(ranked)
+
+
+@query()
+def q37_documents(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.clip_documents(_ranked(spark, d))
 
 
 @query("SELECT count(*) FILTER (event_type <> 'error' OR event_type IS NULL) AS ok, count(*) FILTER (event_type = 'error') AS failed FROM events")

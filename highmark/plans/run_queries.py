@@ -3,10 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from highmark.functions import timefmt
+from highmark.functions import text, timefmt
 from highmark.operators import chunks, crop, evaluate, fusion, intervals, model, sequence
 from highmark.plans import ranking, roles
-from highmark.plans.queries import _AUDIO, _PEAKS, _R3, _TOPICS, INTEREST, _r3, _round, query
+from highmark.plans.queries import _AUDIO, _JACCARD, _PEAKS, _R3, _RANK, _TOPICS, _WORDS, INTEREST, _r3, _ranked, _round, _snapped, query
 from highmark.plans.roles import CHAPTERS, CLIPS, DAY, ENERGY, HOUR, POINTS, SENTENCES, TURNS, table
 from highmark.sources import tables
 from highmark.storage import remove, shared_dir, stored
@@ -205,3 +205,53 @@ def q68_url_list(spark: SparkSession, d: str) -> DataFrame:
     out = stored(tables.url_list(spark, [f"{folder}/urls.txt"]), "urls")
     remove(spark, folder)
     return out
+
+
+#: The whole ranking: suppressed, snapped, scored by four signals, fused, widened, snapped, suppressed by text, freed of sponsors.
+_RANKED = f"""WITH RECURSIVE {POINTS.strip()}, {CLIPS}, {CHAPTERS}, {ENERGY}, {SENTENCES}, {_PEAKS},
+said AS MATERIALIZED (SELECT video, seg, s / 3600 AS s, f / 3600 AS f, trim(text) AS text FROM sentences),
+edge AS (SELECT video, arg_min(s, seg) AS first, arg_max(f, seg) AS last FROM said GROUP BY 1),
+o AS MATERIALIZED (SELECT video, cand, s / 3600 AS s, f / 3600 AS f, score, title, row_number() OVER (PARTITION BY video ORDER BY score DESC, cand) AS n FROM clips),
+step AS (
+  SELECT video, 0::BIGINT AS n, []::STRUCT(cand INTEGER, s DOUBLE, f DOUBLE)[] AS kept FROM (SELECT DISTINCT video FROM o)
+  UNION ALL
+  SELECT step.video, o.n, CASE WHEN len(list_filter(step.kept, lambda k: least(k.f, o.f) - greatest(k.s, o.s) > 0.5 * (o.f - o.s))) > 0 THEN step.kept
+    ELSE list_append(step.kept, {{'cand': o.cand, 's': o.s, 'f': o.f}}) END FROM step JOIN o ON o.video = step.video AND o.n = step.n + 1),
+apart AS (SELECT o.video, o.cand, o.s, o.f, o.score, o.title FROM o JOIN (SELECT video, unnest(arg_max(kept, n)) AS k FROM step GROUP BY video) d ON d.video = o.video AND d.k.cand = o.cand), {_snapped("apart", "once", of="said")},
+replay AS (SELECT c.video, c.cand, coalesce(sum(p.value * (least(c.f, p.f / 3600) - greatest(c.s, p.s / 3600))) / sum(least(c.f, p.f / 3600) - greatest(c.s, p.s / 3600)), 0) AS r
+  FROM once c LEFT JOIN points p ON p.video = c.video AND p.f / 3600 > c.s AND p.s / 3600 < c.f GROUP BY 1, 2),
+heard AS (SELECT c.video, c.cand, least(1.0, 0.7 * avg(l.value) + 0.3 * least(count(*) FILTER (l.is_spike) / 3.0, 1.0)) AS a FROM once c JOIN loud l ON l.video = c.video AND l.sec BETWEEN floor(c.s) AND floor(c.f) GROUP BY 1, 2),
+held AS (SELECT c.video, c.cand, arg_min(h.title, h.ch) AS t FROM once c JOIN chapters h ON h.video = c.video AND h.s / 3600 <= (c.s + c.f) / 2 AND ((c.s + c.f) / 2 < h.f / 3600 OR h.f IS NULL) GROUP BY 1, 2),
+texts AS (SELECT c.video, c.cand, string_agg(g.text, ' ' ORDER BY g.seg) AS said FROM once c JOIN said g ON g.video = c.video AND g.f > c.s AND g.s < c.f WHERE g.text <> '' GROUP BY 1, 2),
+signals AS (SELECT c.*, coalesce(x.said, '') AS said, r, coalesce(a, 0) AS a, CASE WHEN regexp_matches(coalesce(held.t, ''), '(?i){text.INTEREST}') THEN 1.0 ELSE 0.5 END AS h
+  FROM once c JOIN replay USING (video, cand) LEFT JOIN heard USING (video, cand) LEFT JOIN held USING (video, cand) LEFT JOIN texts x USING (video, cand)),
+ranks AS (SELECT *, 0.45 * {_RANK.format(k="video", v="score")} + 0.25 * {_RANK.format(k="video", v="r")} + 0.2 * {_RANK.format(k="video", v="a")} + 0.1 * {_RANK.format(k="video", v="h")} AS fused FROM signals),
+points_of AS (SELECT * EXCLUDE (score), round_even(round(fused::DOUBLE * 100, 9), 0)::INTEGER AS score FROM ranks),
+fused_clips AS (SELECT video, s, f, title, said, score, row_number() OVER (PARTITION BY video ORDER BY score DESC, cand) AS cand FROM points_of),
+strong AS (SELECT c.video, c.cand, first(p.s / 3600 ORDER BY p.value DESC, p.s) AS peak FROM fused_clips c JOIN peaks p ON p.video = c.video AND p.nth <= 10 AND p.s / 3600 < c.f AND p.f / 3600 > c.s GROUP BY 1, 2),
+spiked AS (SELECT c.video, c.cand, min(l.sec)::DOUBLE AS spike FROM fused_clips c JOIN loud l ON l.video = c.video AND l.is_spike AND l.sec BETWEEN c.s AND c.f GROUP BY 1, 2),
+peaked AS (SELECT c.*, coalesce(peak, spike) AS peak FROM fused_clips c LEFT JOIN strong USING (video, cand) LEFT JOIN spiked USING (video, cand)),
+stats AS (SELECT video, avg(value) AS m, max(sec) + 1 AS n FROM loud GROUP BY 1),
+aimed AS (SELECT p.*, greatest(peak - 5, 0) AS target, greatest(peak - 20, 0) AS lo, m, least(stats.n - 1, floor(peak)) AS i FROM peaked p LEFT JOIN stats USING (video)),
+walk AS (SELECT x.video, x.cand, CASE WHEN any_value(i) <= any_value(floor(lo)) THEN any_value(i) ELSE coalesce(max(l.sec), any_value(floor(lo))) END AS onset
+  FROM aimed x LEFT JOIN loud l ON l.video = x.video AND l.sec BETWEEN floor(lo) AND i AND l.value <= x.m WHERE peak IS NOT NULL GROUP BY 1, 2),
+led AS (SELECT x.*, least(s, target, greatest(onset, lo)) AS new FROM aimed x LEFT JOIN walk USING (video, cand)),
+near AS (SELECT b.video, b.cand, max(g.s) FILTER (g.s BETWEEN lo AND target + 0.5 AND g.s <= new + 0.5) AS x, min(g.s) FILTER (g.s BETWEEN lo AND target + 0.5) AS y, arg_min(g.f, g.seg) FILTER (g.f >= b.f + 5 - 0.05) AS z
+  FROM led b JOIN said g USING (video) WHERE peak IS NOT NULL GROUP BY 1, 2),
+bounds AS (SELECT b.*, greatest(greatest(lo, least(coalesce(x, y, new), target)) - 0.3, 0) AS ns, least(coalesce(z, b.f + 5) + 0.3, last + 0.3) AS ne FROM led b LEFT JOIN near USING (video, cand) JOIN edge USING (video)),
+wide AS (SELECT video, cand, CASE WHEN peak IS NULL THEN s ELSE ns END AS s, CASE WHEN peak IS NULL THEN f ELSE greatest(least(ne, ns + 180), ns + 1) END AS f, title, said, score FROM bounds), {_snapped("wide", "again", of="said")},
+w AS MATERIALIZED (SELECT video, cand, {_WORDS % "said"} AS ws, row_number() OVER (PARTITION BY video ORDER BY score DESC, cand) AS n FROM again),
+told AS (
+  SELECT video, 0::BIGINT AS n, []::STRUCT(cand BIGINT, ws VARCHAR[])[] AS kept FROM (SELECT DISTINCT video FROM w)
+  UNION ALL
+  SELECT told.video, w.n, CASE WHEN len(list_filter(told.kept, lambda k: {_JACCARD % {"a": "k.ws", "b": "w.ws"}} > 0.6)) > 0 THEN told.kept
+    ELSE list_append(told.kept, {{'cand': w.cand, 'ws': w.ws}}) END FROM told JOIN w ON w.video = told.video AND w.n = told.n + 1),
+unlike AS (SELECT a.* FROM again a JOIN (SELECT video, unnest(arg_max(kept, n)) AS k FROM told GROUP BY video) d ON d.video = a.video AND d.k.cand = a.cand),
+paid AS (SELECT c.video, c.cand, sum(least(c.f, x.f / 3600) - greatest(c.s, x.s / 3600)) AS covered FROM unlike c JOIN points x ON x.kind = 'error' AND x.video = c.video AND x.f / 3600 > c.s AND x.s / 3600 < c.f GROUP BY 1, 2),
+best AS (SELECT u.*, row_number() OVER (PARTITION BY video ORDER BY score DESC, cand) AS rank FROM unlike u LEFT JOIN paid USING (video, cand) WHERE coalesce(covered / nullif(f - s, 0), 0) < 0.5)
+SELECT video, rank::INTEGER AS rank, title, round(s, 6) AS start, round(f, 6) AS "end", score FROM best WHERE rank <= 3"""
+
+
+@query(_RANKED)
+def q69_ranked_clips(spark: SparkSession, d: str) -> DataFrame:
+    return _round(_ranked(spark, d).select("video", "rank", "title", "start", "end", "score"), "start", "end")
