@@ -709,3 +709,17 @@ def test_texts_come_back_whatever_they_hold(spark, tmp_path):
         assert [(x.role, x.text) for x in r.turns] == [w[1:] for w in want]
         assert r.learned == "".join(t for _, role, t in want if role == "assistant")
     assert chat.render(chat.fold(chat.events_of_rows(df.limit(0)))).count() == 0
+
+
+def test_chats_with_clashing_columns(spark, tmp_path):
+    """Columns named like those that the operator adds change nothing."""
+    rows = [(k % 3, k // 3, ["user", "assistant"][k // 3 % 2], f"text <{k}> " * 120) for k in range(12)]
+    plain = saved(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tmp_path, "plain")
+    more = plain
+    for c in ("message", "seq", "kind", "e", "log", "last", "at", "head", "body", "learned", "piece", "span", "formatted", "loss", "m", "ms"):
+        more = more.withColumn(c, F.lit("mine"))
+    a, b = (sorted(map(tuple, chat.render(chat.fold(chat.events_of_rows(saved(x, tmp_path, f"t{k}")))).collect())) for k, x in enumerate((plain, more)))
+    assert a == b and len(a) == 3
+    events = chat.events_of_rows(plain)
+    extra = events.withColumn("log", F.lit("mine")).withColumn("last", F.lit("mine"))
+    assert sorted(map(tuple, chat.render(chat.fold(extra).withColumn("piece", F.lit("mine")).withColumn("at", F.lit("mine"))).collect())) == a
