@@ -31,7 +31,8 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _round(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if c in names else F.col(c) for c in df.columns])
+    """Rounded as DuckDB does it: the number times a power of ten, as a double, to the nearest whole one, halves away from 0. Spark's round(c, places) takes decimals instead."""
+    return df.select(*[(F.round(F.col(c) * 10.0**places) / 10.0**places).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 #: The mean value of points in each clip, by covered time.
