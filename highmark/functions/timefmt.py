@@ -16,9 +16,17 @@ def hms(seconds: Column) -> Column:
 
 
 def hms_tenths(seconds: Column) -> Column:
-    """HH:MM:SS.s without carry: 59.97 becomes ..:60.0."""
+    """HH:MM:SS.s without carry: 59.97 becomes ..:60.0. The number itself is rounded, not its shortest decimals: 0.15 is a little less than that and reads 0.1, 0.25 is a half and goes to the even 0.2."""
     s = F.greatest(seconds, F.lit(0.0))
-    return F.format_string("%02d:%02d:%04.1f", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60), F.pmod(s, F.lit(60.0)))
+    rest = F.pmod(s, F.lit(60.0))
+    part = rest - F.floor(rest)
+    tenths = part * 8 + part * 2  # both products are exact, so what their sum leaves off is known
+    lost = part * 2 - (tenths - part * 8)
+    whole = F.floor(tenths)
+    over = tenths - whole
+    up = (over > 0.5) | ((over == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    n = F.floor(rest) * 10 + whole + up.cast("int")
+    return F.format_string("%02d:%02d:%02d.%d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60), F.floor(n / 10), n % 10)
 
 
 def srt_time(seconds: Column) -> Column:
