@@ -72,18 +72,18 @@ def loudness(samples: DataFrame, rate: int = 16_000) -> DataFrame:
 
 
 def loudness_of_blocks(blocks: DataFrame, rate: int = 16_000) -> DataFrame:
-    """loudness() of blocks(video, first, pcm) of sound: 16-bit little-endian samples from sample number `first` on.
+    """loudness() of blocks(video, first, pcm) of sound: 16-bit little-endian samples from sample number `first` on; with a column `bits`, samples of 16 or 32 bits by block.
 
     Blocks may have any length and end within a second: each gives its sums of squares by second, and a second's
-    sums meet. A last odd byte is no sample; blocks that are null or empty give nothing.
+    sums meet. Bytes left over at a block's end are no sample; blocks that are null or empty give nothing.
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, seconds, squares, counts = [], [], [], []
             for k in range(b.num_rows):
-                first, raw = b.column(1)[k].as_py(), b.column(2)[k]
-                x = np.frombuffer(raw.as_buffer(), "<i2", len(raw.as_buffer()) // 2).astype(np.int64) if raw.is_valid and first is not None else np.zeros(0, np.int64)
+                first, raw, size = b.column(1)[k].as_py(), b.column(2)[k], b.column(3)[k].as_py() // 8
+                x = np.frombuffer(raw.as_buffer(), f"<i{size}", len(raw.as_buffer()) // size).astype(np.float64) if raw.is_valid and first is not None else np.zeros(0)
                 if len(x):
                     sec = np.arange(first // rate, (first + len(x) - 1) // rate + 1)
                     cuts = np.maximum(sec * rate - first, 0)
@@ -92,11 +92,12 @@ def loudness_of_blocks(blocks: DataFrame, rate: int = 16_000) -> DataFrame:
                     squares.append(np.add.reduceat(x * x, cuts))
                     counts.append(np.diff(np.append(cuts, len(x))))
             if rows:
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c).astype(np.int64)) for c in (seconds, squares, counts)]], ["video", "sec", "squares", "n"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(rows))), *[pa.array(np.concatenate(c).astype(t)) for c, t in ((seconds, np.int64), (squares, np.float64), (counts, np.int64))]], ["video", "sec", "squares", "n"])
 
-    schema = T.StructType([blocks.schema["video"], *[T.StructField(c, T.LongType()) for c in ("sec", "squares", "n")]])
-    parts = blocks.select("video", F.col("first").cast("long"), "pcm").mapInArrow(sums, schema)
-    return _heard(parts.groupBy("video", "sec").agg(F.sum("squares").cast("double").alias("squares"), F.sum("n").alias("n")), rate)
+    schema = T.StructType([blocks.schema["video"], T.StructField("sec", T.LongType()), T.StructField("squares", T.DoubleType()), T.StructField("n", T.LongType())])
+    bits = F.col("bits") if "bits" in blocks.columns else F.lit(16)
+    parts = blocks.select("video", F.col("first").cast("long"), "pcm", bits.cast("int").alias("bits")).mapInArrow(sums, schema)
+    return _heard(parts.groupBy("video", "sec").agg(F.sum("squares").alias("squares"), F.sum("n").alias("n")), rate)
 
 
 def _heard(seconds: DataFrame, rate: int) -> DataFrame:
