@@ -35,7 +35,7 @@ def rank_clips(
     clips = keep(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
     any_ = points.select("video").distinct().withColumn("__any", F.lit(True))
     clips = clips.join(any_, "video", "left").withColumn("replay_raw", F.when(F.col("__any"), F.col("replay_raw"))).drop("__any")
-    clips = keep(chapter_score(window_score(clips, energy, width), chapters), "signals")
+    clips = keep(chapter_score(steady(window_score(clips, energy, width)), chapters), "signals")
     clips = keep(fuse(clips, p.weights).drop("cand").withColumnRenamed("nth", "cand"), "fused")
     peaks = peak_windows(points, 10, p.peak_threshold, p.merge_gap)
     clips = keep(overlapping_peak(clips, peaks, energy.filter("is_spike"), width), "peaks")
@@ -48,6 +48,11 @@ def rank_clips(
     return out
 
 
+def steady(clips: DataFrame) -> DataFrame:
+    """clips whose replay_raw and audio_raw are rounded: sums depend on the order of rows in their last digits, and clips that are equal must share their rank in any run."""
+    return clips.withColumns({c: F.round(c, places) for c, places in (("replay_raw", 9), ("audio_raw", 12))})
+
+
 def clip_documents(clips: DataFrame) -> DataFrame:
     """video, n_clips, clips: one nested document per video, clips by rank."""
     row = F.struct("rank", slug(F.col("title")).alias("name"), "title", "start", "end", hms_tenths(F.col("start")).alias("start_hms"), hms_tenths(F.col("end")).alias("end_hms"), "score")
