@@ -15,9 +15,10 @@ from highmark.params import DEFAULTS
 def average_rank(value: Column | str, keys: list[str]) -> Column:
     """Rank within keys scaled to 0..1: ties share their mean rank, a lone row has 1."""
     value = F.col(value) if isinstance(value, str) else value
-    n = F.count("*").over(Window.partitionBy(*keys))
-    same = F.count("*").over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(value)) - 1 + (same - 1) / 2
+    w = Window.partitionBy(*keys).orderBy(value)  # one order for all three, so rows are sorted once
+    n = F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    same = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    rank = F.rank().over(w) - 1 + (same - 1) / 2
     return F.when(n == 1, F.lit(1.0)).otherwise(rank / (n - 1))
 
 
