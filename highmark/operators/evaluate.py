@@ -1,9 +1,21 @@
 """Held-out evaluation: does a ranking that hasn't seen the replay curve find the replayed moments?"""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from highmark.operators.intervals import overlap_mean, overlaps
+from highmark.operators.intervals import overlap_mean
+
+#: Random windows that a task makes and keeps sums of.
+WINDOWS = 250_000
+
+
+def _placed(trial: Column, trials: int, seed: int) -> Column:
+    """cand, start, end of a random window for a row (video, cand, start, end, duration)."""
+    length = F.col("end") - F.col("start")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in (F.col("video"), F.col("cand"), trial)]))
+    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
+    start = u * F.greatest(F.lit(0.1), F.col("duration") - length)
+    return F.struct((F.col("cand") * trials + trial).alias("cand"), start.alias("start"), (start + length).alias("end"))
 
 
 def random_windows(picked: DataFrame, durations: DataFrame, trials: int = 200, seed: int = 7) -> DataFrame:
@@ -12,22 +24,25 @@ def random_windows(picked: DataFrame, durations: DataFrame, trials: int = 200, s
     That number is made of the MD5 of `seed:video:cand:trial`, so windows are the same in any run, order or engine.
     """
     rows = picked.join(durations, "video").withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    length = F.col("end") - F.col("start")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("video", "cand", "trial")]))
-    u = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
-    start = u * F.greatest(F.lit(0.1), F.col("duration") - length)
-    return rows.select("video", (F.col("cand") * trials + F.col("trial")).alias("cand"), "trial", start.alias("start"), (start + length).alias("end"))
+    return rows.select("video", "trial", _placed(F.col("trial"), trials, seed).alias("w")).select("video", "w.cand", "trial", "w.start", "w.end")
 
 
 def random_baseline(picked: DataFrame, durations: DataFrame, points: DataFrame, width: float, trials: int = 200, seed: int = 7) -> DataFrame:
     """video, baseline: the mean replay of random_windows() of each video's picked clips, those without cover as 0.
 
-    Windows are made where they meet points; what is kept of them is a sum per window, then one per video.
+    Points stand in blocks by start, `width` long, and windows are made beside them, an array a clip, so neither windows nor what
+    they cover is shuffled: points and clips are, by video, over tasks of about WINDOWS windows each. Each point is in one block.
     """
-    windows = random_windows(picked, durations, trials, seed).select("video", "cand", "start", "end")
-    shared = F.least("end", "i_end") - F.greatest("start", "i_start")
-    pairs = overlaps(windows, points.select("video", "start", "end", "value"), width)
-    covered = pairs.groupBy("video", "cand").agg((F.sum(F.col("i_value") * shared) / F.sum(shared)).alias("v")).groupBy("video").agg(F.sum("v").alias("v"))
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, -(-picked.count() * trials // WINDOWS))
+    dealt = lambda df: df.repartition(tasks, "video")
+    block = F.struct("start", "end", "value")
+    blocks = dealt(points.filter("start <= end").select("video", "start", "end", "value")).groupBy("video", F.floor(F.col("start") / width).alias("block")).agg(F.min("start").alias("lo"), F.max("end").alias("hi"), F.collect_list(block).alias("points"))
+    windows = dealt(picked.join(durations, "video").select("video", "cand", "start", "end", "duration")).select("video", F.transform(F.sequence(F.lit(1), F.lit(trials)), lambda k: _placed(k, trials, seed)).alias("windows"))
+    near = lambda w: (w["end"] > F.col("lo")) & (w["start"] < F.col("hi"))
+    met = blocks.join(windows, "video").select("video", "points", F.explode(F.filter("windows", near)).alias("w"))
+    pairs = met.select("video", "w.*", F.explode("points").alias("p")).filter((F.col("p.end") > F.col("start")) & (F.col("p.start") < F.col("end")))
+    shared = F.least("end", "p.end") - F.greatest("start", "p.start")
+    covered = pairs.groupBy("video", "cand").agg(F.try_divide(F.sum(F.col("p.value") * shared), F.sum(shared)).alias("v")).groupBy("video").agg(F.sum("v").alias("v"))
     counts = picked.join(durations, "video").groupBy("video").agg((F.count("*") * trials).alias("n"))
     return counts.join(covered, "video", "left").select("video", (F.coalesce("v", F.lit(0.0)) / F.col("n")).alias("baseline"))
 
