@@ -163,7 +163,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         bounds = wanted if top is None else wanted.join(top.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least")), "id", "left")
         asked = _packed(bounds.select("id", "v", least.alias("least")).repartition(max(1, spread // 64)), QUERIES)
         asked = asked.select("width", F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), F.col("least").alias("q_least"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("group"))
-        met = blocks.filter(F.col("group").between(low, high - 1)).join(asked, ["group", "width"]).select("width", "ids", "rows", "q_ids", "q_rows", "q_least")
+        # a merge join: a broadcast would bring queries, times groups, to the driver, as explode() makes more rows than Spark reckons with
+        met = blocks.filter(F.col("group").between(low, high - 1)).hint("merge").join(asked, ["group", "width"]).select("width", "ids", "rows", "q_ids", "q_rows", "q_least")
         found = met.mapInArrow(search, _FOUND)
         if top is not None:
             found = found.unionByName(top.select("query_id", "vec_id", "score"))
