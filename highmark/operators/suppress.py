@@ -5,10 +5,14 @@ is beaten by nobody undecided is kept, and what it stands against goes; then the
 in order of score, with all videos and all their parts decided at once.
 """
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from highmark.functions.text import content_words, jaccard
 from highmark.params import DEFAULTS
@@ -124,22 +128,94 @@ def by_time(clips: DataFrame, share: float = DEFAULTS.overlap_share, width: floa
     return _only(clips, out, "left_semi")
 
 
-def alike(sets: DataFrame, most: float) -> DataFrame:
-    """v, a, b, words_a, words_b: pairs of sets(v, o, cand, words) of one v whose Jaccard similarity is above `most`, a first by o.
-
-    Words are ordered rare ones first. Two sets that are so alike share a word among the first of each, as many as could
-    be missing from the other and one more, so only these meet; sizes rule out more, and the rest is compared whole.
+def _alike_in(rows: pa.Table, most: float, at_once: int = 1_000_000) -> pa.Table:
+    """v, x, y: pairs of rows(v, cand, slot, low, high, said) with words so alike, one of slot low and one of high; said has the words, joined by blanks."""
+    low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    said = pc.split_pattern(rows.column("said").combine_chunks(), " ")
+    said = said.combine_chunks() if isinstance(said, pa.ChunkedArray) else said
+    by_size = np.argsort(np.diff(said.offsets.to_numpy()), kind="stable")
+    rows, said = rows.select(["v", "cand", "slot"]).take(pa.array(by_size)), said.take(pa.array(by_size))
+    n, slot, codes = np.diff(said.offsets.to_numpy()).astype(np.int64), rows.column("slot").to_numpy(), said.flatten().dictionary_encode().indices.to_numpy()
+    often = np.bincount(codes)
+    rank, many = np.empty(len(often), np.int64), len(often)
+    rank[np.argsort(often, kind="stable")] = np.arange(many)
+    words = np.repeat(np.arange(len(n)) * many, n) + rank[codes]  # row and word, rare words first
+    words.sort()
+    first = np.concatenate([[0], np.cumsum(n)])
+    of, word = np.divmod(words, many)
+    place = np.arange(len(words)) - first[of]
+    # Of two sets that are so alike the larger has a shared word among so many first ones, and the smaller, so many of whose words are shared, among fewer.
+    larger = np.flatnonzero(place <= (n - np.ceil(n * most - 1e-9))[of])
+    smaller = np.flatnonzero(place <= (n - np.ceil(n * 2 * most / (1 + most) - 1e-9))[of])
+    met = word[smaller] * len(n) + of[smaller]
+    smaller, met = smaller[order := np.argsort(met, kind="stable")], met[order]
+    least = np.searchsorted(n, np.ceil(n * most - 1e-9))
+    begin, end = (np.searchsorted(met, word[larger] * len(n) + to[of[larger]]) for to in (least, np.arange(len(n))))
+    # Words that only one of two has are at least as many as bits that differ.
+    bits = 1 << int(np.clip(np.ceil(np.log2(2 * (n * n).sum() / n.sum())), 6, 13))
+    bit, times = np.unique(of * bits + (word * 0x9E3779B1 >> 7) % bits, return_counts=True)
+    bit = bit[times % 2 == 1]
+    cell, starts = np.unique(bit >> 6, return_index=True)
+    signs = np.zeros(len(n) * bits // 64, np.uint64)
+    signs[cell] = np.bitwise_or.reduceat(np.uint64(1) << (bit & 63).astype(np.uint64), starts) if len(bit) else 0
+    signs = signs.reshape(len(n), -1)
+    found = [np.empty(0, np.int64)]
+    for part, count in _parts(end - begin, at_once):
+        e = np.repeat(larger[part], count)
+        f = smaller[np.repeat(begin[part], count) + _counted(count)]
+        x, y = of[e], of[f]
+        ok = np.minimum(n[x] - place[e], n[y] - place[f]) * (1 + most) >= (n[x] + n[y]) * most - 1e-6
+        if low != high:
+            ok &= slot[x] != slot[y]
+        x, y = np.divmod(np.unique(x[ok] * len(n) + y[ok]), len(n))
+        for near, _ in _parts(np.full(len(x), signs.shape[1]), at_once):
+            apart = np.bitwise_count(signs[x[near]] ^ signs[y[near]]).sum(1, dtype=np.int64)
+            some = near[apart * (1 + most) <= (n[x[near]] + n[y[near]]) * (1 - most) + 1e-6]
+            for sure, count in _parts(n[y[some]], at_once):
+                a, b = x[some[sure]], y[some[sure]]
+                want = np.repeat(a, count) * many + word[np.repeat(first[b], count) + _counted(count)]
+                there = words[np.minimum(np.searchsorted(words, want), len(words) - 1)] == want
+                both = np.add.reduceat(there, np.cumsum(count) - count, dtype=np.int64)
+                found.append((a * len(n) + b)[both / (n[a] + n[b] - both) > most])
+    x, y = np.divmod(np.unique(np.concatenate(found)), len(n))
+    return pa.table({"v": rows.column("v").take(pa.array(x)), "x": rows.column("cand").take(pa.array(x)), "y": rows.column("cand").take(pa.array(y))})
+
+
+def _parts(counts: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the counts above 0, in order, and these counts, in parts of about so many in sum."""
+    some = np.flatnonzero(counts)
+    for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(counts[some]) // at_once)) + 1):
+        if len(part):
+            yield part, counts[part]
+
+
+def _counted(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of the counts."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def alike(sets: DataFrame, most: float, a_slot: int = 2_000_000) -> DataFrame:
+    """v, a, b: pairs of sets(v, o, cand, words) of one v whose Jaccard similarity is above `most`, a first by o. Words have no blanks.
+
+    Sets of a v are dealt by size to slots of about so many words. Two slots meet in a task if they hold sizes that can be
+    so alike, and a set goes only to those where there are such. There the rare words of each set meet, as many as could be
+    missing from the other and one more; places, sizes and bits rule out more, and the rest is compared whole. What is
+    shuffled are sets, and pairs only once they are known to be alike.
     """
-    words = sets.select("v", "cand", F.explode("words").alias("w"))
-    often = words.groupBy("v", "w").agg(F.count("*").alias("often"))
-    ranked = words.join(often, ["v", "w"]).withColumn("place", F.row_number().over(Window.partitionBy("v", "cand").orderBy("often", "w")))
-    size = sets.select("v", "cand", "o", F.size("words").alias("n"))
-    first = F.col("n") - F.ceil(F.col("n") * most - 1e-9) + 1
-    prefix = ranked.join(size, ["v", "cand"]).filter(F.col("place") <= first).select("v", "w", "cand", "o", "n")
-    a, b = (prefix.select("v", "w", F.col("cand").alias(x), F.col("o").alias(f"o_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = a.join(b, ["v", "w"]).filter((F.col("o_a") < F.col("o_b")) & (F.least("n_a", "n_b") > F.greatest("n_a", "n_b") * most - 1e-9)).select("v", "a", "b").distinct()
-    own = lambda x: sets.select("v", F.col("cand").alias(x), F.col("words").alias(f"words_{x}"))
-    return pairs.join(own("a"), ["v", "a"]).join(own("b"), ["v", "b"]).filter(jaccard(F.col("words_a"), F.col("words_b")) > most).select("v", "a", "b")
+    sets = sets.withColumn("n", F.size("words")).withColumn("class", F.floor(F.log("n") * 16))
+    sizes = sets.groupBy("v", "class").agg(F.sum(F.col("n").cast("long")).alias("all"), F.min("n").alias("least"), F.max("n").alias("most"))
+    until = F.sum("all").over(Window.partitionBy("v").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sizes.withColumn("from", F.floor((until - F.col("all")) / a_slot)).withColumn("to", F.floor((until - 1) / a_slot))
+    slots = sizes.select("v", F.explode(F.sequence("from", "to")).alias("other"), "least", "most").groupBy("v", "other").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    rows = sets.join(sizes.select("v", "class", "from", "to"), ["v", "class"]).withColumn("slot", F.col("from") + F.pmod(F.xxhash64("cand"), F.col("to") - F.col("from") + 1))
+    rows = rows.join(slots, "v").filter((F.col("most") >= F.col("n") * most - 1e-6) & (F.col("n") >= F.col("least") * most - 1e-6))
+    rows = rows.select("v", "cand", "slot", F.least("slot", "other").alias("low"), F.greatest("slot", "other").alias("high"), F.array_join("words", " ").alias("said"))
+    cand = sets.schema["cand"].dataType
+    pairs = T.StructType([sets.schema["v"], T.StructField("x", cand), T.StructField("y", cand)])
+    pairs = rows.groupBy("v", "low", "high").applyInArrow(lambda rows: _alike_in(rows, most), pairs)
+    own = lambda x: sets.select("v", F.col("cand").alias(x), F.col("o").alias(f"o_{x}"))
+    first = F.col("o_x") < F.col("o_y")
+    return pairs.join(own("x"), ["v", "x"]).join(own("y"), ["v", "y"]).select("v", F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def by_text(clips: DataFrame, text: str, most: float = DEFAULTS.text_similarity, rounds: int = 40) -> DataFrame:
@@ -152,10 +228,10 @@ def by_text(clips: DataFrame, text: str, most: float = DEFAULTS.text_similarity,
     scratch = Scratch(clips.sparkSession)
     keep = scratch.stored
     rows = keep(_ordered(clips, F.array_sort(content_words(F.col(text))).alias("words")).filter("size(words) > 0"), "words")
-    same = Window.partitionBy("v", "words").orderBy("o")
-    rows = keep(rows.withColumn("nth", F.row_number().over(same)), "ranked")
-    sets = rows.filter("nth = 1").drop("nth")
-    gone = [rows.filter("nth > 1").select("v", "cand")]
+    rows = rows.withColumn("same", F.sha2(F.array_join("words", " "), 256))
+    sets = keep(rows.groupBy("v", "same").agg(F.min("o").alias("o"), F.min_by(F.struct("cand", "words"), "o").alias("x")).select("v", "o", "same", "x.cand", "x.words"), "sets")
+    firsts = sets.select("v", "same", F.col("o").alias("first"))
+    gone = [keep(rows.join(firsts, ["v", "same"]).filter("o > first").select("v", "cand"), "copies")]
     beats = keep(alike(sets, most), "beats")
     while not beats.isEmpty():
         if len(gone) > rounds:
