@@ -7,7 +7,7 @@ bins: both sides stand in every bin that they touch, and a pair counts in the fi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from highmark.functions.text import INTEREST, strip
+from highmark.functions.text import INTEREST, content_words, strip
 from highmark.operators.nearest import asof, first_holders, first_to_end
 from highmark.params import DEFAULTS
 
@@ -34,9 +34,12 @@ def _shared() -> Column:
 
 def overlap_mean(clips: DataFrame, points: DataFrame, width: float, name: str = "replay_raw") -> DataFrame:
     """clips with the mean value of points(video, start, end, value), weighted by covered time; 0 without cover."""
+    return clips.join(_means(clips, points, width), ["video", "cand"], "left").withColumn(name, F.coalesce("__mean", F.lit(0.0))).drop("__mean")
+
+
+def _means(clips: DataFrame, points: DataFrame, width: float) -> DataFrame:
     pairs = overlaps(clips.select("video", "cand", "start", "end"), points.select("video", "start", "end", "value"), width)
-    mean = pairs.groupBy("video", "cand").agg((F.sum(F.col("i_value") * _shared()) / F.sum(_shared())).alias("__mean"))
-    return clips.join(mean, ["video", "cand"], "left").withColumn(name, F.coalesce("__mean", F.lit(0.0))).drop("__mean")
+    return pairs.groupBy("video", "cand").agg((F.sum(F.col("i_value") * _shared()) / F.sum(_shared())).alias("__mean"))
 
 
 def chapter_score(clips: DataFrame, chapters: DataFrame, interest: str = INTEREST, name: str = "chapter_raw", width: float = 3600.0) -> DataFrame:
@@ -44,12 +47,21 @@ def chapter_score(clips: DataFrame, chapters: DataFrame, interest: str = INTERES
 
     A chapter holds start <= t < end; a null end is open. Chapters become pieces that don't overlap, of which the last up to a middle counts.
     """
+    out = clips.join(_titles(clips, chapters, width), ["video", "cand"], "left").join(_any(chapters, "__any"), "video", "left")
+    return out.withColumn(name, F.when(F.col("__any"), _liked(interest))).drop("__title", "__any")
+
+
+def _titles(clips: DataFrame, chapters: DataFrame, width: float) -> DataFrame:
     middles = clips.select("video", "cand", ((F.col("start") + F.col("end")) / 2).alias("t"))
-    first = asof(middles, first_holders(chapters, width), width, "__title")
-    any_ = chapters.select("video").distinct().withColumn("__any", F.lit(True))
-    out = clips.join(first, ["video", "cand"], "left").join(any_, "video", "left")
-    liked = F.coalesce(F.col("__title"), F.lit("")).rlike(f"(?i){interest}")
-    return out.withColumn(name, F.when(F.col("__any"), F.when(liked, 1.0).otherwise(0.5))).drop("__title", "__any")
+    return asof(middles, first_holders(chapters, width), width, "__title")
+
+
+def _liked(interest: str) -> Column:
+    return F.when(F.coalesce(F.col("__title"), F.lit("")).rlike(f"(?i){interest}"), 1.0).otherwise(0.5)
+
+
+def _any(items: DataFrame, name: str) -> DataFrame:
+    return items.select("video").distinct().withColumn(name, F.lit(True))
 
 
 def window_score(clips: DataFrame, energy: DataFrame, width: float, name: str = "audio_raw") -> DataFrame:
@@ -57,14 +69,30 @@ def window_score(clips: DataFrame, energy: DataFrame, width: float, name: str =
 
     0 where no second is there, null for videos without energy. Seconds int(start) to int(end) count.
     """
+    out = clips.join(_heard(clips, energy, width), ["video", "cand"], "left").join(_any(energy, "__any"), "video", "left")
+    return out.withColumn(name, F.when(F.col("__any"), F.coalesce("__score", F.lit(0.0)))).drop("__score", "__any")
+
+
+def _heard(clips: DataFrame, energy: DataFrame, width: float) -> DataFrame:
     whole = clips.select("video", "cand", F.floor(F.greatest("start", F.lit(0.0))).cast("double").alias("start"), (F.floor("end") + 1).cast("double").alias("end"))
     items = energy.select("video", F.col("sec").cast("double").alias("start"), (F.col("sec") + 1).cast("double").alias("end"), "value", "is_spike")
     pairs = overlaps(whole, items, width)
     bonus = F.least(F.sum(F.when(F.col("i_is_spike"), 1.0).otherwise(0.0)) / 3, F.lit(1.0))
-    score = pairs.groupBy("video", "cand").agg(F.least(F.lit(1.0), 0.7 * F.avg("i_value") + 0.3 * bonus).alias("__score"))
-    any_ = energy.select("video").distinct().withColumn("__any", F.lit(True))
-    out = clips.join(score, ["video", "cand"], "left").join(any_, "video", "left")
-    return out.withColumn(name, F.when(F.col("__any"), F.coalesce("__score", F.lit(0.0)))).drop("__score", "__any")
+    return pairs.groupBy("video", "cand").agg(F.least(F.lit(1.0), 0.7 * F.avg("i_value") + 0.3 * bonus).alias("__score"))
+
+
+def signals(clips: DataFrame, points: DataFrame, energy: DataFrame, chapters: DataFrame, width: float) -> DataFrame:
+    """clips with replay_raw, audio_raw and chapter_raw, as overlap_mean(), window_score() and chapter_score() give them; replay_raw is null for videos without points.
+
+    clips, which should be stored, meet all three by video and cand first, then what their videos have, so they are shuffled twice.
+    """
+    out = clips
+    for found in (_means(clips, points, width), _heard(clips, energy, width), _titles(clips, chapters, 3600.0)):
+        out = out.join(found, ["video", "cand"], "left")
+    for items, name in ((points, "__points"), (energy, "__energy"), (chapters, "__chapters")):
+        out = out.join(_any(items, name), "video", "left")
+    raw = {"replay_raw": F.when(F.col("__points"), F.coalesce("__mean", F.lit(0.0))), "audio_raw": F.when(F.col("__energy"), F.coalesce("__score", F.lit(0.0))), "chapter_raw": F.when(F.col("__chapters"), _liked(INTEREST))}
+    return out.withColumns(raw).drop("__mean", "__score", "__title", "__points", "__energy", "__chapters")
 
 
 def onset(peaks: DataFrame, energy: DataFrame, width: float) -> DataFrame:
@@ -82,16 +110,16 @@ def onset(peaks: DataFrame, energy: DataFrame, width: float) -> DataFrame:
     return p.join(last, ["video", "cand"], "left").withColumn("onset", found.cast("double")).drop("__mean", "__n", "__at", "__floor", "__last")
 
 
-def snap(clips: DataFrame, segments: DataFrame, pad: float = DEFAULTS.pad, tolerance: float = DEFAULTS.snap_tolerance, width: float = 3600.0) -> DataFrame:
+def snap(clips: DataFrame, segments: DataFrame, pad: float = DEFAULTS.pad, tolerance: float = DEFAULTS.snap_tolerance, width: float = 3600.0, to_end: DataFrame | None = None) -> DataFrame:
     """clips moved to edges of segments(video, seg, start, end), and padded.
 
     The start goes to the last segment start up to it (else to the first start), the end to the end of
     the first segment, in their order, that ends there or later (else to the last segment's end). Clips that
-    would be empty, and those of videos without segments, stay. A second call moves most clips again.
+    would be empty, and those of videos without segments, stay. A second call moves most clips again. to_end is first_to_end(segments), where it is stored.
     """
     edges = segments.groupBy("video").agg(F.min_by("start", "seg").alias("__first"), F.max_by("end", "seg").alias("__last"))
     starts = asof(clips.select("video", "cand", (F.col("start") + tolerance).alias("t")), segments.select("video", F.col("start").alias("t"), F.col("start").alias("found")), width, "__start")
-    ends = asof(clips.select("video", "cand", (F.col("end") - tolerance).alias("t")), first_to_end(segments), width, "__end", forward=True)
+    ends = asof(clips.select("video", "cand", (F.col("end") - tolerance).alias("t")), first_to_end(segments) if to_end is None else to_end, width, "__end", forward=True)
     out = clips.join(starts, ["video", "cand"], "left").join(ends, ["video", "cand"], "left").join(edges, "video", "left")
     start = F.greatest(F.coalesce("__start", "__first") - pad, F.lit(0.0))
     end = F.coalesce("__end", "__last") + pad
@@ -120,6 +148,14 @@ def excerpt(clips: DataFrame, segments: DataFrame, width: float, name: str = "ex
     return clips.join(texts, ["video", "cand"], "left").withColumn(name, F.coalesce("__text", F.lit(""))).drop("__text")
 
 
+def spoken(clips: DataFrame, segments: DataFrame, width: float, name: str = "said") -> DataFrame:
+    """clips with the content words of their excerpt() joined by spaces, in any order: texts meet as sets of words, so repeated ones are shuffled once."""
+    words = segments.select("video", "start", "end", F.array_join(content_words(F.col("text")), " ").alias("said")).filter("said <> ''")
+    pairs = overlaps(clips.select("video", "cand", "start", "end"), words, width)
+    texts = pairs.groupBy("video", "cand").agg(F.array_join(F.array_distinct(F.split(F.array_join(F.collect_set("i_said"), " "), " ")), " ").alias("__said"))
+    return clips.join(texts, ["video", "cand"], "left").withColumn(name, F.coalesce("__said", F.lit(""))).drop("__said")
+
+
 def packed(energy: DataFrame) -> DataFrame:
     """video, heard, loud, n: of energy(video, sec, value, is_spike), the sum of values, the number of spikes and of seconds before each second from 0 on, and after the last.
 

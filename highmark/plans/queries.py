@@ -10,6 +10,7 @@ from highmark.operators import answers, captions, chunks, crop, evaluate, expand
 from highmark.plans import ranking, roles
 from highmark.plans.roles import CHAPTERS, CLIPS, DAY, ENERGY, HOUR, POINTS, SENTENCES, TURNS, WORDS, table
 from highmark.sources.tables import first_wins, unfinished
+from highmark.storage import Scratch
 
 WEEK = 7 * DAY
 INTEREST = "error|purchase"
@@ -471,10 +472,15 @@ def q36_holdout_lift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    p = roles.points(spark, d)
-    return ranking.rank_clips(
-        roles.in_hours(roles.clips(p)), roles.in_hours(roles.sentences(p)), roles.in_hours(p), roles.in_hours(roles.chapters(p)), sequence.loud_and_quiet(roles.energy(p)), roles.in_hours(p.filter("kind = 'error'").select("video", "start", "end")), 0, 48.0
+    scratch = Scratch(spark)
+    p = scratch.stored(roles.points(spark, d), "points")
+    energy = scratch.stored(sequence.loud_and_quiet(roles.energy(roles.points(spark, d))), "loudness")  # hours of a video follow from the shuffle that orders its points
+    chapters = scratch.stored(roles.chapters(p), "chapters")
+    out = ranking.rank_clips(
+        roles.in_hours(roles.clips(p)), roles.in_hours(roles.sentences(p)), roles.in_hours(p), roles.in_hours(chapters), energy, roles.in_hours(p.filter("kind = 'error'").select("video", "start", "end")), 0, 48.0
     )
+    scratch.drop()
+    return out
 
 
 @query()

@@ -10,7 +10,8 @@ from highmark.functions.text import slug
 from highmark.functions.timefmt import hms_tenths
 from highmark.operators.expand import expand
 from highmark.operators.fusion import at_least, fuse
-from highmark.operators.intervals import chapter_score, drop_sponsored, excerpt, overlap_mean, overlapping_peak, snap, window_score
+from highmark.operators.intervals import drop_sponsored, excerpt, overlapping_peak, signals, snap, spoken
+from highmark.operators.nearest import first_to_end
 from highmark.operators.sequence import peak_windows, top_n
 from highmark.operators.suppress import by_text, by_time
 from highmark.params import DEFAULTS, Params
@@ -24,30 +25,38 @@ def rank_clips(
     """The best clips of each video, ranked.
 
     candidates(video, cand, start, end, score, title): suppressed by time, moved to sentence edges, scored by
-    all signals, widened around peaks, moved to edges again (which widens them further), suppressed
-    by text (of the clip before widening), freed of sponsored ones, filtered by score and cut to p.clips a video.
-    Each operator joins clips to what it has found about them, so the clips are stored a few times on the way;
-    these tables go when the result is stored.
+    all signals, suppressed by text, widened around peaks, moved to edges again (which widens them further),
+    freed of sponsored ones, filtered by score and cut to p.clips a video. Each operator joins clips to what it
+    has found about them, so the clips are stored a few times on the way; these tables go when the result is
+    stored. What a step doesn't need waits in them: clips pass with their times and score, and only the ranked
+    ones meet their title, signals and excerpt. Inputs are read several times, so they should be stored.
     """
     scratch = Scratch(candidates.sparkSession)
     keep = scratch.stored
-    clips = keep(snap(by_time(candidates, p.overlap_share, width), segments, p.pad, p.snap_tolerance), "snapped")
-    clips = keep(overlap_mean(excerpt(clips, segments, width, "said_before"), points, width), "replay")
-    any_ = points.select("video").distinct().withColumn("__any", F.lit(True))
-    clips = clips.join(any_, "video", "left").withColumn("replay_raw", F.when(F.col("__any"), F.col("replay_raw"))).drop("__any")
-    clips = keep(chapter_score(steady(window_score(clips, energy, width)), chapters), "signals")
-    clips = keep(fuse(clips, p.weights).drop("cand").withColumnRenamed("nth", "cand"), "fused")
+    found, to_end = keep(candidates, "candidates"), keep(first_to_end(segments), "ends")
+    clips = keep(by_time(found.select("video", "cand", "start", "end", "score"), p.overlap_share, width), "apart")
+    clips = keep(snap(clips, segments, p.pad, p.snap_tolerance, to_end=to_end), "snapped")
+    fused = keep(fuse(steady(signals(clips, points, energy, chapters, width)), p.weights), "fused")
+    clips = keep(spoken(fused.select("video", F.col("nth").alias("cand"), "start", "end", "score"), segments, width), "said")
+    clips = keep(by_text(clips, "said", p.text_similarity).drop("said"), "unlike")
     peaks = peak_windows(points, 10, p.peak_threshold, p.merge_gap)
     clips = keep(overlapping_peak(clips, peaks, energy.filter("is_spike"), width), "peaks")
-    clips = keep(expand(clips, segments, energy, width, p), "expanded")
-    clips = keep(by_text(snap(clips, segments, p.pad, p.snap_tolerance), "said_before", p.text_similarity), "unlike")
-    clips = keep(drop_sponsored(clips, sponsors, width, p.overlap_share), "unsponsored")
-    clips = at_least(excerpt(clips, segments, width), least)
-    out = stored(top_n(clips, ["video"], [F.col("score").desc(), "cand"], p.clips), "ranked")
+    clips = keep(expand(clips, segments, energy, width, p, to_end, keep), "expanded")
+    clips = keep(snap(clips, segments, p.pad, p.snap_tolerance, to_end=to_end), "moved")
+    clips = at_least(drop_sponsored(clips, sponsors, width, p.overlap_share), least)
+    clips = keep(top_n(clips, ["video"], [F.col("score").desc(), "cand"], p.clips), "best")
+    clips = _with(excerpt(clips, segments, width), fused.drop("start", "end", "score").withColumnsRenamed({"cand": "of", "nth": "cand"}), "cand")
+    out = stored(_with(clips, found.drop("start", "end", "score").withColumnRenamed("cand", "of"), "of").drop("of"), "ranked")
     scratch.drop()
     return out
 
 
+def _with(clips: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """clips with the columns of more that they lack, by video, null or not, and key."""
+    m = more.withColumnsRenamed({"video": "__video", key: "__key"})
+    return clips.join(m, F.col("video").eqNullSafe(F.col("__video")) & (F.col(key) == F.col("__key"))).drop("__video", "__key")
+
+
 def steady(clips: DataFrame) -> DataFrame:
     """clips whose replay_raw and audio_raw are rounded: sums depend on the order of rows in their last digits, and clips that are equal must share their rank in any run."""
     return clips.withColumns({c: F.round(c, places) for c, places in (("replay_raw", 9), ("audio_raw", 12))})
